@@ -6,8 +6,10 @@
   2. count rows per partition (one row per partition -> bounded by the partition count),
   3. prefix-sum those counts on the tiny table and broadcast it,
   4. index = partition offset + position inside the partition.
-The range exchange is shared by steps 2 and 4 (Spark reuses the identical exchange inside one
-plan), and with a total order key a recomputation after executor loss yields the same numbers.
+Steps 2 and 4 must see the very same partitions. Range bounds are sampled from the input, and
+an input produced by a shuffle has no fixed row order, so a recomputation could draw other
+bounds; the sorted data is therefore materialised once with a reliable checkpoint in the shared
+``spark.checkpoint.dir`` (which also cuts the lineage against executor loss).
 """
 
 from __future__ import annotations
@@ -15,16 +17,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from flowlens.session import shuffle_partitions
+from flowlens.session import cut_lineage, shuffle_partitions
 
 
 def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_index",
                    num_partitions: int | None = None) -> DataFrame:
     """Add a 0-based bigint index following ``order_cols`` (which must be a total order)."""
     n = num_partitions or shuffle_partitions(df.sparkSession)
-    sorted_df = (df.repartitionByRange(n, *order_cols)
-                 .sortWithinPartitions(*order_cols)
-                 .withColumn("_pid", F.spark_partition_id())
+    sorted_df = cut_lineage(df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
+    sorted_df = (sorted_df.withColumn("_pid", F.spark_partition_id())
                  .withColumn("_mid", F.monotonically_increasing_id()))
     per_part = sorted_df.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_base"))
     w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)

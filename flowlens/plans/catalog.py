@@ -157,3 +157,154 @@ def confusion_accuracy(spark, sf):
 @query
 def label_union(spark, sf):
     return C.label_union(detailed(spark, sf))
+
+
+# ---------------------------------------------------------------- prompts
+from flowlens.operators import prompts as PR  # noqa: E402
+from flowlens.operators import sampling as SA  # noqa: E402
+from flowlens.operators import segmentation as SG  # noqa: E402
+from flowlens.sources.definitions import builtin_definitions  # noqa: E402
+
+
+def positioned(spark, sf) -> DataFrame:
+    return I.with_descriptions(I.event_positions(events(spark, sf)))
+
+
+@query
+def classification_prompts(spark, sf):
+    return PR.classification_prompts(positioned(spark, sf), labels(spark, sf))
+
+
+@query
+def definitions_prompt_text(spark, sf):
+    return PR.definitions_prompt_text(builtin_definitions(spark), instances(spark, sf))
+
+
+@query
+def undefined_processes(spark, sf):
+    return PR.undefined_processes(builtin_definitions(spark), instances(spark, sf))
+
+
+# ---------------------------------------------------------------- sampling
+def indexed(spark, sf) -> DataFrame:
+    return SA.dense_index(instances(spark, sf))
+
+
+def slots(spark, sf) -> DataFrame:
+    ix = indexed(spark, sf)
+    return SA.sequence_slots(SA.sample_plan(ix), ix)
+
+
+@query
+def dense_index(spark, sf):
+    return indexed(spark, sf).select("domain", "workflow_id", "idx")
+
+
+@query
+def sample_plan(spark, sf):
+    return SA.sample_plan(indexed(spark, sf))
+
+
+@query
+def segment_boundaries(spark, sf):
+    return slots(spark, sf).select("domain", "sequence_id", "slot", "workflow_id", "n_events", "seg_start",
+                                   "sequence_length")
+
+
+@query
+def concatenated_sequences(spark, sf):
+    return SA.concatenated_events(slots(spark, sf), positioned(spark, sf))
+
+
+@query
+def true_segments(spark, sf):
+    return SA.true_segments(slots(spark, sf))
+
+
+@query
+def true_boundaries(spark, sf):
+    return SA.true_boundaries(slots(spark, sf))
+
+
+@query
+def segmentation_prompts(spark, sf):
+    seq = SA.concatenated_events(slots(spark, sf), positioned(spark, sf))
+    defs = PR.definitions_prompt_text(builtin_definitions(spark), instances(spark, sf))
+    return PR.segmentation_prompts(seq, defs)
+
+
+# ---------------------------------------------------------------- segmentation
+def seg_inputs(spark, sf):
+    sl = slots(spark, sf)
+    hd = SA.sequence_headers(sl)
+    return sl, hd, T.segment_responses(hd)
+
+
+def seg_results(spark, sf, tolerance=SG.DEFAULT_TOLERANCE) -> DataFrame:
+    _, hd, resp = seg_inputs(spark, sf)
+    return SG.evaluate(hd, resp, tolerance)
+
+
+def _list_text(c) -> F.Column:
+    return F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+
+
+@query
+def parse_segments(spark, sf):
+    _, _, resp = seg_inputs(spark, sf)
+    p = SG.parsed_segments(resp)
+    return p.select("domain", "model", "sequence_id",
+                    _list_text(F.transform("pred_segments", lambda s: s["start_index"])).alias("starts"),
+                    _list_text(F.transform("pred_segments", lambda s: s["end_index"])).alias("ends"))
+
+
+@query
+def predicted_boundaries(spark, sf):
+    _, _, resp = seg_inputs(spark, sf)
+    p = SG.predicted_boundaries(SG.parsed_segments(resp))
+    return p.select("domain", "model", "sequence_id", _list_text("pred_boundaries").alias("pred_boundaries"))
+
+
+def _metrics(df):
+    return df.select("domain", "model", "sequence_id", r6("boundary_precision").alias("boundary_precision"),
+                     r6("boundary_recall").alias("boundary_recall"), r6("boundary_f1").alias("boundary_f1"))
+
+
+@query
+def boundary_exact(spark, sf):
+    return _metrics(seg_results(spark, sf, tolerance=0))
+
+
+@query
+def boundary_tolerant(spark, sf):
+    return _metrics(seg_results(spark, sf))
+
+
+@query
+def edit_distance(spark, sf):
+    return seg_results(spark, sf).select("domain", "model", "sequence_id", F.col("edit_distance").cast("bigint"))
+
+
+@query
+def segmentation_aggregate(spark, sf):
+    a = SG.aggregate(seg_results(spark, sf))
+    return a.select("domain", "model", *[r6(c).alias(c) for c in
+                    ("boundary_precision", "boundary_recall", "boundary_f1", "edit_distance")])
+
+
+@query
+def f1_by_num_workflows(spark, sf):
+    return SG.f1_by_num_workflows(seg_results(spark, sf)).select("domain", "model", "num_workflows",
+                                                                 r6("mean_f1").alias("mean_f1"))
+
+
+@query
+def f1_by_length_bin(spark, sf):
+    return SG.f1_by_length_bin(seg_results(spark, sf)).select("domain", "model", "bin_label", "bin_start",
+                                                              r6("mean_f1").alias("mean_f1"))
+
+
+@query
+def segment_widths(spark, sf):
+    sl, hd, resp = seg_inputs(spark, sf)
+    return SG.segment_widths(SG.evaluate(hd, resp), sl)

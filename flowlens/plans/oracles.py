@@ -173,3 +173,192 @@ ORACLES["confusion_accuracy"] = CLS + """SELECT domain, model,
 
 ORACLES["label_union"] = CLS + """SELECT domain, model, true_class AS label FROM detailed
   UNION SELECT domain, model, predicted_class AS label FROM detailed"""
+
+
+# ---------------------------------------------------------------- prompts
+from flowlens.operators.prompts import CLASSIFICATION_TEMPLATE, SEGMENTATION_TEMPLATE  # noqa: E402
+from flowlens.sources.definitions import DEFINITIONS  # noqa: E402
+
+
+def _q(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def template_sql(template: str, **slots: str) -> str:
+    """Render a str.format template as a DuckDB concatenation (newlines as chr(10))."""
+    import string
+    out = []
+    for lit, field, _, _ in string.Formatter().parse(template):
+        if lit:
+            pieces = lit.split("\n")
+            for i, p in enumerate(pieces):
+                if i:
+                    out.append("chr(10)")
+                if p:
+                    out.append(_q(p))
+        if field is not None:
+            out.append(f"({slots[field]})")
+    return " || ".join(out)
+
+
+DEFS = "defs(def_pos, name, description) AS (VALUES " + ", ".join(
+    f"({i}, {_q(n)}, {_q(d)})" for i, (n, d) in enumerate(DEFINITIONS)) + ")"
+
+POS = """pos AS (
+  SELECT *, row_number() OVER (PARTITION BY process_instance_uuid ORDER BY time_stamp ASC NULLS LAST, event_seq) - 1 AS pos,
+         coalesce(description, 'None') || ' in the screen ' || coalesce(screen_name, 'None') || ' of the application '
+         || coalesce(application_name, 'None') AS event_text
+  FROM wf WHERE process_instance_uuid IS NOT NULL)"""
+
+ORACLES["classification_prompts"] = with_(WF, INST, LABELS, POS) + f"""SELECT s.domain, s.workflow_id,
+  {template_sql(CLASSIFICATION_TEMPLATE, classes='c.classes', sequence='s.seq')} AS prompt
+  FROM (SELECT domain, process_instance_uuid AS workflow_id, string_agg(event_text, chr(10) ORDER BY pos) AS seq
+        FROM pos GROUP BY ALL) s
+  JOIN (SELECT domain, string_agg(process_name, ', ' ORDER BY process_name) AS classes FROM labels GROUP BY domain) c
+  USING (domain)"""
+
+DEFTEXT = """deftext AS (
+  SELECT o.domain, coalesce(string_agg('- ' || d.name || ': ' || d.description || chr(10), '' ORDER BY d.def_pos), '')
+         AS definitions_text
+  FROM (SELECT DISTINCT domain FROM inst) o
+  LEFT JOIN defs d ON lower(d.name) IN (SELECT lower(i.process_name) FROM inst i WHERE i.domain = o.domain)
+  GROUP BY o.domain)"""
+
+ORACLES["definitions_prompt_text"] = with_(WF, INST, DEFS, DEFTEXT) + "SELECT domain, definitions_text FROM deftext"
+
+ORACLES["undefined_processes"] = with_(WF, INST, DEFS) + """SELECT DISTINCT domain, process_name FROM inst i
+  WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE lower(d.name) = lower(i.process_name))"""
+
+# ---------------------------------------------------------------- sampling
+SEED, S, KMIN, KMAX = "2404", 100, 2, 4
+_T = h(SEED, "domain", "sample", "j") + " % (j + 1)"
+
+IDX = """idx AS (SELECT domain, workflow_id, process_name, n_events,
+  row_number() OVER (PARTITION BY domain ORDER BY workflow_id) - 1 AS idx FROM inst)"""
+
+PLAN = f"""sizes AS (SELECT domain, count(*) AS n_instances FROM inst GROUP BY domain),
+plan0 AS (SELECT s.domain, s.n_instances, r.sample,
+  CAST({KMIN} + {h(SEED, 'domain', 'sample', "'k'")} % {KMAX - KMIN + 1} AS INTEGER) AS k
+  FROM sizes s, (SELECT range AS sample FROM range(0, {S})) r),
+floyd(domain, sample, k, n_instances, j, acc) AS (
+  SELECT domain, sample, k, n_instances, n_instances - least(k, n_instances), []::BIGINT[] FROM plan0
+  UNION ALL
+  SELECT domain, sample, k, n_instances, j + 1,
+         CASE WHEN list_contains(acc, {_T}) THEN list_append(acc, j) ELSE list_append(acc, {_T}) END
+  FROM floyd WHERE j < n_instances),
+plan AS (SELECT domain, sample, 'sequence_' || CAST(sample AS VARCHAR) AS sequence_id, k,
+  CAST(row_number() OVER (PARTITION BY domain, sample ORDER BY {h(SEED, 'domain', 'sample', "'o'", 'idx')}, idx) AS INTEGER) AS slot,
+  idx
+  FROM (SELECT domain, sample, k, unnest(acc) AS idx FROM floyd WHERE j = n_instances AND len(acc) > 0) u)"""
+
+SLOTS = """slots AS (SELECT p.*, i.workflow_id, i.process_name, i.n_events,
+  coalesce(sum(i.n_events) OVER (PARTITION BY p.domain, p.sample ORDER BY p.slot
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg_start,
+  sum(i.n_events) OVER (PARTITION BY p.domain, p.sample) AS sequence_length
+  FROM plan p JOIN idx i ON i.domain = p.domain AND i.idx = p.idx)"""
+
+
+def with_rec(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+SMP = with_rec(WF, INST, IDX, PLAN, SLOTS)
+
+ORACLES["dense_index"] = with_(WF, INST, IDX) + "SELECT domain, workflow_id, idx FROM idx"
+ORACLES["sample_plan"] = with_rec(WF, INST, IDX, PLAN) + "SELECT domain, sample, sequence_id, k, slot, idx FROM plan"
+ORACLES["segment_boundaries"] = SMP + """SELECT domain, sequence_id, slot, workflow_id, n_events, seg_start,
+  sequence_length FROM slots"""
+ORACLES["true_segments"] = SMP + """SELECT domain, sequence_id, slot, seg_start AS start_index,
+  seg_start + n_events - 1 AS end_index FROM slots"""
+ORACLES["true_boundaries"] = SMP + "SELECT domain, sequence_id, slot, seg_start AS boundary FROM slots WHERE slot > 1"
+ORACLES["concatenated_sequences"] = with_rec(WF, INST, IDX, PLAN, SLOTS, POS) + """SELECT s.domain, s.sequence_id,
+  s.seg_start + p.pos AS seq_pos, s.slot, s.workflow_id, p.event_text
+  FROM slots s JOIN pos p ON p.process_instance_uuid = s.workflow_id"""
+
+ORACLES["segmentation_prompts"] = with_rec(WF, INST, IDX, PLAN, SLOTS, POS, DEFS, DEFTEXT) + f"""SELECT q.domain, q.sequence_id,
+  {template_sql(SEGMENTATION_TEMPLATE, definitions="coalesce(d.definitions_text, 'No process definitions available.')",
+                sequence='q.seq')} AS prompt
+  FROM (SELECT s.domain, s.sequence_id,
+               string_agg(CAST(s.seg_start + p.pos AS VARCHAR) || '. ' || p.event_text, chr(10) ORDER BY s.seg_start + p.pos) AS seq
+        FROM slots s JOIN pos p ON p.process_instance_uuid = s.workflow_id GROUP BY ALL) q
+  LEFT JOIN deftext d USING (domain)"""
+
+# ---------------------------------------------------------------- segmentation
+# Expected parse of each simulated output, derived from how the text was built (not by parsing).
+SEG = f"""models AS (SELECT unnest({_list(MODELS)}) AS model),
+hdr AS (SELECT domain, sample, sequence_id, count(*) AS num_workflows, max(sequence_length) AS sequence_length,
+               list(seg_start ORDER BY slot) AS true_starts FROM slots GROUP BY ALL),
+shifted AS (SELECT sl.domain, m.model, sl.sample, sl.slot,
+  CASE WHEN sl.slot = 1 THEN 0 ELSE sl.seg_start + {h("'sh'", 'm.model', 'sl.domain', 'sl.sample', 'sl.slot')} % 9 - 4 END AS s,
+  sl.slot = 1 OR {h("'dr'", 'm.model', 'sl.domain', 'sl.sample', 'sl.slot')} % 8 <> 0 AS keep
+  FROM slots sl, models m),
+st0 AS (SELECT domain, model, sample, list(s ORDER BY slot) FILTER (WHERE keep) AS st FROM shifted GROUP BY ALL),
+st1 AS (SELECT st0.*, hdr.sequence_id, hdr.sequence_length, hdr.num_workflows, hdr.true_starts,
+               {h("'seg'", 'st0.model', 'st0.domain', 'st0.sample')} % 20 AS v,
+               {h("'sp'", 'st0.model', 'st0.domain', 'st0.sample')} % hdr.sequence_length AS spur
+        FROM st0 JOIN hdr USING (domain, sample)),
+st2 AS (SELECT *, CASE WHEN v % 3 = 0 THEN list_append(st, spur) ELSE st END AS full_starts FROM st1),
+st3 AS (SELECT *, list_transform(full_starts, lambda x, i: coalesce(full_starts[i + 1], sequence_length) - 1) AS full_ends
+        FROM st2),
+parsed AS (SELECT domain, model, sample, sequence_id, sequence_length, num_workflows, true_starts,
+  CASE WHEN v IN (0, 1, 2) THEN []::BIGINT[]
+       WHEN v = 3 THEN list_filter(full_starts, lambda x, i: i - 1 <> least(1, len(full_starts) - 1))
+       ELSE full_starts END AS starts,
+  CASE WHEN v IN (0, 1, 2) THEN []::BIGINT[]
+       WHEN v = 3 THEN list_filter(full_ends, lambda x, i: i - 1 <> least(1, len(full_starts) - 1))
+       ELSE full_ends END AS ends
+  FROM st3),
+bnd AS (SELECT *, list_filter(starts, lambda x: x > 0) AS pb, list_slice(true_starts, 2, len(true_starts)) AS tb FROM parsed),
+met AS (SELECT *,
+  len(list_filter(list_distinct(list_filter(pb, lambda b: b >= 0 AND b < sequence_length)),
+      lambda x: list_contains(list_distinct(list_filter(tb, lambda b: b >= 0 AND b < sequence_length)), x))) AS tp_exact,
+  len(list_distinct(list_filter(pb, lambda b: b >= 0 AND b < sequence_length))) AS np_exact,
+  len(list_distinct(list_filter(tb, lambda b: b >= 0 AND b < sequence_length))) AS nt_exact,
+  len(list_filter(pb, lambda x: len(list_filter(tb, lambda y: abs(x - y) <= 3)) > 0)) AS tp_tol,
+  list_distinct(list_concat(tb, pb)) AS vals
+  FROM bnd),
+res AS (SELECT *,
+  CASE WHEN np_exact = 0 THEN 0.0 ELSE tp_exact / np_exact END AS p_exact,
+  CASE WHEN nt_exact = 0 THEN 0.0 ELSE tp_exact / nt_exact END AS r_exact,
+  CASE WHEN len(pb) = 0 THEN 0.0 ELSE tp_tol / len(pb) END AS boundary_precision,
+  CASE WHEN len(tb) = 0 THEN 0.0 ELSE tp_tol / len(tb) END AS boundary_recall,
+  levenshtein(array_to_string(list_transform(tb, lambda x: chr(CAST(47 + list_position(vals, x) AS INTEGER))), ''),
+              array_to_string(list_transform(pb, lambda x: chr(CAST(47 + list_position(vals, x) AS INTEGER))), ''))
+    AS edit_distance
+  FROM met),
+res2 AS (SELECT *,
+  CASE WHEN p_exact + r_exact > 0 THEN 2 * p_exact * r_exact / (p_exact + r_exact) ELSE 0.0 END AS f1_exact,
+  CASE WHEN boundary_precision + boundary_recall > 0
+       THEN 2 * boundary_precision * boundary_recall / (boundary_precision + boundary_recall) ELSE 0.0 END AS boundary_f1
+  FROM res)"""
+
+SEGQ = with_rec(WF, INST, IDX, PLAN, SLOTS, SEG)
+
+ORACLES["parse_segments"] = SEGQ + """SELECT domain, model, sequence_id,
+  array_to_string(starts, ',') AS starts, array_to_string(ends, ',') AS ends FROM parsed"""
+ORACLES["predicted_boundaries"] = SEGQ + """SELECT domain, model, sequence_id,
+  array_to_string(list_filter(starts, lambda x: x > 0), ',') AS pred_boundaries FROM parsed"""
+ORACLES["boundary_exact"] = SEGQ + """SELECT domain, model, sequence_id, round(p_exact, 6) AS boundary_precision,
+  round(r_exact, 6) AS boundary_recall, round(f1_exact, 6) AS boundary_f1 FROM res2"""
+ORACLES["boundary_tolerant"] = SEGQ + """SELECT domain, model, sequence_id, round(boundary_precision, 6) AS boundary_precision,
+  round(boundary_recall, 6) AS boundary_recall, round(boundary_f1, 6) AS boundary_f1 FROM res2"""
+ORACLES["edit_distance"] = SEGQ + "SELECT domain, model, sequence_id, CAST(edit_distance AS BIGINT) AS edit_distance FROM res2"
+ORACLES["segmentation_aggregate"] = SEGQ + """SELECT domain, model, round(avg(boundary_precision), 6) AS boundary_precision,
+  round(avg(boundary_recall), 6) AS boundary_recall, round(avg(boundary_f1), 6) AS boundary_f1,
+  round(avg(edit_distance), 6) AS edit_distance FROM res2 GROUP BY domain, model"""
+ORACLES["f1_by_num_workflows"] = SEGQ + """SELECT domain, model, num_workflows, round(avg(boundary_f1), 6) AS mean_f1
+  FROM res2 GROUP BY ALL"""
+ORACLES["f1_by_length_bin"] = SEGQ + """, mm AS (SELECT domain, model, min(sequence_length) AS lo, max(sequence_length) AS hi
+              FROM res2 GROUP BY ALL),
+b AS (SELECT r.*, mm.lo, CASE WHEN mm.hi > mm.lo THEN (mm.hi - mm.lo) / 5.0 ELSE 1.0 END AS w FROM res2 r JOIN mm USING (domain, model)),
+b2 AS (SELECT *, least(4, CAST(trunc((sequence_length - lo) / w) AS INTEGER)) AS bi FROM b)
+SELECT domain, model,
+  CAST(CAST(trunc(lo + bi * w) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(trunc(lo + (bi + 1) * w) AS BIGINT) AS VARCHAR) AS bin_label,
+  min(CAST(trunc(lo + bi * w) AS INTEGER)) AS bin_start, round(avg(boundary_f1), 6) AS mean_f1
+FROM b2 GROUP BY ALL"""
+ORACLES["segment_widths"] = SEGQ + """SELECT domain, model, sequence_id, 'pred' AS kind, CAST(u.i - 1 AS INTEGER) AS idx,
+  starts[u.i] AS start_index, ends[u.i] - starts[u.i] + 1 AS width
+  FROM parsed, (SELECT range AS i FROM range(1, 64)) u WHERE u.i <= len(starts)
+UNION ALL
+SELECT p.domain, p.model, p.sequence_id, 'true' AS kind, s.slot - 1 AS idx, s.seg_start AS start_index, s.n_events AS width
+  FROM parsed p JOIN slots s ON s.domain = p.domain AND s.sequence_id = p.sequence_id"""
