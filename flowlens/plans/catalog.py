@@ -308,3 +308,163 @@ def f1_by_length_bin(spark, sf):
 def segment_widths(spark, sf):
     sl, hd, resp = seg_inputs(spark, sf)
     return SG.segment_widths(SG.evaluate(hd, resp), sl)
+
+
+# ---------------------------------------------------------------- similarity
+from flowlens.operators import reporting as RP  # noqa: E402
+from flowlens.operators import similarity as SIM  # noqa: E402
+
+
+def documents(spark, sf) -> DataFrame:
+    return T.table(spark, sf, "documents").select("doc_id", "text")
+
+
+def pooled_instances(spark, sf) -> DataFrame:
+    cv = T.chunk_vectors(spark, sf)
+    names = cv.groupBy("instance_id").agg(F.min_by("process_name", "chunk").alias("process_name"),
+                                          F.count(F.lit(1)).alias("n_chunks"))
+    return SIM.pool_embeddings(cv, ["instance_id"]).join(names, "instance_id")
+
+
+@query
+def token_counts(spark, sf):
+    return SIM.token_counts(documents(spark, sf)).select("doc_id", "num_tokens")
+
+
+@query
+def chunk_tokens(spark, sf):
+    return SIM.chunk_tokens(documents(spark, sf), ["doc_id"])
+
+
+@query
+def pool_embeddings(spark, sf):
+    lg = SIM.pool_long(T.chunk_vectors(spark, sf), ["instance_id"])
+    return lg.select("instance_id", "dim", r6("value").alias("value"))
+
+
+@query
+def process_similarity(spark, sf):
+    s = SIM.process_similarity(pooled_instances(spark, sf))
+    return s.select("process_i", "process_j", r6("mean_cosine").alias("mean_cosine"), "n_i", "n_j")
+
+
+@query
+def similarity_blocks(spark, sf):
+    return SIM.similarity_blocks(pooled_instances(spark, sf))
+
+
+@query
+def truncate_labels(spark, sf):
+    names = instances(spark, sf).select("process_name").distinct()
+    return names.select("process_name", TX.truncate_label("process_name", 20).alias("label_20"),
+                        TX.truncate_label("process_name", 25).alias("label_25"))
+
+
+@query
+def parse_embedding_text(spark, sf):
+    """Vectors written as list text ('[0.1, 0.2]', as in an embeddings CSV) and parsed back."""
+    e = T.table(spark, sf, "embeddings")
+    txt = e.select("vec_id", F.concat(F.lit("["), F.array_join(F.transform(
+        "embedding", lambda x: x.cast("double").cast("string")), ", "), F.lit("]")).alias("embedding_text"))
+    parsed = txt.select("vec_id", F.from_json("embedding_text", "array<double>").alias("v"))
+    return parsed.select("vec_id", F.posexplode("v").alias("dim", "value")).select(
+        "vec_id", "dim", r6("value").alias("value"))
+
+
+# ---------------------------------------------------------------- reporting
+def cls_runs(spark, sf) -> DataFrame:
+    return detailed(spark, sf).withColumn("task", F.lit("classification"))
+
+
+def report_rows(spark, sf) -> DataFrame:
+    d = detailed(spark, sf)
+    rep = C.class_report(d)
+    rows = rep.unionByName(C.macro_average(rep)).unionByName(
+        C.report_accuracy_row(d).withColumn("support", F.col("support").cast("bigint")), allowMissingColumns=False)
+    return rows.withColumn("task", F.lit("classification"))
+
+
+def seg_individual(spark, sf) -> DataFrame:
+    return seg_results(spark, sf).withColumn("task", F.lit("segmentation"))
+
+
+def seg_runs(spark, sf) -> DataFrame:
+    return RP.segmentation_fallback(None, seg_individual(spark, sf))
+
+
+def _r6_all(df, cols):
+    return df.select(*[r6(c).alias(c) if c in cols else F.col(c) for c in df.columns])
+
+
+@query
+def run_accuracy(spark, sf):
+    return _r6_all(RP.run_accuracy(cls_runs(spark, sf)), {"accuracy"})
+
+
+@query
+def class_accuracy(spark, sf):
+    return _r6_all(RP.class_accuracy(cls_runs(spark, sf)), {"accuracy"})
+
+
+@query
+def domain_accuracy(spark, sf):
+    return _r6_all(RP.domain_accuracy(cls_runs(spark, sf)), {"accuracy"})
+
+
+@query
+def segmentation_fallback(spark, sf):
+    ind = seg_individual(spark, sf)
+    stored = SG.aggregate(ind.where(F.col("model") != T.FOLDED_MODEL), ("domain", "task", "model"))
+    out = RP.segmentation_fallback(stored, ind)
+    return _r6_all(out, {"boundary_precision", "boundary_recall", "boundary_f1", "edit_distance"})
+
+
+@query
+def domain_segmentation_f1(spark, sf):
+    return _r6_all(RP.domain_segmentation_f1(seg_runs(spark, sf)), {"boundary_f1"})
+
+
+@query
+def accuracy_fallback(spark, sf):
+    return _r6_all(RP.accuracy_fallback(report_rows(spark, sf), cls_runs(spark, sf)), {"accuracy"})
+
+
+@query
+def classification_leaderboard(spark, sf):
+    lb = RP.classification_leaderboard(report_rows(spark, sf), cls_runs(spark, sf))
+    return _r6_all(lb.withColumn("support", F.col("support").cast("double")),
+                   {"precision", "recall", "f1", "accuracy", "support"})
+
+
+@query
+def segmentation_leaderboard(spark, sf):
+    return _r6_all(RP.segmentation_leaderboard(seg_runs(spark, sf)),
+                   {"boundary_precision", "boundary_recall", "boundary_f1"})
+
+
+@query
+def model_roster(spark, sf):
+    return RP.model_roster(cls_runs(spark, sf), seg_runs(spark, sf))
+
+
+@query
+def display_names(spark, sf):
+    d = cls_runs(spark, sf)
+    names = (d.select(F.col("model").alias("name"))
+             .union(d.select(F.col("domain").alias("name")))
+             .union(d.select(F.concat("domain", F.lit("_"), "task").alias("name")))
+             .union(d.select(F.concat("task", F.lit("_"), "model").alias("name")))
+             .union(d.select(F.concat("true_class", F.lit("_x")).alias("name")))
+             .distinct())
+    return names.select("name", TX.display_name("name", T.DOMAINS).alias("display_name"))
+
+
+@query
+def report_cells(spark, sf):
+    ra = RP.run_accuracy(cls_runs(spark, sf))
+    lb = RP.classification_leaderboard(report_rows(spark, sf), cls_runs(spark, sf)).select(
+        "domain", "task", "model", "f1")
+    j = ra.join(lb, ["domain", "task", "model"])
+    return j.select("domain", "task", "model", TX.fmt_percent("accuracy").alias("accuracy_text"),
+                    TX.fmt_fixed("f1").alias("f1_text"), TX.fmt_count(F.col("total") * 1000).alias("total_text"),
+                    F.concat(F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("ratio_text"))

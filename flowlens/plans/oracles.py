@@ -362,3 +362,136 @@ ORACLES["segment_widths"] = SEGQ + """SELECT domain, model, sequence_id, 'pred'
 UNION ALL
 SELECT p.domain, p.model, p.sequence_id, 'true' AS kind, s.slot - 1 AS idx, s.seg_start AS start_index, s.n_events AS width
   FROM parsed p JOIN slots s ON s.domain = p.domain AND s.sequence_id = p.sequence_id"""
+
+
+# ---------------------------------------------------------------- similarity
+from flowlens.functions.text import DISPLAY_NAME_MAP  # noqa: E402
+
+TOK = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')"
+
+ORACLES["token_counts"] = f"SELECT doc_id, CAST(len({TOK}) AS INTEGER) AS num_tokens FROM documents"
+
+ORACLES["chunk_tokens"] = f"""WITH d AS (SELECT doc_id, {TOK} AS tok FROM documents),
+c AS (SELECT doc_id, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) / 8000.0) AS BIGINT)))) AS chunk FROM d)
+SELECT doc_id, chunk, len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS n_tokens,
+       array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), ' ') AS chunk_text FROM c"""
+
+CV = f"""cv AS (SELECT vec_id // 4 AS instance_id, vec_id, CAST(embedding AS DOUBLE[]) AS e,
+                   {NAMES}[CAST(label % 7 AS INTEGER) + 1] AS process_name FROM embeddings),
+u AS (SELECT instance_id, dim, e[dim + 1] AS v FROM (SELECT instance_id, e, unnest(range(len(e))) AS dim FROM cv) x),
+pool AS (SELECT instance_id, dim, avg(v) AS v FROM u GROUP BY ALL),
+names AS (SELECT instance_id, arg_min(process_name, vec_id) AS process_name FROM cv GROUP BY instance_id),
+pooled AS (SELECT p.instance_id, n.process_name, list(p.v ORDER BY p.dim) AS e
+           FROM pool p JOIN names n USING (instance_id) GROUP BY ALL)"""
+
+ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, dim, round(v, 6) AS value FROM pool"
+
+# Brute force over every pair of instances (small fixture), averaged per process pair.
+ORACLES["process_similarity"] = with_(CV) + """, cnt AS (SELECT process_name, count(*) AS n FROM pooled GROUP BY ALL),
+pairs AS (SELECT a.process_name AS process_i, b.process_name AS process_j, list_cosine_similarity(a.e, b.e) AS c
+          FROM pooled a, pooled b)
+SELECT process_i, process_j, round(avg(c), 6) AS mean_cosine, ci.n AS n_i, cj.n AS n_j
+FROM pairs JOIN cnt ci ON ci.process_name = process_i JOIN cnt cj ON cj.process_name = process_j
+GROUP BY process_i, process_j, ci.n, cj.n"""
+
+ORACLES["similarity_blocks"] = with_(CV) + """, ord AS (SELECT *, row_number() OVER (ORDER BY process_name, instance_id) - 1 AS idx
+             FROM pooled)
+SELECT CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS block_label,
+       min(idx) AS block_start, max(idx) + 1 AS block_end, count(*) AS n_items FROM ord GROUP BY 1"""
+
+ORACLES["truncate_labels"] = with_(WF, INST) + """SELECT DISTINCT process_name,
+  CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS label_20,
+  CASE WHEN length(process_name) > 25 THEN left(process_name, 25) || '...' ELSE process_name END AS label_25 FROM inst"""
+
+ORACLES["parse_embedding_text"] = """SELECT vec_id, dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) AS value
+FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings) x"""
+
+# ---------------------------------------------------------------- reporting
+CLSRUN = CLS.rstrip() + ",\n" + REPORT + """,
+rows AS (
+  SELECT domain, model, label, precision, recall, f1_score, CAST(support AS DOUBLE) AS support FROM report_f
+  UNION ALL
+  SELECT domain, model, 'Average', avg(precision), avg(recall), avg(f1_score), CAST(sum(support) AS DOUBLE)
+  FROM report_f GROUP BY domain, model
+  UNION ALL
+  SELECT domain, model, 'accuracy', acc, acc, acc, acc
+  FROM (SELECT domain, model, avg(CASE WHEN correct THEN 1.0 ELSE 0.0 END) AS acc,
+               bool_and(predicted_class IN (SELECT t.true_class FROM detailed t
+                                            WHERE t.domain = d.domain AND t.model = d.model)) AS ok
+        FROM detailed d GROUP BY domain, model) s WHERE ok),
+runacc AS (SELECT domain, 'classification' AS task, model, count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
+                  count(*) - count(*) FILTER (WHERE correct) AS incorrect,
+                  CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*) AS accuracy
+           FROM detailed GROUP BY domain, model),
+accfb AS (SELECT r.domain, r.task, r.model, coalesce(a.precision, r.accuracy) AS accuracy,
+                 CASE WHEN a.precision IS NOT NULL THEN 'report' ELSE 'detailed' END AS accuracy_source
+          FROM runacc r LEFT JOIN (SELECT * FROM rows WHERE label = 'accuracy') a USING (domain, model)),
+lb AS (SELECT a.domain, a.task, a.model, v.precision, v.recall, v.f1_score AS f1, v.support, a.accuracy, a.accuracy_source
+       FROM accfb a LEFT JOIN (SELECT * FROM rows WHERE label = 'Average') v USING (domain, model))
+"""
+
+ORACLES["run_accuracy"] = CLSRUN + """SELECT domain, task, model, correct, total, incorrect, round(accuracy, 6) AS accuracy
+FROM runacc"""
+
+ORACLES["class_accuracy"] = CLSRUN + """SELECT domain, task, model, true_class, correct, total, incorrect,
+  round(accuracy, 6) AS accuracy,
+  row_number() OVER (PARTITION BY domain, task, model ORDER BY accuracy, true_class) AS rank
+FROM (SELECT domain, 'classification' AS task, model, coalesce(true_class, 'Unknown') AS true_class,
+             count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
+             count(*) - count(*) FILTER (WHERE correct) AS incorrect,
+             CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*) AS accuracy
+      FROM detailed GROUP BY ALL) c"""
+
+ORACLES["domain_accuracy"] = CLSRUN + """SELECT domain, model, count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
+  round(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*), 6) AS accuracy FROM detailed GROUP BY domain, model"""
+
+ORACLES["accuracy_fallback"] = CLSRUN + "SELECT domain, task, model, round(accuracy, 6) AS accuracy, accuracy_source FROM accfb"
+
+ORACLES["classification_leaderboard"] = CLSRUN + """SELECT domain, task, model, round(precision, 6) AS precision,
+  round(recall, 6) AS recall, round(f1, 6) AS f1, round(support, 6) AS support, round(accuracy, 6) AS accuracy,
+  accuracy_source FROM lb"""
+
+ORACLES["report_cells"] = CLSRUN + """SELECT r.domain, r.task, r.model, printf('%.1f%%', r.accuracy * 100) AS accuracy_text,
+  printf('%.2f', l.f1) AS f1_text, format('{:,}', r.total * 1000) AS total_text,
+  CAST(r.correct AS VARCHAR) || '/' || CAST(r.total AS VARCHAR) AS ratio_text
+FROM runacc r JOIN lb l USING (domain, task, model)"""
+
+SEGRUN = SEGQ.rstrip() + """,
+segrun AS (SELECT domain, 'segmentation' AS task, model, avg(boundary_precision) AS boundary_precision,
+                  avg(boundary_recall) AS boundary_recall, avg(boundary_f1) AS boundary_f1,
+                  avg(edit_distance) AS edit_distance FROM res2 GROUP BY domain, model)
+"""
+
+ORACLES["segmentation_fallback"] = SEGRUN + """SELECT domain, task, model, round(boundary_precision, 6) AS boundary_precision,
+  round(boundary_recall, 6) AS boundary_recall, round(boundary_f1, 6) AS boundary_f1,
+  round(edit_distance, 6) AS edit_distance FROM segrun"""
+
+ORACLES["domain_segmentation_f1"] = SEGRUN + """SELECT domain, model, round(avg(boundary_f1), 6) AS boundary_f1,
+  count(*) AS n_tasks FROM segrun GROUP BY domain, model"""
+
+ORACLES["segmentation_leaderboard"] = SEGRUN + """SELECT domain, task, model,
+  round(coalesce(boundary_precision, 0.0), 6) AS boundary_precision, round(coalesce(boundary_recall, 0.0), 6) AS boundary_recall,
+  round(coalesce(boundary_f1, 0.0), 6) AS boundary_f1 FROM segrun"""
+
+ORACLES["model_roster"] = CLS + "SELECT DISTINCT model FROM detailed"
+
+_MAP = "MAP {" + ", ".join(f"{_q(k)}: {_q(v)}" for k, v in DISPLAY_NAME_MAP.items()) + "}"
+_KNOWN = _list(sorted(set(DOMAINS) | set(DISPLAY_NAME_MAP)))
+
+
+def _cap(x: str) -> str:
+    return f"(upper(left({x}, 1)) || lower(substr({x}, 2)))"
+
+
+ORACLES["display_names"] = CLS + f""", names AS (
+  SELECT model AS name FROM detailed UNION SELECT domain FROM detailed
+  UNION SELECT domain || '_classification' FROM detailed UNION SELECT 'classification_' || model FROM detailed
+  UNION SELECT true_class || '_x' FROM detailed)
+SELECT name, CASE
+  WHEN {_MAP}[name] IS NOT NULL THEN {_MAP}[name]
+  WHEN contains(name, '_') AND list_contains({_KNOWN}, split_part(name, '_', 1))
+    THEN coalesce({_MAP}[split_part(name, '_', 1)], {_cap("split_part(name, '_', 1)")}) || ' - ' ||
+         array_to_string(list_transform(string_split(substr(name, strpos(name, '_') + 1), '_'), lambda p: {_cap('p')}), ' ')
+  WHEN contains(name, '_') THEN array_to_string(list_transform(string_split(name, '_'), lambda p: {_cap('p')}), ' ')
+  ELSE {_cap('name')} END AS display_name
+FROM names"""
