@@ -1,0 +1 @@
+"""Incremental evaluation over an append-only response log (Structured Streaming)."""

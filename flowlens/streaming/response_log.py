@@ -1,0 +1,46 @@
+"""Running classification outcomes over the append-only response log (S12).
+
+New log files are picked up as they land; each response is parsed and normalised with the same
+expressions as the batch path, joined to the (static) truth table, and per-run outcome counts
+are kept as streaming state. Accuracy is derived from the counts when read.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from flowlens.functions.parsing import extract_answer
+from flowlens.operators.classification import FORMAT_ERROR, OTHER
+from flowlens.schemas import RESPONSE_LOG
+
+
+def outcome_stream(spark: SparkSession, log_path: str, truth: DataFrame, labels: DataFrame) -> DataFrame:
+    """Streaming (run_id, correct, total) counts.
+
+    truth: (item_id, true_class); labels: (process_name) — both small static tables.
+    """
+    log = spark.readStream.schema(RESPONSE_LOG).parquet(log_path)
+    space = labels.select(F.col("process_name").alias("answer"), F.lit(True).alias("_known"))
+    out = (log.withColumn("answer", extract_answer("generated_text"))
+           .join(space, "answer", "left")
+           .withColumn("predicted_class", F.when(F.col("answer").isNull(), F.lit(FORMAT_ERROR))
+                       .when(F.col("_known").isNull(), F.lit(OTHER)).otherwise(F.col("answer")))
+           .join(truth, "item_id"))
+    return out.groupBy("run_id").agg(
+        F.count_if(F.col("predicted_class") == F.col("true_class")).alias("correct"),
+        F.count(F.lit(1)).alias("total"))
+
+
+def start_running_accuracy(spark: SparkSession, log_path: str, truth: DataFrame, labels: DataFrame,
+                           checkpoint: str, sink_path: str, available_now: bool = True):
+    """Run the stream into a Parquet table of the latest counts per run (foreachBatch overwrite)."""
+    counts = outcome_stream(spark, log_path, truth, labels)
+
+    def write(batch: DataFrame, _id: int) -> None:
+        batch.withColumn("accuracy", F.col("correct") / F.col("total")) \
+             .write.mode("overwrite").parquet(sink_path)
+
+    w = counts.writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(write)
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="10 seconds")
+    return w.start()

@@ -1,0 +1,45 @@
+"""The model-call hook (mapInPandas) and the streaming response log."""
+
+import os
+
+import pandas as pd
+
+from flowlens.operators.scoring import embed_chunks, score_prompts
+from flowlens.sources import sinks as SK
+from flowlens.streaming.response_log import start_running_accuracy
+
+
+def test_score_prompts(spark):
+    prompts = spark.createDataFrame([(i, f"p{i}") for i in range(20)], "workflow_id int, prompt string")
+
+    def scorer(s: pd.Series) -> pd.Series:
+        if (s == "p13").any():
+            raise RuntimeError("provider error")
+        return s.str.upper().map(lambda x: f"\\answer{{{x}}}")
+
+    got = {r.workflow_id: r.generated_text for r in score_prompts(prompts, scorer, ["workflow_id"], batch_size=4).collect()}
+    assert got[1] == "\\answer{P1}"
+    # slices are cut inside each Arrow batch: only the slice holding p13 is lost
+    assert got[13] is None and 1 <= sum(v is None for v in got.values()) <= 4
+    assert all(v == f"\\answer{{P{k}}}" for k, v in got.items() if v is not None)
+
+
+def test_embed_chunks(spark):
+    ch = spark.createDataFrame([(1, 0, "a b"), (1, 1, "c")], "id int, chunk int, chunk_text string")
+    out = embed_chunks(ch, lambda s: [[float(len(t)), 1.0] for t in s], ["id", "chunk"]).collect()
+    assert sorted((r.chunk, r.embedding) for r in out) == [(0, [3.0, 1.0]), (1, [1.0, 1.0])]
+
+
+def test_streaming_running_accuracy(spark, tmp):
+    log = os.path.join(tmp, "log")
+    df = spark.createDataFrame([("w1", "q", "\\answer{A}"), ("w2", "q", "\\answer{B}"), ("w3", "q", "none")],
+                               "workflow_id string, prompt string, generated_text string")
+    SK.append_response_log(df, log, "run1")
+    truth = spark.createDataFrame([("w1", "A"), ("w2", "A"), ("w3", "B")], "item_id string, true_class string")
+    labels = spark.createDataFrame([("A",), ("B",)], "process_name string")
+    out = os.path.join(tmp, "acc")
+    q = start_running_accuracy(spark, log, truth, labels, os.path.join(tmp, "ck"), out)
+    q.awaitTermination(120)
+    r = spark.read.parquet(out).collect()[0]
+    assert (r.run_id, r.correct, r.total) == ("run1", 1, 3)
+    assert SK.read_response_log(spark, os.path.join(tmp, "missing")).count() == 0
