@@ -40,13 +40,16 @@ def class_lists(labels: DataFrame, group_cols: tuple[str, ...] = ("domain",)) ->
         F.array_join(F.array_sort(F.collect_list("process_name")), ", ").alias("classes"))
 
 
-def classification_prompts(events_with_pos: DataFrame, labels: DataFrame,
+def classification_prompts(events: DataFrame, labels: DataFrame,
                            group_cols: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """One prompt per instance: classes joined by ', ', event sentences joined by '\\n' in order."""
-    seq = (events_with_pos.groupBy(*group_cols, F.col("process_instance_uuid").alias("workflow_id"))
+    """One prompt per instance: classes joined by ', ', event sentences joined by '\\n' in event
+    order (timestamp, nulls last, then file order). The order is applied inside the aggregate, so
+    no per-event position (and no extra shuffle) is needed."""
+    seq = (events.where(F.col("process_instance_uuid").isNotNull())
+           .groupBy(*group_cols, F.col("process_instance_uuid").alias("workflow_id"))
            .agg(F.expr("listagg(concat(coalesce(description, 'None'), ' in the screen ', "
                        "coalesce(screen_name, 'None'), ' of the application ', coalesce(application_name, 'None')), "
-                       "'\\n') WITHIN GROUP (ORDER BY pos)").alias("sequence")))
+                       "'\\n') WITHIN GROUP (ORDER BY time_stamp ASC NULLS LAST, event_seq)").alias("sequence")))
     return (seq.join(class_lists(labels, group_cols), list(group_cols))
             .select(*group_cols, "workflow_id",
                     _render(CLASSIFICATION_TEMPLATE, classes=F.col("classes"), sequence=F.col("sequence")).alias("prompt")))

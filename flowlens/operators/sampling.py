@@ -75,12 +75,20 @@ def sequence_headers(slots: DataFrame, group_col: str = "domain") -> DataFrame:
                     F.transform("_s", lambda x: x["process_name"]).alias("workflow_types"))
 
 
-def concatenated_events(slots: DataFrame, events_with_pos: DataFrame, group_col: str = "domain",
+def concatenated_events(slots: DataFrame, events: DataFrame, group_col: str = "domain",
                         text_col: str = "event_text") -> DataFrame:
     """Gather the events of every sampled instance into sequence positions:
-    seq_pos = segment start + position inside the instance. An instance drawn by several
-    sequences is gathered once per draw."""
-    ev = events_with_pos.select(F.col("process_instance_uuid").alias("workflow_id"), "pos", text_col)
+    seq_pos = segment start + position inside the instance.
+
+    Events are first reduced to the sampled instances (a semi-join against at most
+    samples x max_workflows ids), and positions are computed on that subset only, with the
+    skew-safe per-instance index. An instance drawn by several sequences is gathered once per draw.
+    """
+    from flowlens.operators.instances import event_positions, with_descriptions
+    ids = slots.select(F.col("workflow_id").alias("process_instance_uuid")).distinct()
+    sampled = events.join(ids, "process_instance_uuid", "left_semi")
+    ev = with_descriptions(event_positions(sampled), text_col).select(
+        F.col("process_instance_uuid").alias("workflow_id"), "pos", text_col)
     return (slots.select(group_col, "sequence_id", "slot", "workflow_id", "seg_start").join(ev, "workflow_id")
             .select(group_col, "sequence_id", (F.col("seg_start") + F.col("pos")).alias("seq_pos"),
                     "slot", "workflow_id", text_col))

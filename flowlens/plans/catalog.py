@@ -172,7 +172,8 @@ def positioned(spark, sf) -> DataFrame:
 
 @query
 def classification_prompts(spark, sf):
-    return PR.classification_prompts(positioned(spark, sf), labels(spark, sf))
+    ev = events(spark, sf)
+    return PR.classification_prompts(ev, I.label_encoding(I.workflow_instances(ev)))
 
 
 @query
@@ -213,7 +214,7 @@ def segment_boundaries(spark, sf):
 
 @query
 def concatenated_sequences(spark, sf):
-    return SA.concatenated_events(slots(spark, sf), positioned(spark, sf))
+    return SA.concatenated_events(slots(spark, sf), events(spark, sf))
 
 
 @query
@@ -228,7 +229,7 @@ def true_boundaries(spark, sf):
 
 @query
 def segmentation_prompts(spark, sf):
-    seq = SA.concatenated_events(slots(spark, sf), positioned(spark, sf))
+    seq = SA.concatenated_events(slots(spark, sf), events(spark, sf))
     defs = PR.definitions_prompt_text(builtin_definitions(spark), instances(spark, sf))
     return PR.segmentation_prompts(seq, defs)
 

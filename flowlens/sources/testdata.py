@@ -32,7 +32,15 @@ FOLDED_MODEL = "m3"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def balanced(df: DataFrame) -> DataFrame:
+    """Spread a scan that yields fewer partitions than the default parallelism (a small file with a
+    single row group is one task however many cores there are). Large, many-file inputs already
+    have enough splits and are returned unchanged, without a shuffle."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
 
 
 def _names() -> F.Column:
