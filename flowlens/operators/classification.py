@@ -84,12 +84,13 @@ def macro_average(report: DataFrame, keys=("domain", "model")) -> DataFrame:
 
 def report_accuracy_row(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
     """The 'accuracy' row, present only when every prediction is one of the true labels (otherwise
-    the report carries a micro average, which is dropped). All four fields hold the accuracy."""
-    truth = detailed.select(*keys, F.col("true_class").alias("predicted_class")).distinct() \
-        .withColumn("_is_true", F.lit(1))
-    flagged = detailed.join(truth, [*keys, "predicted_class"], "left")
+    the report carries a micro average, which is dropped). All four fields hold the accuracy.
+    Computed from the small (run, actual, predicted) count table, not from the row-level data."""
+    pc = pair_counts(detailed, keys)
+    truth = pc.select(*keys, F.col("actual").alias("predicted")).distinct().withColumn("_is_true", F.lit(1))
+    flagged = pc.join(truth, [*keys, "predicted"], "left")
     agg = flagged.groupBy(*keys).agg(
-        F.avg(F.col("correct").cast("double")).alias("acc"),
+        safe_div(F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)), F.sum("n")).alias("acc"),
         F.max(F.when(F.col("_is_true").isNull(), 1).otherwise(0)).alias("_foreign"))
     return (agg.where(F.col("_foreign") == 0)
             .select(*keys, F.lit("accuracy").alias("label"), F.col("acc").alias("precision"),
@@ -118,10 +119,9 @@ def confusion_accuracy(counts: DataFrame, keys=("domain", "model")) -> DataFrame
 
 
 def label_union(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
-    """labels(true) ∪ labels(pred) per run."""
-    t = detailed.select(*keys, F.col("true_class").alias("label"))
-    p = detailed.select(*keys, F.col("predicted_class").alias("label"))
-    return t.union(p).distinct()
+    """labels(true) ∪ labels(pred) per run, from the count table."""
+    pc = pair_counts(detailed, keys)
+    return pc.select(*keys, F.col("actual").alias("label")).union(pc.select(*keys, F.col("predicted").alias("label"))).distinct()
 
 
 def evaluate(responses: DataFrame, instances: DataFrame, labels: DataFrame,

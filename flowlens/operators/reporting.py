@@ -108,4 +108,4 @@ def model_roster(*tables: DataFrame) -> DataFrame:
     for t in tables:
         m = t.select("model")
         out = m if out is None else out.union(m)
-    return out.distinct()
+    return out.distinct().orderBy("model")

@@ -51,7 +51,9 @@ def aggregate(results: DataFrame, keys=("domain", "model")) -> DataFrame:
 
 
 def f1_by_num_workflows(results: DataFrame, keys=("domain", "model")) -> DataFrame:
-    return results.groupBy(*keys, "num_workflows").agg(F.avg("boundary_f1").alias("mean_f1"))
+    """Mean F1 per number of concatenated workflows, sorted (a small aggregate)."""
+    return (results.groupBy(*keys, "num_workflows").agg(F.avg("boundary_f1").alias("mean_f1"))
+            .orderBy(*keys, "num_workflows"))
 
 
 def f1_by_length_bin(results: DataFrame, keys=("domain", "model"), num_bins: int = 5) -> DataFrame:
@@ -66,7 +68,8 @@ def f1_by_length_bin(results: DataFrame, keys=("domain", "model"), num_bins: int
     lo = (F.col("_lo") + F.col("_b") * F.col("_w")).cast("int")
     hi = (F.col("_lo") + (F.col("_b") + 1) * F.col("_w")).cast("int")
     r = r.withColumn("bin_label", F.concat(lo.cast("string"), F.lit("-"), hi.cast("string"))).withColumn("bin_start", lo)
-    return r.groupBy(*keys, "bin_label").agg(F.min("bin_start").alias("bin_start"), F.avg("boundary_f1").alias("mean_f1"))
+    return (r.groupBy(*keys, "bin_label").agg(F.min("bin_start").alias("bin_start"), F.avg("boundary_f1").alias("mean_f1"))
+            .orderBy(*keys, "bin_start"))
 
 
 def segment_widths(results: DataFrame, slots: DataFrame, keys=("domain", "model"), seq_keys=("domain",)) -> DataFrame:

@@ -43,6 +43,23 @@ def confusion_json(counts: DataFrame, keys=RUN) -> DataFrame:
     return g.select(*keys, F.to_json(grid).alias("json"))
 
 
+def segmentation_json(results: DataFrame, keys=RUN) -> DataFrame:
+    """S11: one document per run: {individual_results: [...], aggregate_metrics: {...}}. The list
+    holds the run's sequences (num_samples of them, a parameter of the run)."""
+    seg = "array<struct<start_index:bigint,end_index:bigint>>"
+    true_segs = F.transform(F.col("true_starts"), lambda s, i: F.struct(
+        s.alias("start_index"),
+        (F.coalesce(F.try_element_at(F.col("true_starts"), i + 2), F.col("sequence_length")) - 1).alias("end_index")))
+    item = F.struct("sequence_id", "num_workflows", "sequence_length", "boundary_precision", "boundary_recall",
+                    "boundary_f1", "edit_distance", true_segs.cast(seg).alias("true_segments"),
+                    F.col("pred_segments").cast(seg).alias("pred_segments"))
+    agg = F.struct(F.avg("boundary_precision").alias("boundary_precision"),
+                   F.avg("boundary_recall").alias("boundary_recall"), F.avg("boundary_f1").alias("boundary_f1"),
+                   F.avg("edit_distance").cast("double").alias("edit_distance"))
+    return results.groupBy(*keys).agg(F.to_json(F.struct(
+        F.array_sort(F.collect_list(item)).alias("individual_results"), agg.alias("aggregate_metrics"))).alias("json"))
+
+
 def write_json_docs(docs: DataFrame, path: str, keys=RUN, mode: str = "overwrite") -> None:
     docs.select(*keys, "json").write.mode(mode).partitionBy(*keys).text(path)
 

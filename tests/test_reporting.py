@@ -81,3 +81,18 @@ def test_result_tree_round_trip(spark, tmp):
     assert rj["A"]["f1-score"] == 2 / 3
     SK.write_json_docs(SK.report_json(reports), os.path.join(tmp, "out"))
     assert spark.read.text(os.path.join(tmp, "out")).count() == 1
+
+
+def test_segmentation_json_document(spark):
+    from flowlens.operators import segmentation as SG
+    headers = spark.createDataFrame([("d", "s0", 2, 10, [0, 4])],
+                                    "domain string, sequence_id string, num_workflows int, sequence_length bigint, "
+                                    "true_starts array<bigint>")
+    resp = spark.createDataFrame([("d", "m", "s0", '<answer>[{"start_index": 0, "end_index": 3}, '
+                                                  '{"start_index": 4, "end_index": 9}]</answer>')],
+                                 "domain string, model string, sequence_id string, generated_text string")
+    res = SG.evaluate(headers, resp)
+    doc = json.loads(SK.segmentation_json(res, ("domain", "model")).collect()[0].json)
+    r = doc["individual_results"][0]
+    assert r["true_segments"] == [{"start_index": 0, "end_index": 3}, {"start_index": 4, "end_index": 9}]
+    assert r["boundary_f1"] == 1.0 and doc["aggregate_metrics"]["edit_distance"] == 0.0
