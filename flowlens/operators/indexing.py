@@ -36,13 +36,34 @@ def with_row_index(df: DataFrame, order_cols: list, index_col: str = "row_index"
             .drop("_pid", "_mid", "_off", "_base"))
 
 
-def with_group_index(df: DataFrame, group_cols: list[str], order_cols: list, index_col: str) -> DataFrame:
+# Groups up to this many rows are numbered by a plain window (one task holds one group);
+# larger ("hot") groups are split across tasks by the global index below.
+MAX_GROUP_ROWS = 1_000_000
+
+
+def with_group_index(df: DataFrame, group_cols: list[str], order_cols: list, index_col: str,
+                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
     """0-based index inside each group (a dense per-group row number), skew-safe.
 
-    Global index over (group, order), minus the group's first global index. The per-group minimum
-    is a partial aggregate, and the join back is an equi-join that AQE may split when one group
-    is hot; no task ever holds a whole group.
+    Group sizes come from one partial aggregate. Ordinary groups use
+    ``row_number() over (partition by group order by ...)``. Groups above ``max_group_rows``
+    (one key may hold a third of all rows) take the global path: global index over
+    (group, order) minus the group's first global index, where the per-group minimum is a
+    partial aggregate and the join back is an equi-join that AQE may split. No task ever holds
+    a whole hot group.
     """
+    sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
+    hot = sizes.where(F.col("_gn") > max_group_rows).select(*group_cols)
+    w = Window.partitionBy(*group_cols).orderBy(*order_cols)
+    number = (F.row_number().over(w) - 1).cast("bigint")
+    if hot.isEmpty():  # an action over the (small) per-group size table only
+        return df.withColumn(index_col, number)
+    cold = df.join(hot, group_cols, "left_anti").withColumn(index_col, number)
+    hot_rows = df.join(hot, group_cols, "left_semi")
+    return cold.unionByName(_global_group_index(hot_rows, group_cols, order_cols, index_col))
+
+
+def _global_group_index(df: DataFrame, group_cols: list[str], order_cols: list, index_col: str) -> DataFrame:
     g = with_row_index(df, [*group_cols, *order_cols], "_gidx")
     first = g.groupBy(*group_cols).agg(F.min("_gidx").alias("_gfirst"))
     return (g.join(first, group_cols)

@@ -3,6 +3,8 @@ skew-safe positions equal to a brute-force ordering."""
 
 import random
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from flowlens.operators import instances as I
@@ -59,11 +61,12 @@ def test_row_index_matches_sort(spark):
     assert got == want
 
 
-def test_group_index_hot_key(spark):
-    # one key holds most rows: the per-group index must still be exact
+@pytest.mark.parametrize("limit", [100, 10_000])
+def test_group_index_hot_key(spark, limit):
+    # one key holds most rows: split across tasks (limit 100) or windowed (limit 10k); both exact
     rows = [("hot" if i % 10 else f"k{i}", i) for i in range(4000)]
     df = spark.createDataFrame(rows, "g string, i int")
-    got = {r.i: r.ix for r in with_group_index(df, ["g"], [F.col("i")], "ix").collect()}
+    got = {r.i: r.ix for r in with_group_index(df, ["g"], [F.col("i")], "ix", max_group_rows=limit).collect()}
     by = {}
     for g, i in sorted(rows, key=lambda r: (r[0], r[1])):
         by.setdefault(g, []).append(i)
