@@ -61,7 +61,11 @@ def pair_counts(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
 def class_report(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
     """Per-class precision, recall, F1 and support over the labels seen in the truth;
     zero_division gives 0."""
-    pc = pair_counts(detailed, keys)
+    return class_report_from_counts(pair_counts(detailed, keys), keys)
+
+
+def class_report_from_counts(pc: DataFrame, keys=("domain", "model")) -> DataFrame:
+    """class_report over a (run, actual, predicted, n) count table."""
     by_true = pc.groupBy(*keys, F.col("actual").alias("label")).agg(
         F.sum("n").alias("support"),
         F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
@@ -86,7 +90,10 @@ def report_accuracy_row(detailed: DataFrame, keys=("domain", "model")) -> DataFr
     """The 'accuracy' row, present only when every prediction is one of the true labels (otherwise
     the report carries a micro average, which is dropped). All four fields hold the accuracy.
     Computed from the small (run, actual, predicted) count table, not from the row-level data."""
-    pc = pair_counts(detailed, keys)
+    return accuracy_row_from_counts(pair_counts(detailed, keys), keys)
+
+
+def accuracy_row_from_counts(pc: DataFrame, keys=("domain", "model")) -> DataFrame:
     truth = pc.select(*keys, F.col("actual").alias("predicted")).distinct().withColumn("_is_true", F.lit(1))
     flagged = pc.join(truth, [*keys, "predicted"], "left")
     agg = flagged.groupBy(*keys).agg(

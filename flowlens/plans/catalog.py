@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from flowlens.functions import text as TX
 from flowlens.operators import classification as C
 from flowlens.operators import instances as I
+from flowlens.session import cut_lineage
 from flowlens.sources import testdata as T
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,7 +32,9 @@ def events(spark, sf) -> DataFrame:
 
 
 def instances(spark, sf) -> DataFrame:
-    return I.workflow_instances(events(spark, sf))
+    """Instance headers, materialised once in the shared checkpoint folder: labels, truth,
+    responses and the sampler all read them, and none re-aggregates the events."""
+    return cut_lineage(I.workflow_instances(events(spark, sf)))
 
 
 def labels(spark, sf) -> DataFrame:
@@ -192,8 +195,10 @@ def indexed(spark, sf) -> DataFrame:
 
 
 def slots(spark, sf) -> DataFrame:
+    """Sequence slots (samples x <= max_workflows rows), materialised once: headers, responses and
+    the event gather all read them."""
     ix = indexed(spark, sf)
-    return SA.sequence_slots(SA.sample_plan(ix), ix)
+    return cut_lineage(SA.sequence_slots(SA.sample_plan(ix), ix))
 
 
 @query
@@ -378,10 +383,11 @@ def cls_runs(spark, sf) -> DataFrame:
 
 
 def report_rows(spark, sf) -> DataFrame:
-    d = detailed(spark, sf)
-    rep = C.class_report(d)
+    """Per-class rows, the Average row and the accuracy row, all from one count table."""
+    pc = C.pair_counts(detailed(spark, sf))
+    rep = C.class_report_from_counts(pc)
     rows = rep.unionByName(C.macro_average(rep)).unionByName(
-        C.report_accuracy_row(d).withColumn("support", F.col("support").cast("bigint")), allowMissingColumns=False)
+        C.accuracy_row_from_counts(pc).withColumn("support", F.col("support").cast("bigint")))
     return rows.withColumn("task", F.lit("classification"))
 
 
