@@ -190,14 +190,14 @@ def undefined_processes(spark, sf):
 
 
 # ---------------------------------------------------------------- sampling
-def indexed(spark, sf) -> DataFrame:
-    return SA.dense_index(instances(spark, sf))
+def indexed(spark, sf, inst: DataFrame | None = None) -> DataFrame:
+    return SA.dense_index(instances(spark, sf) if inst is None else inst)
 
 
-def slots(spark, sf) -> DataFrame:
+def slots(spark, sf, inst: DataFrame | None = None) -> DataFrame:
     """Sequence slots (samples x <= max_workflows rows), materialised once: headers, responses and
     the event gather all read them."""
-    ix = indexed(spark, sf)
+    ix = indexed(spark, sf, inst)
     return cut_lineage(SA.sequence_slots(SA.sample_plan(ix), ix))
 
 
@@ -234,8 +234,9 @@ def true_boundaries(spark, sf):
 
 @query
 def segmentation_prompts(spark, sf):
-    seq = SA.concatenated_events(slots(spark, sf), events(spark, sf))
-    defs = PR.definitions_prompt_text(builtin_definitions(spark), instances(spark, sf))
+    inst = instances(spark, sf)
+    seq = SA.concatenated_events(slots(spark, sf, inst), events(spark, sf))
+    defs = PR.definitions_prompt_text(builtin_definitions(spark), inst)
     return PR.segmentation_prompts(seq, defs)
 
 
@@ -382,9 +383,9 @@ def cls_runs(spark, sf) -> DataFrame:
     return detailed(spark, sf).withColumn("task", F.lit("classification"))
 
 
-def report_rows(spark, sf) -> DataFrame:
+def report_rows(spark, sf, d: DataFrame | None = None) -> DataFrame:
     """Per-class rows, the Average row and the accuracy row, all from one count table."""
-    pc = C.pair_counts(detailed(spark, sf))
+    pc = C.pair_counts(detailed(spark, sf) if d is None else d)
     rep = C.class_report_from_counts(pc)
     rows = rep.unionByName(C.macro_average(rep)).unionByName(
         C.accuracy_row_from_counts(pc).withColumn("support", F.col("support").cast("bigint")))
@@ -433,12 +434,15 @@ def domain_segmentation_f1(spark, sf):
 
 @query
 def accuracy_fallback(spark, sf):
-    return _r6_all(RP.accuracy_fallback(report_rows(spark, sf), cls_runs(spark, sf)), {"accuracy"})
+    d = detailed(spark, sf)
+    return _r6_all(RP.accuracy_fallback(report_rows(spark, sf, d), d.withColumn("task", F.lit("classification"))),
+                   {"accuracy"})
 
 
 @query
 def classification_leaderboard(spark, sf):
-    lb = RP.classification_leaderboard(report_rows(spark, sf), cls_runs(spark, sf))
+    d = detailed(spark, sf)
+    lb = RP.classification_leaderboard(report_rows(spark, sf, d), d.withColumn("task", F.lit("classification")))
     return _r6_all(lb.withColumn("support", F.col("support").cast("double")),
                    {"precision", "recall", "f1", "accuracy", "support"})
 
@@ -451,7 +455,7 @@ def segmentation_leaderboard(spark, sf):
 
 @query
 def model_roster(spark, sf):
-    return RP.model_roster(cls_runs(spark, sf), seg_runs(spark, sf))
+    return RP.model_roster(cls_runs(spark, sf), seg_runs(spark, sf))  # classification and segmentation runs
 
 
 @query
@@ -468,8 +472,10 @@ def display_names(spark, sf):
 
 @query
 def report_cells(spark, sf):
-    ra = RP.run_accuracy(cls_runs(spark, sf))
-    lb = RP.classification_leaderboard(report_rows(spark, sf), cls_runs(spark, sf)).select(
+    d = detailed(spark, sf)
+    runs = d.withColumn("task", F.lit("classification"))
+    ra = RP.run_accuracy(runs)
+    lb = RP.classification_leaderboard(report_rows(spark, sf, d), runs).select(
         "domain", "task", "model", "f1")
     j = ra.join(lb, ["domain", "task", "model"])
     return j.select("domain", "task", "model", TX.fmt_percent("accuracy").alias("accuracy_text"),
