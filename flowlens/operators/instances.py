@@ -81,3 +81,12 @@ def dataset_summary(events: DataFrame, group_cols: tuple[str, ...] = ("domain",)
     return (events.groupBy(*group_cols)
             .agg(cd(F.col(UUID)).alias("n_instances"), cd(F.col("process_name")).alias("n_processes"),
                  F.count(F.lit(1)).alias("n_events")))
+
+
+def ordered_texts(df: DataFrame, id_cols: list[str], order_col: str, text: F.Column, sep: str = "\n",
+                  out_col: str = "instance_text") -> DataFrame:
+    """Generic instance text: the per-row texts of each instance joined by ``sep`` in the order of
+    ``order_col`` (the ordering is applied inside the aggregate), with the number of parts."""
+    return (df.withColumn("_t", text).groupBy(*id_cols)
+            .agg(F.expr(f"listagg(_t, {sep!r}) WITHIN GROUP (ORDER BY `{order_col}`)").alias(out_col),
+                 F.count(F.lit(1)).alias("n_parts")))

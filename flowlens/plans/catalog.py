@@ -481,3 +481,32 @@ def report_cells(spark, sf):
     return j.select("domain", "task", "model", TX.fmt_percent("accuracy").alias("accuracy_text"),
                     TX.fmt_fixed("f1").alias("f1_text"), TX.fmt_count(F.col("total") * 1000).alias("total_text"),
                     F.concat(F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("ratio_text"))
+
+
+# ---------------------------------------------------------------- the same operators on other given tables
+def quality_detailed(spark, sf) -> DataFrame:
+    """labels as a second truth/prediction pair: truth = quality, prediction = 1 - toxic."""
+    lab = T.table(spark, sf, "labels")
+    t = F.col("quality").cast("string")
+    p = (1 - F.col("toxic")).cast("string")
+    return lab.select(F.lit("labels").alias("domain"), F.lit("non_toxic").alias("model"),
+                      F.col("doc_id").cast("string").alias("workflow_id"), t.alias("true_class"),
+                      p.alias("predicted_class"), (t == p).alias("correct"))
+
+
+@query
+def quality_report(spark, sf):
+    rep = C.class_report(quality_detailed(spark, sf))
+    return _round_report(rep.unionByName(C.macro_average(rep)))
+
+
+@query
+def quality_confusion(spark, sf):
+    return C.confusion_matrix(quality_detailed(spark, sf))
+
+
+@query
+def conversation_texts(spark, sf):
+    conv = T.table(spark, sf, "conversations")
+    txt = I.ordered_texts(conv, ["conv_id"], "turn", F.concat(F.col("role"), F.lit(": "), F.col("text")))
+    return SIM.token_counts(txt, "instance_text").select("conv_id", "n_parts", "num_tokens", "instance_text")

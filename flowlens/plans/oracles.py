@@ -495,3 +495,32 @@ SELECT name, CASE
   WHEN contains(name, '_') THEN array_to_string(list_transform(string_split(name, '_'), lambda p: {_cap('p')}), ' ')
   ELSE {_cap('name')} END AS display_name
 FROM names"""
+
+
+# ---------------------------------------------------------------- the same operators on other given tables
+QD = """qd AS (SELECT 'labels' AS domain, 'non_toxic' AS model, CAST(doc_id AS VARCHAR) AS workflow_id,
+                 CAST(quality AS VARCHAR) AS true_class, CAST(1 - toxic AS VARCHAR) AS predicted_class FROM labels),
+qrep AS (
+  SELECT t.domain, t.model, t.label,
+         CASE WHEN coalesce(p.n_pred, 0) = 0 THEN 0.0 ELSE t.tp / p.n_pred END AS precision,
+         CASE WHEN t.support = 0 THEN 0.0 ELSE t.tp / t.support END AS recall, t.support
+  FROM (SELECT domain, model, true_class AS label, count(*) AS support,
+               sum(CASE WHEN true_class = predicted_class THEN 1 ELSE 0 END) AS tp FROM qd GROUP BY ALL) t
+  LEFT JOIN (SELECT domain, model, predicted_class AS label, count(*) AS n_pred FROM qd GROUP BY ALL) p
+    USING (domain, model, label)),
+qrep_f AS (SELECT *, CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END
+                     AS f1_score FROM qrep)"""
+
+ORACLES["quality_report"] = with_(QD) + f"""SELECT domain, model, label, {_R6} FROM (
+  SELECT domain, model, label, precision, recall, f1_score, support FROM qrep_f
+  UNION ALL
+  SELECT domain, model, 'Average', avg(precision), avg(recall), avg(f1_score), sum(support) FROM qrep_f GROUP BY domain, model) r"""
+
+ORACLES["quality_confusion"] = with_(QD) + """SELECT domain, model, true_class AS actual, predicted_class AS predicted,
+  count(*) AS n FROM qd GROUP BY ALL"""
+
+ORACLES["conversation_texts"] = f"""SELECT conv_id, count(*) AS n_parts,
+  CAST(len(regexp_extract_all(string_agg(role || ': ' || text, chr(10) ORDER BY turn), '[^ \\t\\n\\r\\f\\x0B]+')) AS INTEGER)
+    AS num_tokens,
+  string_agg(role || ': ' || text, chr(10) ORDER BY turn) AS instance_text
+FROM conversations GROUP BY conv_id"""
