@@ -41,10 +41,12 @@ def chunk_tokens(df: DataFrame, id_cols: list[str], text_col: str = "text", max_
     m = int(max_tokens)
     if m <= 0:
         raise ValueError("max_tokens must be positive")
-    tok = tokenizer(F.col(text_col))
+    # tokens once per row; the chunk lambda then slices the materialised array
+    base = df.select(*id_cols, tokenizer(F.col(text_col)).alias("_tok"))
+    tok = F.col("_tok")
     n_chunks = F.greatest(F.lit(1), F.ceil(F.size(tok) / m).cast("int"))
     chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice(tok, k * m + 1, m))
-    return (df.select(*id_cols, F.posexplode(chunks).alias("chunk", "_toks"))
+    return (base.select(*id_cols, F.posexplode(chunks).alias("chunk", "_toks"))
             .select(*id_cols, "chunk", F.size("_toks").alias("n_tokens"),
                     F.array_join("_toks", " ").alias("chunk_text")))
 
