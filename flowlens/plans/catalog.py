@@ -42,8 +42,10 @@ def labels(spark, sf) -> DataFrame:
 
 
 def detailed(spark, sf) -> DataFrame:
+    """Per-instance outcomes of every run, materialised once (the run's primary output, written
+    as detailed results by the reference); reports and roll-ups read this table."""
     inst = instances(spark, sf)
-    return C.evaluate(T.responses(inst), inst, I.label_encoding(inst))
+    return cut_lineage(C.evaluate(T.responses(inst), inst, I.label_encoding(inst)))
 
 
 # ---------------------------------------------------------------- sources / projections
@@ -327,10 +329,12 @@ def documents(spark, sf) -> DataFrame:
 
 
 def pooled_instances(spark, sf) -> DataFrame:
+    """Instance vectors (mean of chunk vectors) with their process, materialised once: the
+    embedding table the reference saves, read by every similarity step."""
     cv = T.chunk_vectors(spark, sf)
     names = cv.groupBy("instance_id").agg(F.min_by("process_name", "chunk").alias("process_name"),
                                           F.count(F.lit(1)).alias("n_chunks"))
-    return SIM.pool_embeddings(cv, ["instance_id"]).join(names, "instance_id")
+    return cut_lineage(SIM.pool_embeddings(cv, ["instance_id"]).join(names, "instance_id"))
 
 
 @query
