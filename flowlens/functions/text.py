@@ -49,9 +49,7 @@ def capitalize(c) -> Column:
 
 def capitalize_words(c, sep: str = "_") -> Column:
     """' '.join(p.capitalize() for p in c.split(sep))."""
-    parts = F.split(_c(c), sep, -1)
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)),
-                                                               F.lower(F.substring(p, 2, 1 << 30)))), " ")
+    return F.array_join(F.transform(F.split(_c(c), sep, -1), capitalize), " ")
 
 
 # Display names for known models and domains.

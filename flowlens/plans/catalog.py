@@ -171,10 +171,6 @@ from flowlens.operators import segmentation as SG  # noqa: E402
 from flowlens.sources.definitions import builtin_definitions  # noqa: E402
 
 
-def positioned(spark, sf) -> DataFrame:
-    return I.with_descriptions(I.event_positions(events(spark, sf)))
-
-
 @query
 def classification_prompts(spark, sf):
     ev = events(spark, sf)
@@ -426,6 +422,9 @@ def domain_accuracy(spark, sf):
 @query
 def segmentation_fallback(spark, sf):
     ind = seg_individual(spark, sf)
+    # Stored aggregates exist for every model but one, standing in for result files that lack
+    # aggregate_metrics; those runs are recomputed from their individual results, so the output
+    # still holds every run.
     stored = SG.aggregate(ind.where(F.col("model") != T.FOLDED_MODEL), ("domain", "task", "model"))
     out = RP.segmentation_fallback(stored, ind)
     return _r6_all(out, {"boundary_precision", "boundary_recall", "boundary_f1", "edit_distance"})

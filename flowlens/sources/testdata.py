@@ -32,15 +32,26 @@ FOLDED_MODEL = "m3"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return balanced(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    path = f"{sf_dir}/{name}.parquet"
+    return balanced(spark.read.parquet(path), key=path)
 
 
-def balanced(df: DataFrame) -> DataFrame:
+_SCAN_SPLITS: dict[str, int] = {}
+
+
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
     """Spread a scan that yields fewer partitions than the default parallelism (a small file with a
     single row group is one task however many cores there are). Large, many-file inputs already
-    have enough splits and are returned unchanged, without a shuffle."""
+    have enough splits and are returned unchanged, without a shuffle. The split count of a path
+    is probed once per process (it only steers this choice, never the result)."""
     par = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(par) if df.rdd.getNumPartitions() < par else df
+    if key is None or key not in _SCAN_SPLITS:
+        n = df.rdd.getNumPartitions()
+        if key is not None:
+            _SCAN_SPLITS[key] = n
+    else:
+        n = _SCAN_SPLITS[key]
+    return df.repartition(par) if n < par else df
 
 
 def _names() -> F.Column:
