@@ -246,15 +246,15 @@ floyd(domain, sample, k, n_instances, j, acc) AS (
   SELECT domain, sample, k, n_instances, j + 1,
          CASE WHEN list_contains(acc, {_T}) THEN list_append(acc, j) ELSE list_append(acc, {_T}) END
   FROM floyd WHERE j < n_instances),
-plan AS (SELECT domain, sample, 'sequence_' || CAST(sample AS VARCHAR) AS sequence_id, k,
+plan AS (SELECT domain, CAST(sample AS INTEGER) AS sample, 'sequence_' || CAST(sample AS VARCHAR) AS sequence_id, k,
   CAST(row_number() OVER (PARTITION BY domain, sample ORDER BY {h(SEED, 'domain', 'sample', "'o'", 'idx')}, idx) AS INTEGER) AS slot,
   idx
   FROM (SELECT domain, sample, k, unnest(acc) AS idx FROM floyd WHERE j = n_instances AND len(acc) > 0) u)"""
 
 SLOTS = """slots AS (SELECT p.*, i.workflow_id, i.process_name, i.n_events,
-  coalesce(sum(i.n_events) OVER (PARTITION BY p.domain, p.sample ORDER BY p.slot
-                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS seg_start,
-  sum(i.n_events) OVER (PARTITION BY p.domain, p.sample) AS sequence_length
+  CAST(coalesce(sum(i.n_events) OVER (PARTITION BY p.domain, p.sample ORDER BY p.slot
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS seg_start,
+  CAST(sum(i.n_events) OVER (PARTITION BY p.domain, p.sample) AS BIGINT) AS sequence_length
   FROM plan p JOIN idx i ON i.domain = p.domain AND i.idx = p.idx)"""
 
 
@@ -373,7 +373,7 @@ ORACLES["token_counts"] = f"SELECT doc_id, CAST(len({TOK}) AS INTEGER) AS num_to
 
 ORACLES["chunk_tokens"] = f"""WITH d AS (SELECT doc_id, {TOK} AS tok FROM documents),
 c AS (SELECT doc_id, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) / 8000.0) AS BIGINT)))) AS chunk FROM d)
-SELECT doc_id, chunk, len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS n_tokens,
+SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS INTEGER) AS n_tokens,
        array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), ' ') AS chunk_text FROM c"""
 
 CV = f"""cv AS (SELECT vec_id // 4 AS instance_id, vec_id, CAST(embedding AS DOUBLE[]) AS e,
@@ -384,7 +384,7 @@ names AS (SELECT instance_id, arg_min(process_name, vec_id) AS process_name FROM
 pooled AS (SELECT p.instance_id, n.process_name, list(p.v ORDER BY p.dim) AS e
            FROM pool p JOIN names n USING (instance_id) GROUP BY ALL)"""
 
-ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, dim, round(v, 6) AS value FROM pool"
+ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM pool"
 
 # Brute force over every pair of instances (small fixture), averaged per process pair.
 ORACLES["process_similarity"] = with_(CV) + """, cnt AS (SELECT process_name, count(*) AS n FROM pooled GROUP BY ALL),
@@ -403,7 +403,7 @@ ORACLES["truncate_labels"] = with_(WF, INST) + """SELECT DISTINCT process_name,
   CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS label_20,
   CASE WHEN length(process_name) > 25 THEN left(process_name, 25) || '...' ELSE process_name END AS label_25 FROM inst"""
 
-ORACLES["parse_embedding_text"] = """SELECT vec_id, dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) AS value
+ORACLES["parse_embedding_text"] = """SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) AS value
 FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings) x"""
 
 # ---------------------------------------------------------------- reporting
@@ -435,7 +435,7 @@ FROM runacc"""
 
 ORACLES["class_accuracy"] = CLSRUN + """SELECT domain, task, model, true_class, correct, total, incorrect,
   round(accuracy, 6) AS accuracy,
-  row_number() OVER (PARTITION BY domain, task, model ORDER BY accuracy, true_class) AS rank
+  CAST(row_number() OVER (PARTITION BY domain, task, model ORDER BY accuracy, true_class) AS INTEGER) AS rank
 FROM (SELECT domain, 'classification' AS task, model, coalesce(true_class, 'Unknown') AS true_class,
              count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
              count(*) - count(*) FILTER (WHERE correct) AS incorrect,
