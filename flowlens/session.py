@@ -75,15 +75,17 @@ def env_int(name: str, default: int) -> int:
 
 
 def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
-                 target_partition_bytes: int = 256 << 20) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict[str, str]:
     """Settings sized for a cluster run over ``input_bytes`` of input.
 
     Scan splits of ``target_partition_bytes``. Initial shuffle partitions are chosen so that one
     partition holds about that much shuffled data (at least 2 per core), and AQE coalesces small
-    ones and splits skewed ones at run time.
+    ones and splits skewed ones at run time. Capped at ``max_partitions``: shuffled data is far
+    smaller than the raw input after column pruning, and map-status bookkeeping grows with
+    map tasks x reducers.
     """
     cores = max(1, executor_cores * executors)
-    parts = max(2 * cores, int(input_bytes // target_partition_bytes))
+    parts = min(max_partitions, max(2 * cores, int(input_bytes // target_partition_bytes)))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),
