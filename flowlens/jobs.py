@@ -79,8 +79,9 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
     ev = I.coerce_timestamps(events) if dict(events.dtypes).get("time_stamp") == "string" else events
     inst = cut_lineage(I.workflow_instances(ev))
     ix = SA.dense_index(inst)
-    slots = cut_lineage(SA.sequence_slots(SA.sample_plan(ix, num_samples, min_workflows, max_workflows, seed), ix))
-    headers = SA.sequence_headers(slots)
+    plan = cut_lineage(SA.sample_plan(ix, num_samples, min_workflows, max_workflows, seed))
+    slots = cut_lineage(SA.sequence_slots(plan, ix))
+    headers = SA.sequence_headers(slots, plan=plan)
     seq_events = SA.concatenated_events(slots, ev)
     if definitions is not None:
         defs = PR.definitions_prompt_text(definitions, inst)

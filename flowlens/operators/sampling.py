@@ -45,8 +45,9 @@ def sample_plan(indexed: DataFrame, num_samples: int = 100, min_workflows: int =
     floyd = (f"aggregate(sequence(n_instances - m, n_instances - 1), cast(array() AS array<bigint>), "
              f"(acc, j) -> if(array_contains(acc, {t}), array_append(acc, j), array_append(acc, {t})))")
     order = f"array_sort(transform({floyd}, x -> named_struct('o', {draw_sql(str(seed), g, 'sample', repr('o'), 'x')}, 'idx', x)))"
-    plan = plan.where(F.col("m") > 0).withColumn("_sel", F.expr(order))
-    return (plan.select(group_col, "sample", "k", F.posexplode("_sel").alias("_p", "_s"))
+    # m = 0 (k = 0 drawn when min_workflows = 0) keeps one row with a null slot: an empty sequence.
+    plan = plan.withColumn("_sel", F.when(F.col("m") > 0, F.expr(order)))
+    return (plan.select(group_col, "sample", "k", F.posexplode_outer("_sel").alias("_p", "_s"))
             .select(group_col, "sample", F.concat(F.lit("sequence_"), F.col("sample").cast("string")).alias("sequence_id"),
                     "k", (F.col("_p") + 1).alias("slot"), F.col("_s.idx").alias("idx")))
 
@@ -62,17 +63,26 @@ def sequence_slots(plan: DataFrame, indexed: DataFrame, group_col: str = "domain
             .withColumn("sequence_length", F.sum("n_events").over(Window.partitionBy(group_col, "sample")).cast("bigint")))
 
 
-def sequence_headers(slots: DataFrame, group_col: str = "domain") -> DataFrame:
+def sequence_headers(slots: DataFrame, group_col: str = "domain", plan: DataFrame | None = None) -> DataFrame:
     """One row per sequence: lengths, boundaries (starts + end), workflow ids and types in slot order.
-    Arrays hold <= max_workflows elements."""
+    Arrays hold <= max_workflows elements. With ``plan``, samples that drew no workflow appear as
+    empty sequences (boundaries [0])."""
     s = F.array_sort(F.collect_list(F.struct("slot", "seg_start", "workflow_id", "process_name")))
     h = (slots.groupBy(group_col, "sample", "sequence_id")
          .agg(s.alias("_s"), F.count(F.lit(1)).alias("num_workflows"), F.max("sequence_length").alias("sequence_length")))
-    return h.select(group_col, "sample", "sequence_id", "num_workflows", "sequence_length",
-                    F.transform("_s", lambda x: x["seg_start"]).alias("true_starts"),
-                    F.concat(F.transform("_s", lambda x: x["seg_start"]), F.array("sequence_length")).alias("segment_boundaries"),
-                    F.transform("_s", lambda x: x["workflow_id"]).alias("workflow_ids"),
-                    F.transform("_s", lambda x: x["process_name"]).alias("workflow_types"))
+    h = h.select(group_col, "sample", "sequence_id", "num_workflows", "sequence_length",
+                 F.transform("_s", lambda x: x["seg_start"]).alias("true_starts"),
+                 F.concat(F.transform("_s", lambda x: x["seg_start"]), F.array("sequence_length")).alias("segment_boundaries"),
+                 F.transform("_s", lambda x: x["workflow_id"]).alias("workflow_ids"),
+                 F.transform("_s", lambda x: x["process_name"]).alias("workflow_types"))
+    if plan is None:
+        return h
+    empty = plan.where(F.col("slot").isNull()).select(
+        group_col, "sample", "sequence_id", F.lit(0).cast("bigint").alias("num_workflows"),
+        F.lit(0).cast("bigint").alias("sequence_length"), F.array().cast("array<bigint>").alias("true_starts"),
+        F.array(F.lit(0).cast("bigint")).alias("segment_boundaries"),
+        F.array().cast("array<string>").alias("workflow_ids"), F.array().cast("array<string>").alias("workflow_types"))
+    return h.unionByName(empty)
 
 
 def concatenated_events(slots: DataFrame, events: DataFrame, group_col: str = "domain",

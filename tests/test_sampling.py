@@ -57,3 +57,18 @@ def test_segments_contiguous(spark):
     assert all(c["count"] == hd[c.sequence_id].num_workflows - 1 for c in tb)
     seg = SA.true_segments(slots).withColumn("w", F.col("end_index") - F.col("start_index") + 1)
     assert seg.where("w < 1").count() == 0
+
+
+def test_zero_workflow_samples(spark):
+    # Q10: min_workflows = 0 is honoured; a sample drawing k = 0 is an empty sequence
+    ix = SA.dense_index(instances(spark, 20))
+    plan = SA.sample_plan(ix, num_samples=40, min_workflows=0, max_workflows=1, seed=5)
+    slots = SA.sequence_slots(plan, ix)
+    hd = SA.sequence_headers(slots, plan=plan).collect()
+    assert len(hd) == 40
+    ks = {r.sample: r.k for r in plan.select("sample", "k").distinct().collect()}
+    for r in hd:
+        assert r.num_workflows == ks[r.sample]
+        if r.num_workflows == 0:
+            assert r.segment_boundaries == [0] and r.sequence_length == 0
+    assert any(k == 0 for k in ks.values()) and any(k == 1 for k in ks.values())
