@@ -91,12 +91,14 @@ def concatenated_events(slots: DataFrame, events: DataFrame, group_col: str = "d
     seq_pos = segment start + position inside the instance.
 
     Events are first reduced to the sampled instances (a semi-join against at most
-    samples x max_workflows ids), and positions are computed on that subset only, with the
-    skew-safe per-instance index. An instance drawn by several sequences is gathered once per draw.
+    samples x max_workflows ids) and that subset is materialised once, so the big table is scanned
+    a single time; positions are then computed on the subset only, with the skew-safe
+    per-instance index. An instance drawn by several sequences is gathered once per draw.
     """
     from flowlens.operators.instances import event_positions, with_descriptions
+    from flowlens.session import cut_lineage
     ids = slots.select(F.col("workflow_id").alias("process_instance_uuid")).distinct()
-    sampled = events.join(ids, "process_instance_uuid", "left_semi")
+    sampled = cut_lineage(events.join(ids, "process_instance_uuid", "left_semi"))
     ev = with_descriptions(event_positions(sampled), text_col).select(
         F.col("process_instance_uuid").alias("workflow_id"), "pos", text_col)
     return (slots.select(group_col, "sequence_id", "slot", "workflow_id", "seg_start").join(ev, "workflow_id")
