@@ -99,6 +99,8 @@ report_f AS (
   FROM report)"""
 
 ORACLES: dict[str, str] = {}
+# DuckDB's round keeps a negative zero where Spark's decimal rounding gives +0.0; "+ 0.0" maps
+# -0.0 to +0.0 in the queries whose values can be tiny negatives.
 
 ORACLES["load_events"] = with_(WF) + """SELECT process_instance_uuid, process_name, application_name, description,
   screen_name, event_seq, domain FROM wf"""
@@ -384,13 +386,13 @@ names AS (SELECT instance_id, arg_min(process_name, vec_id) AS process_name FROM
 pooled AS (SELECT p.instance_id, n.process_name, list(p.v ORDER BY p.dim) AS e
            FROM pool p JOIN names n USING (instance_id) GROUP BY ALL)"""
 
-ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, CAST(dim AS INTEGER) AS dim, round(v, 6) AS value FROM pool"
+ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM pool"
 
 # Brute force over every pair of instances (small fixture), averaged per process pair.
 ORACLES["process_similarity"] = with_(CV) + """, cnt AS (SELECT process_name, count(*) AS n FROM pooled GROUP BY ALL),
 pairs AS (SELECT a.process_name AS process_i, b.process_name AS process_j, list_cosine_similarity(a.e, b.e) AS c
           FROM pooled a, pooled b)
-SELECT process_i, process_j, round(avg(c), 6) AS mean_cosine, ci.n AS n_i, cj.n AS n_j
+SELECT process_i, process_j, round(avg(c), 6) + 0.0 AS mean_cosine, ci.n AS n_i, cj.n AS n_j
 FROM pairs JOIN cnt ci ON ci.process_name = process_i JOIN cnt cj ON cj.process_name = process_j
 GROUP BY process_i, process_j, ci.n, cj.n"""
 
@@ -403,7 +405,7 @@ ORACLES["truncate_labels"] = with_(WF, INST) + """SELECT DISTINCT process_name,
   CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS label_20,
   CASE WHEN length(process_name) > 25 THEN left(process_name, 25) || '...' ELSE process_name END AS label_25 FROM inst"""
 
-ORACLES["parse_embedding_text"] = """SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) AS value
+ORACLES["parse_embedding_text"] = """SELECT vec_id, CAST(dim AS INTEGER) AS dim, round(CAST(embedding[dim + 1] AS DOUBLE), 6) + 0.0 AS value
 FROM (SELECT vec_id, embedding, unnest(range(len(embedding))) AS dim FROM embeddings) x"""
 
 # ---------------------------------------------------------------- reporting
