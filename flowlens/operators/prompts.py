@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.functions.text import event_description
-
 # Our own prompt templates. {classes}/{sequence}/{definitions} are the slots.
 CLASSIFICATION_TEMPLATE = (
     "Which workflow does this interaction log belong to? Choose one of: {classes}.\n\n"
@@ -95,5 +93,4 @@ def segmentation_prompts(sequence_events: DataFrame, definitions_text: DataFrame
 
 
 __all__ = ["CLASSIFICATION_TEMPLATE", "SEGMENTATION_TEMPLATE", "classification_prompts",
-           "definitions_prompt_text", "undefined_processes", "segmentation_prompts", "class_lists",
-           "event_description"]
+           "definitions_prompt_text", "undefined_processes", "segmentation_prompts", "class_lists"]

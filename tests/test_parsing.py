@@ -1,7 +1,5 @@
 """Q3 (answer regex) and Q4 (segment JSON) on hand-made texts."""
 
-from pyspark.sql import functions as F
-
 from flowlens.functions.parsing import extract_answer, parse_segments
 from flowlens.functions.text import py_strip
 
