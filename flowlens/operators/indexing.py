@@ -42,7 +42,7 @@ MAX_GROUP_ROWS = 1_000_000
 
 
 def with_group_index(df: DataFrame, group_cols: list[str], order_cols: list, index_col: str,
-                     max_group_rows: int = MAX_GROUP_ROWS) -> DataFrame:
+                     max_group_rows: int | None = None) -> DataFrame:
     """0-based index inside each group (a dense per-group row number), skew-safe.
 
     Group sizes come from one partial aggregate. Ordinary groups use
@@ -52,6 +52,8 @@ def with_group_index(df: DataFrame, group_cols: list[str], order_cols: list, ind
     partial aggregate and the join back is an equi-join that AQE may split. No task ever holds
     a whole hot group.
     """
+    if max_group_rows is None:  # session-tunable: spark.flowlens.maxGroupRows
+        max_group_rows = int(df.sparkSession.conf.get("spark.flowlens.maxGroupRows", str(MAX_GROUP_ROWS)))
     sizes = df.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("_gn"))
     hot = sizes.where(F.col("_gn") > max_group_rows).select(*group_cols)
     w = Window.partitionBy(*group_cols).orderBy(*order_cols)

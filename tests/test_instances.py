@@ -72,3 +72,22 @@ def test_group_index_hot_key(spark, limit):
         by.setdefault(g, []).append(i)
     want = {i: n for g, lst in by.items() for n, i in enumerate(lst)}
     assert got == want
+
+
+def test_hot_threshold_from_session(spark):
+    rows = [("hot", i) for i in range(300)] + [("cold", i) for i in range(5)]
+    df = spark.createDataFrame(rows, "g string, i int")
+    spark.conf.set("spark.flowlens.maxGroupRows", "50")
+    try:
+        got = {(r.g, r.i): r.ix for r in with_group_index(df, ["g"], [F.col("i")], "ix").collect()}
+    finally:
+        spark.conf.unset("spark.flowlens.maxGroupRows")
+    assert all(got[(g, i)] == i for g, i in got)
+
+
+def test_cluster_conf():
+    from flowlens.session import cluster_conf
+    c = cluster_conf(100 << 40, 8, 1000)
+    assert c["spark.sql.shuffle.partitions"] == "100000" and c["spark.sql.adaptive.enabled"] == "true"
+    small = cluster_conf(1 << 30, 4, 2)
+    assert int(small["spark.sql.shuffle.partitions"]) == 16
