@@ -63,17 +63,14 @@ def _is_obj(e: str) -> str:
     return f"(schema_of_variant({e}) LIKE 'OBJECT%')"
 
 
-def _breaks_sql(e: str) -> str:
-    """True when the reference's loop would raise on element e (the whole answer becomes [])."""
+def _other_break_sql(e: str) -> str:
+    """True when the reference's key test itself raises on a non-object element e."""
     k = f"schema_of_variant({e})"
     s = f"try_variant_get({e}, '$', 'string')"
     a = f"try_variant_get({e}, '$', 'array<variant>')"
-    start = _to_int_sql(f"variant_get({e}, '$.start_index')")
-    end = _to_int_sql(f"variant_get({e}, '$.end_index')")
     return (
-        f"(({_is_obj(e)} AND {_has_keys_sql(e)} AND (({start}) IS NULL OR ({end}) IS NULL)) "
         # 'key in "text"' is a substring test; with both present, str indexing raises.
-        f"OR ({k} = 'STRING' AND instr({s}, 'start_index') > 0 AND instr({s}, 'end_index') > 0) "
+        f"(({k} = 'STRING' AND instr({s}, 'start_index') > 0 AND instr({s}, 'end_index') > 0) "
         # 'key in [...]' is membership; with both present, list indexing raises.
         f"OR ({k} LIKE 'ARRAY%' AND exists({a}, x -> try_variant_get(x, '$', 'string') = 'start_index') "
         f"AND exists({a}, x -> try_variant_get(x, '$', 'string') = 'end_index')) "
@@ -92,14 +89,14 @@ def parse_segments_sql(text_sql: str) -> str:
     raw = (f"CASE WHEN {text_sql} rlike {pat} THEN regexp_replace(regexp_extract({text_sql}, {pat}, 1), "
            f"{sql_lit(_STRIP_RE)}, '') END")
     arr = f"try_variant_get(try_parse_json({raw}), '$', 'array<variant>')"
-    conv = (f"transform(filter(arr, e -> {_is_obj('e')} AND {_has_keys_sql('e')}), "
-            f"e -> named_struct('start_index', {_to_int_sql(_START_E)}, "
-            f"'end_index', {_to_int_sql(_END_E)}))")
-    body = (f"CASE WHEN arr IS NULL THEN {empty} "
-            f"WHEN exists(arr, e -> {_breaks_sql('e')}) THEN {empty} "
-            f"ELSE {conv} END")
-    # Bind the parsed array once: element_at(transform(array(x), arr -> body), 1).
-    return f"element_at(transform(array({arr}), arr -> {body}), 1)"
+    # Each element is analysed once: is it a segment object, and what do int() of its two values give?
+    facts = (f"transform({arr}, e -> named_struct('seg', {_is_obj('e')} AND {_has_keys_sql('e')}, "
+             f"'s', {_to_int_sql(_START_E)}, 'e', {_to_int_sql(_END_E)}, 'other', {_other_break_sql('e')}))")
+    breaks = "exists(f, x -> (x.seg AND (x.s IS NULL OR x.e IS NULL)) OR (NOT x.seg AND x.other))"
+    body = (f"CASE WHEN f IS NULL THEN {empty} WHEN {breaks} THEN {empty} "
+            f"ELSE transform(filter(f, x -> x.seg), x -> named_struct('start_index', x.s, 'end_index', x.e)) END")
+    # Bind the analysed array once: element_at(transform(array(x), f -> body), 1).
+    return f"element_at(transform(array({facts}), f -> {body}), 1)"
 
 
 def parse_segments(text_col: str) -> Column:
