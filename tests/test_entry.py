@@ -24,3 +24,14 @@ def test_oracles_subset_of_queries():
 def test_query_runs(spark, name):
     df = E.queries()[name](spark, SF)
     assert df.count() >= 0 and len(df.columns) > 0
+
+
+def test_oracles_run_in_duckdb():
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for t in "events documents embeddings labels conversations pages benchmark".split():
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SF}/{t}.parquet')")
+    for name, sql in E.oracle_sql().items():
+        rel = con.sql(sql)
+        assert len(rel.columns) > 0, name
+        rel.fetchall()
