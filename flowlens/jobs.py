@@ -101,17 +101,18 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
     return out
 
 
-def report_job(spark, results_root: str) -> dict[str, DataFrame]:
-    """Roll-ups over a result tree <root>/<domain>/<task>/<model>/*.json."""
+def report_job(spark, results_root: str, layout: str = "tree") -> dict[str, DataFrame]:
+    """Roll-ups over a result tree <root>/<domain>/<task>/<model>/*.json (layout "tree"), or over
+    the partitioned outputs the jobs above write to ``out_dir`` (layout "partitioned")."""
     out: dict[str, DataFrame] = {}
-    det, rep = R.load_detailed(spark, results_root), R.load_reports(spark, results_root)
+    det, rep = R.load_detailed(spark, results_root, layout), R.load_reports(spark, results_root, layout)
     if det is not None:
         out["run_accuracy"] = RP.run_accuracy(det)
         out["class_accuracy"] = RP.class_accuracy(det)
         out["domain_accuracy"] = RP.domain_accuracy(det)
         if rep is not None:
             out["classification_leaderboard"] = RP.classification_leaderboard(rep, det)
-    seg = R.load_segmentation(spark, results_root)
+    seg = R.load_segmentation(spark, results_root, layout)
     if seg is not None:
         ind, agg = seg
         runs = RP.segmentation_fallback(agg, ind)

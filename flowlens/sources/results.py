@@ -20,8 +20,17 @@ def _with_run(df: DataFrame) -> DataFrame:
                      F.regexp_extract(p, _PATH, 3).alias("model"), "*")
 
 
-def _whole(spark: SparkSession, root: str, name: str) -> DataFrame | None:
+# Where each document lives in the two layouts: the reference's tree of files, or the
+# partitioned outputs written by flowlens.sources.sinks / flowlens.jobs.
+_PARTITIONED = {"report.json": "json/report", "confusion_matrix.json": "json/confusion_matrix",
+                "segmentation_results.json": "json/segmentation_results"}
+
+
+def _whole(spark: SparkSession, root: str, name: str, layout: str = "tree") -> DataFrame | None:
     try:
+        if layout == "partitioned":
+            docs = spark.read.text(f"{root}/{_PARTITIONED[name]}")   # one JSON document per line
+            return docs.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")], "value")
         return _with_run(spark.read.option("wholetext", True).text(f"{root}/*/*/*/{name}"))
     except Exception:  # noqa: BLE001 - no such files: an empty scan
         return None
@@ -35,7 +44,14 @@ def scan_results(spark: SparkSession, root: str) -> DataFrame:
                      F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
 
 
-def load_detailed(spark: SparkSession, root: str) -> DataFrame | None:
+def load_detailed(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
+    if layout == "partitioned":
+        try:
+            t = spark.read.parquet(f"{root}/tables/detailed_results")
+        except Exception:  # noqa: BLE001
+            return None
+        return t.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")],
+                        "workflow_id", "true_class", "predicted_class", "correct")
     w = _whole(spark, root, "detailed_results.json")
     if w is None:
         return None
@@ -43,9 +59,9 @@ def load_detailed(spark: SparkSession, root: str) -> DataFrame | None:
             .select("domain", "task", "model", "r.*"))
 
 
-def load_reports(spark: SparkSession, root: str) -> DataFrame | None:
+def load_reports(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
     """Long report rows (domain, task, model, label, precision, recall, f1_score, support)."""
-    w = _whole(spark, root, "report.json")
+    w = _whole(spark, root, "report.json", layout)
     if w is None:
         return None
     e = w.select("domain", "task", "model", F.explode(F.from_json("value", REPORT_MAP)).alias("label", "m"))
@@ -54,9 +70,9 @@ def load_reports(spark: SparkSession, root: str) -> DataFrame | None:
                     F.col("m.support").alias("support"))
 
 
-def load_confusion(spark: SparkSession, root: str) -> DataFrame | None:
+def load_confusion(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
     """(domain, task, model, actual, predicted, n); the file's outer key is the predicted class."""
-    w = _whole(spark, root, "confusion_matrix.json")
+    w = _whole(spark, root, "confusion_matrix.json", layout)
     if w is None:
         return None
     o = w.select("domain", "task", "model", F.explode(F.from_json("value", CONFUSION_MAP)).alias("predicted", "inner"))
@@ -64,10 +80,10 @@ def load_confusion(spark: SparkSession, root: str) -> DataFrame | None:
         .select("domain", "task", "model", "actual", "predicted", "n")
 
 
-def load_segmentation(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame] | None:
+def load_segmentation(spark: SparkSession, root: str, layout: str = "tree") -> tuple[DataFrame, DataFrame] | None:
     """(individual results, stored aggregates); runs whose file lacks aggregates are absent from
     the second table (see reporting.segmentation_fallback)."""
-    w = _whole(spark, root, "segmentation_results.json")
+    w = _whole(spark, root, "segmentation_results.json", layout)
     if w is None:
         return None
     s = w.select("domain", "task", "model", F.from_json("value", SEGMENTATION_FILE).alias("s"))

@@ -45,3 +45,24 @@ def test_segmentation_job(spark, tmp):
     assert out["aggregate"].count() == 1
     assert spark.read.text(tmp + "/seg/json/segmentation_results").count() == 1
     assert out["by_length_bin"].where(F.col("mean_f1").isNull()).count() == 0
+
+
+def test_report_job_reads_job_outputs(spark, tmp):
+    from flowlens.jobs import report_job
+
+    def scorer(prompts: pd.Series) -> pd.Series:
+        return prompts.str.extract(r"Choose one of: ([^,.]+)")[0].map(lambda c: f"\\answer{{{c}}}")
+
+    def seg_scorer(prompts: pd.Series) -> pd.Series:
+        return pd.Series(['<answer>[{"start_index": 0, "end_index": 2}]</answer>'] * len(prompts))
+
+    out = tmp + "/run"
+    classification_job(events(spark), "fake-model", out_dir=out, scorer=scorer)
+    segmentation_job(events(spark), "fake-model", builtin_definitions(spark), out_dir=out, scorer=seg_scorer,
+                     num_samples=5)
+    t = report_job(spark, out, layout="partitioned")
+    lb = t["classification_leaderboard"].collect()
+    assert len(lb) == 1 and abs(lb[0].accuracy - 0.5) < 1e-12 and lb[0].accuracy_source == "report"
+    assert t["run_accuracy"].collect()[0].total == 12
+    seg = t["segmentation_leaderboard"].collect()
+    assert len(seg) == 1 and seg[0].model == "fake-model"
