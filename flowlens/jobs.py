@@ -87,7 +87,7 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
         defs = PR.definitions_prompt_text(definitions, inst)
     else:
         defs = inst.select("domain").distinct().withColumn("definitions_text", F.lit(None).cast("string"))
-    prompts = PR.segmentation_prompts(seq_events, defs)
+    prompts = PR.segmentation_prompts(seq_events, defs, sequences=headers)
     resp = _responses(prompts, ["domain", "sequence_id"], scorer, responses, batch_size)
     resp = cut_lineage(resp.withColumn("model", F.lit(model)))
     results = SG.evaluate(headers, resp, tolerance).withColumn("task", F.lit(task))

@@ -80,11 +80,15 @@ def undefined_processes(definitions: DataFrame, observed: DataFrame,
 
 
 def segmentation_prompts(sequence_events: DataFrame, definitions_text: DataFrame,
-                         group_cols: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """One prompt per sequence: lines '{i}. {event}' numbered from 0, plus the definitions text."""
+                         group_cols: tuple[str, ...] = ("domain",), sequences: DataFrame | None = None) -> DataFrame:
+    """One prompt per sequence: lines '{i}. {event}' numbered from 0, plus the definitions text.
+    With ``sequences`` (group_cols + sequence_id), sequences without events get a prompt too."""
     seq = (sequence_events.groupBy(*group_cols, "sequence_id")
            .agg(F.expr("listagg(concat(cast(seq_pos AS string), '. ', event_text), '\\n') "
                        "WITHIN GROUP (ORDER BY seq_pos)").alias("sequence")))
+    if sequences is not None:
+        seq = (sequences.select(*group_cols, "sequence_id").join(seq, [*group_cols, "sequence_id"], "left")
+               .withColumn("sequence", F.coalesce("sequence", F.lit(""))))
     return (seq.join(definitions_text, list(group_cols), "left")
             .select(*group_cols, "sequence_id",
                     _render(SEGMENTATION_TEMPLATE,

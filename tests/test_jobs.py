@@ -66,3 +66,14 @@ def test_report_job_reads_job_outputs(spark, tmp):
     assert t["run_accuracy"].collect()[0].total == 12
     seg = t["segmentation_leaderboard"].collect()
     assert len(seg) == 1 and seg[0].model == "fake-model"
+
+
+def test_segmentation_job_empty_sequences(spark, tmp):
+    def scorer(prompts: pd.Series) -> pd.Series:
+        return pd.Series(["<answer>[]</answer>"] * len(prompts))
+
+    out = segmentation_job(events(spark), "fake-model", builtin_definitions(spark), scorer=scorer,
+                           num_samples=30, min_workflows=0, max_workflows=1)
+    res = out["results"].collect()
+    assert len(res) == 30 and any(r.num_workflows == 0 for r in res)
+    assert all(r.boundary_f1 == 0.0 and r.edit_distance == 0 for r in res)
