@@ -68,3 +68,30 @@ def test_extract_answer_matches_model(spark, texts):
     got = {r.i: r.a for r in df.select("i", extract_answer("t").alias("a")).collect()}
     for i, t in enumerate(texts):
         assert got[i] == model_answer(t), repr(t)
+
+
+def model_display(name, domains, mapping):
+    """Plain-Python statement of the display-name rules (lookup, 'dom_rest', 'a_b', capitalize)."""
+    if name in mapping:
+        return mapping[name]
+    if "_" in name:
+        parts = name.split("_")
+        if parts[0] in domains or parts[0] in mapping:
+            return f"{model_display(parts[0], domains, mapping)} - " + " ".join(p.capitalize() for p in parts[1:])
+        return " ".join(p.capitalize() for p in parts)
+    return name.capitalize()
+
+
+name_text = st.lists(st.sampled_from(["hr", "finance", "gpt-4.1", "ab", "Xy", "_", "q", "1"]), min_size=1,
+                     max_size=5).map("".join)
+
+
+@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
+@given(st.lists(name_text, min_size=120, max_size=120))
+def test_display_name_matches_model(spark, names):
+    from flowlens.functions.text import DISPLAY_NAME_MAP, display_name
+    domains = ["finance", "hr", "legal"]
+    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
+    got = {r.i: r.d for r in df.select("i", display_name("n", domains).alias("d")).collect()}
+    for i, n in enumerate(names):
+        assert got[i] == model_display(n, domains, DISPLAY_NAME_MAP), n
