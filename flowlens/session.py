@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,12 +44,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the launcher sets it to a shared (distributed) folder and we only read it.
-    Only when it is unset — local runs and tests — do we create one under the system temp dir.
+    Only where it is unset and driver and executors are one process (``local[...]``, as in tests)
+    do we create one under the system temp dir.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not d:
-        if not (sc.master or "").startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master or ""):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         d = tempfile.mkdtemp(prefix="flowlens-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
