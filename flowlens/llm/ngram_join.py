@@ -40,6 +40,8 @@ CLASS_RATIO = 1.5
 FEW = 2
 SLICE = 1 << 20
 
+WORD = r"[^\x20\x09-\x0D]"
+
 ODD = np.uint64(0x9E3779B97F4A7C15)
 MIX_A = np.uint64(0xBF58476D1CE4E5B9)
 MIX_B = np.uint64(0x94D049BB133111EB)
@@ -104,10 +106,10 @@ def shingle_sets(texts: list[str | None], size: int) -> Iterator[np.ndarray]:
             if last - first >= size:
                 yield np.unique(rolled[first:last - size + 1])
             elif last > first:
-                whole = np.uint64(last - first)
+                whole = np.array([last - first], np.uint64)
                 for i in range(first, last):
-                    whole = whole + mixed(words[i:i + 1], 11 + int(i - first))[0]
-                yield mixed(np.array([whole], np.uint64), 6)
+                    whole += mixed(words[i:i + 1], 11 + int(i - first))
+                yield mixed(whole, 6)
             else:
                 yield np.zeros(0, np.uint64)
         at = stop
@@ -401,3 +403,16 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     return prints.select("id", "n", "set_a").join(by_set, "set_a", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def representatives(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` per component: of the smallest id, and of its texts the one of smallest hash. Rows without words all stay."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # an id may stand for several texts, so a row goes by id and text
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text).alias("a"), F.xxhash64(F.lit("second"), F.octet_length(text), text).alias("b"))
+    worded = text.rlike(WORD)
+    rows = docs.where(worded).select(F.struct("*").alias("row"), key.alias("key"))
+    classes = ngram_components(docs.where(worded).select(key.alias("key"), text.alias("text")), size, percent, "key", "text")
+    first = classes.where(F.col("key").eqNullSafe(F.col("component_id"))).select(F.col("key").alias("kept")).distinct()
+    kept = rows.join(first, F.col("key").eqNullSafe(F.col("kept")), "left_semi").dropDuplicates(["key"]).select("row.*")
+    return docs.where(~worded).unionByName(kept)

@@ -66,8 +66,8 @@ def removed(text: Column, letters: str) -> Column:
     return F.length(text) - F.length(F.translate(text, letters, ""))
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts and ratios of every row; texts do not leave this step."""
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *carried: str) -> DataFrame:
+    """Counts of every row, with its id and the ``carried`` columns; the text does not leave this step otherwise."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     of_words = let(words_of(text), lambda w: F.struct(
         F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"),
@@ -76,9 +76,9 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     of_lines = let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     counted = docs.select(
-        F.col(id_col), of_words.alias("w"), of_lines.alias("l"), removed(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.col(id_col), *carried, of_words.alias("w"), of_lines.alias("l"), removed(text, SYMBOLS).cast("long").alias("n_symbols"),
         removed(text, "!").cast("long").alias("n_exclamations"))
-    return counted.select(id_col, "w.*", "l.*", "n_symbols", "n_exclamations")
+    return counted.select(id_col, *carried, "w.*", "l.*", "n_symbols", "n_exclamations")
 
 
 def ratio(a: str, b: str) -> Column:
@@ -135,12 +135,24 @@ def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: fl
     return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES))
 
 
-def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
-             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Features, base verdict and ``kept`` of every row of ``docs``."""
-    rated = with_ratios(written(features(docs, id_col, text_col), "quality-features"))
+def judged(rated: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str) -> DataFrame:
     # one row per length band at most, so it may be broadcast
     chosen = F.broadcast(cutoffs(rated, labels, alpha, delta, id_col))
     broken = [F.coalesce(F.col(r) > F.col(f"cutoff_{r}"), F.lit(False)) for r in RULES]
     rejected = broken[0] | broken[1] | broken[2] | broken[3]
     return rated.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
+
+
+def verdicts(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
+             id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Features, base verdict and ``kept`` of every row of ``docs``."""
+    return judged(with_ratios(written(features(docs, id_col, text_col), "quality-features")), labels, alpha, delta, id_col)
+
+
+def passing(docs: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA,
+            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that are kept. Rows are written beside their counts, so no text is shuffled or counted twice."""
+    rows = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.col(text_col).alias("own_text"))
+    counted = written(features(rows, "own_id", "own_text", "row"), "quality-rows")
+    named = labels.withColumnRenamed(id_col, "doc_id") if id_col != "doc_id" else labels
+    return judged(with_ratios(counted), named, alpha, delta, "own_id").where("kept").select("row.*")
