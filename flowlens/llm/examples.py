@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.tables import written
+from flowlens.llm.tables import GAP, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 Terms = Callable[[str], Counter]
@@ -36,6 +36,18 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, li
     return written(few.select(F.monotonically_increasing_id().alias("no"), "r.*"), "examples")
 
 
+def without_copies(examples: DataFrame) -> DataFrame:
+    """``examples`` without those that share a least shingle hash (of four) with an earlier one: near copies are no further evidence."""
+    words = F.split(F.lower("text"), GAP)
+    shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("words", i + 1, 3)))
+    least = F.array(*(F.struct(F.lit(j).alias("j"), F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(j)))).alias("h"))
+                      for j in range(4)))
+    signs = examples.select("no", words.alias("words")).withColumn("shingles", shingles).select("no", F.explode(least).alias("s"))
+    first = signs.groupBy("s").agg(F.min("no").alias("first"))
+    copies = signs.join(first, "s").where("first < no").select("no").distinct()
+    return examples.join(copies, "no", "left_anti")
+
+
 def class_counts(examples: DataFrame, terms: Terms) -> DataFrame:
     """(term, n, n1): examples that hold a term, and those of label 1 among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
