@@ -8,8 +8,8 @@ out whole, then pairs of points, and what survives is verified on the sets.
 
 No tree could hold all points, so they are dealt out first, without loss. Sets that link differ in at most d
 shingles, d following from their sizes. Their shingles are hashed into more than d blocks, so one block at least
-is equal in both, whatever the texts share besides: all sets with an equal block meet in one tree. Blocks of few
-shingles say little and are left out where enough others remain to keep the promise. Trees give spanning edges of the pairs
+is equal in both, whatever the texts share besides: all sets with an equal block meet in one tree. The emptiest
+blocks say little and are left out where enough others remain to keep the promise. Trees give spanning edges of the pairs
 within the bound; their components are the clusters, and each cluster gets one tree of points with
 sets, where pairs not yet connected are verified. A bucket or cluster over ``NODE`` points is cut into nodes, and every
 pair of nodes is a tree of its own, so no task holds more than two nodes.
@@ -37,7 +37,6 @@ NODE = 1024
 LEAF = 32
 SMALL = 12
 CLASS_RATIO = 1.5
-FEW = 2
 SLICE = 1 << 20
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -145,7 +144,11 @@ class Similarity:
         return [own, own + 1] if n * 100 // self.percent > self.tops[own] else [own]
 
     def blocks(self, kind: int) -> tuple[int, int]:
-        """(blocks, blocks of few shingles that may be left out) of a size class."""
+        """(blocks, emptiest blocks that may be left out) of a size class.
+
+        Linked sets have one block more in common than may be left out. Take the set that leaves out blocks up to the larger filling: it
+        keeps an equal block, which is fuller than that, so the other set keeps it as well.
+        """
         most = self.differ(2 * int(self.tops[kind]))
         spare = 1 + (most + 1) // 4
         return most + 1 + spare, spare
@@ -163,14 +166,24 @@ def block_keys(shingles: np.ndarray, law: Similarity) -> np.ndarray:
         total = np.zeros(count, np.uint64)
         np.add.at(total, block, mixed(shingles, 41))
         key = mixed(total + mixed(np.arange(count, dtype=np.uint64) + np.uint64(kind << 32), 43), 44).view(np.int64)
-        few = filled <= FEW
-        out.append(key[~few] if few.sum() <= spare else key)
+        # the emptiest blocks go, all of one filling together, as long as no more than the spare ones go
+        gone = np.cumsum(np.bincount(filled))
+        out.append(key[filled >= np.searchsorted(gone, spare, side="right")])
     return np.concatenate(out)
 
 
-def point(shingles: np.ndarray, groups: int = GROUPS) -> np.ndarray:
+def point(shingles: np.ndarray) -> np.ndarray:
     """Counts of the shingles by hashed group."""
-    return np.bincount((mixed(shingles, 51) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups).astype("<i4")
+    return np.bincount((mixed(shingles, 51) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+
+
+def packed(counts: np.ndarray) -> bytes:
+    """A point as bytes: one each where all counts are below 256, else four."""
+    return counts.astype("u1" if counts.max(initial=0) < 256 else "<i4").tobytes()
+
+
+def unpacked(points: list[bytes]) -> np.ndarray:
+    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<i4").astype(np.int32) for p in points])
 
 
 def fingerprints(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
@@ -187,7 +200,7 @@ def fingerprints(docs: DataFrame, size: int, percent: int, id_col: str, text_col
                 own = set_key(s)
                 n.append(len(s))
                 a.append(own)
-                points.append(None if own in seen else point(s).tobytes())
+                points.append(None if own in seen else packed(point(s)))
                 keys.append(None if own in seen else block_keys(s, law))
                 seen.add(own)
             yield pa.RecordBatch.from_arrays(
@@ -325,7 +338,7 @@ def in_trees(rows: DataFrame, percent: int, with_sets: bool) -> DataFrame:
             a, b = [], []
             if len(held) > 1:
                 ids = [r[1] for r in held]
-                points = np.frombuffer(b"".join(r[3] for r in held), "<i4").reshape(len(held), -1)
+                points = unpacked([r[3] for r in held])
                 sets = [np.frombuffer(r[4], "<u8") for r in held] if with_sets else None
                 for x, y in tree_edges(np.array([r[2] for r in held]), points, law, sets):
                     a.append(min(ids[x], ids[y]))
@@ -377,7 +390,7 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_
             n, points, sets, same = [], [], [], []
             for wanted, s in zip(own, shingle_sets(batch.column("text").to_pylist(), size), strict=True):
                 n.append(len(s))
-                points.append(point(s).tobytes())
+                points.append(packed(point(s)))
                 sets.append(s.astype("<u8").tobytes())
                 same.append(set_key(s) == wanted)  # another text under the same id is not this set
             out = pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("node"), batch.column("set_a"), pa.array(n, pa.int64()),
