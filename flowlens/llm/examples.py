@@ -125,11 +125,13 @@ class Calibration:
         blocks: list[list[float]] = []  # weight, sum of labels, sum of votes
         for part in np.array_split(order, min(bins, len(order))):
             blocks.append([float(len(part)), float(labels[part].sum()), float(votes[part].sum())])
-            while len(blocks) > 1 and blocks[-2][1] / blocks[-2][0] >= blocks[-1][1] / blocks[-1][0]:
+            while len(blocks) > 1 and (blocks[-2][1] / blocks[-2][0] >= blocks[-1][1] / blocks[-1][0]
+                                       or blocks[-2][2] / blocks[-2][0] >= blocks[-1][2] / blocks[-1][0]):
                 last = blocks.pop()
                 blocks[-1] = [a + b for a, b in zip(blocks[-1], last, strict=True)]
         self.x = np.array([v / n for n, _, v in blocks])
-        self.y = np.array([(s + prior * rate) / (n + prior) for n, s, _ in blocks])
+        # the pull towards the base rate is stronger on small blocks, so order is put right after it
+        self.y = np.maximum.accumulate([(s + prior * rate) / (n + prior) for n, s, _ in blocks])
 
     def __call__(self, votes: np.ndarray) -> np.ndarray:
         return np.interp(votes, self.x, self.y)
