@@ -1,97 +1,103 @@
-"""Property test: the JVM-side segment parser agrees with a plain-Python model of the
-reference's rules (regex -> strip -> json.loads -> key test -> int()) on generated answers."""
+"""Answer, segment and display-name parsing: tables of input and expected output, and properties."""
 
 import json
-import re
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
 from flowlens.functions.parsing import extract_answer, parse_segments
+from flowlens.functions.text import DISPLAY_NAME_MAP, display_name
 
+ONCE = settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
 
-def model_segments(text):
-    m = re.search(r"<answer>(.*?)</answer>", text, re.DOTALL)
-    if not m:
-        return []
-    try:
-        segs = json.loads(m.group(1).strip())
-        out = []
-        for s in segs:
-            if all(k in s for k in ["start_index", "end_index"]):
-                out.append((int(s["start_index"]), int(s["end_index"])))
-        return out
-    except (json.JSONDecodeError, ValueError):
-        return []
-    except (TypeError, OverflowError):   # the reference would crash here; we return []
-        return []
-
-
-def model_answer(text):
-    m = re.search(r"\\answer\{(.*?)\}", text)
-    return m.group(1).strip() if m else None
-
-
-scalar = st.one_of(st.integers(-50, 50), st.floats(-50, 50, allow_nan=False).map(lambda x: round(x, 2)),
-                   st.sampled_from(["6", " 7 ", "+3", "-2", "7.9", "abc", "1_0"]), st.booleans(), st.none())
-segment = st.one_of(
-    st.fixed_dictionaries({"start_index": scalar, "end_index": scalar}),
-    st.fixed_dictionaries({"start_index": scalar}),
-    st.fixed_dictionaries({"start_index": scalar, "end_index": scalar, "extra": st.integers()}),
-    st.sampled_from(["abc", "start_index end_index", 5, None, ["start_index", "end_index"], ["x"]]),
-)
-answer = st.one_of(
-    st.lists(segment, max_size=4).map(json.dumps),
-    st.fixed_dictionaries({"start_index": scalar, "end_index": scalar}).map(json.dumps),
-    st.sampled_from(["[", "[{]", "", "null", "7", "\"s\""]),
-)
-text = st.tuples(st.sampled_from(["", "pre ", "x\n"]), answer, st.sampled_from(["", " ", "\n "]), st.booleans()).map(
-    lambda t: f"{t[0]}<answer>{t[2]}{t[1]}{t[2]}</answer>" if t[3] else f"{t[0]}{t[1]}")
-
-
-@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(text, min_size=150, max_size=150))
-def test_parse_segments_matches_model(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: [(s.start_index, s.end_index) for s in r.s] for r in df.select("i", parse_segments("t").alias("s")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == model_segments(t), t
-
-
-answer_text = st.lists(st.sampled_from(list("ab \t\n{}\\") + ["\\answer{", "}", "\u00a0", "\r"]), max_size=14).map("".join)
-
-
-@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(answer_text, min_size=200, max_size=200))
-def test_extract_answer_matches_model(spark, texts):
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
-    got = {r.i: r.a for r in df.select("i", extract_answer("t").alias("a")).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == model_answer(t), repr(t)
-
-
-def model_display(name, domains, mapping):
-    """Plain-Python statement of the display-name rules (lookup, 'dom_rest', 'a_b', capitalize)."""
-    if name in mapping:
-        return mapping[name]
-    if "_" in name:
-        parts = name.split("_")
-        if parts[0] in domains or parts[0] in mapping:
-            return f"{model_display(parts[0], domains, mapping)} - " + " ".join(p.capitalize() for p in parts[1:])
-        return " ".join(p.capitalize() for p in parts)
-    return name.capitalize()
-
-
-name_text = st.lists(st.sampled_from(["hr", "finance", "gpt-4.1", "ab", "Xy", "_", "q", "1"]), min_size=1,
-                     max_size=5).map("".join)
-
-
-@settings(max_examples=1, deadline=None, suppress_health_check=list(HealthCheck))
-@given(st.lists(name_text, min_size=120, max_size=120))
-def test_display_name_matches_model(spark, names):
-    from flowlens.functions.text import DISPLAY_NAME_MAP, display_name
+
+def run(spark, texts, column):
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    return [r.v for r in df.select("i", column("t").alias("v")).orderBy("i").collect()]
+
+
+def segments(spark, texts):
+    return [[tuple(s) for s in found] for found in run(spark, texts, parse_segments)]
+
+
+SEGMENTS = {
+    'pre <answer> [{"start_index": 0, "end_index": 4}] </answer>': [(0, 4)],
+    '<answer>[{"start_index": "6", "end_index": " 7 "}]</answer>': [(6, 7)],
+    '<answer>[{"start_index": 2.9, "end_index": -2.9}]</answer>': [(2, -2)],
+    '<answer>[{"start_index": true, "end_index": false}]</answer>': [(1, 0)],
+    '<answer>[{"start_index": "1_0", "end_index": "+3"}]</answer>': [(10, 3)],
+    '<answer>[{"start_index": 1}, {"start_index": 2, "end_index": 3}]</answer>': [(2, 3)],
+    '<answer>[{"start_index": 1, "end_index": 2}, "abc"]</answer>': [(1, 2)],
+    '<answer>[{"start_index": 1, "end_index": 2}, 5]</answer>': [],
+    '<answer>[{"start_index": 1, "end_index": 2}, {"start_index": "x", "end_index": 2}]</answer>': [],
+    '<answer>[{"start_index": null, "end_index": 2}]</answer>': [],
+    '<answer>["start_index end_index"]</answer>': [],
+    '<answer>[["start_index", "end_index"]]</answer>': [],
+    '<answer>[["x"]]</answer>': [],
+    '<answer>{"start_index": 1, "end_index": 2}</answer>': [],
+    '<answer>[{]</answer>': [],
+    '<answer></answer>': [],
+    '<answer>null</answer>': [],
+    '<answer>[{"start_index": 1, "end_index": 2}]</answer><answer>[]</answer>': [(1, 2)],
+    '[{"start_index": 1, "end_index": 2}]': [],
+    '<answer>[{"start_index": 1,\n "end_index": 2}]\n</answer>': [(1, 2)],
+}
+
+
+def test_segment_table(spark):
+    assert segments(spark, list(SEGMENTS)) == list(SEGMENTS.values())
+
+
+pair = st.tuples(st.integers(-50, 50), st.integers(-50, 50))
+keyless = st.sampled_from([{"start_index": 1}, {"end_index": 1}, {}, {"start": 1, "end": 2}])
+
+
+@ONCE
+@given(st.lists(st.lists(st.one_of(pair, keyless), max_size=5), min_size=120, max_size=120))
+def test_segments_come_back_in_order_and_keyless_objects_never_appear(spark, answers):
+    texts = ["<answer>" + json.dumps([{"start_index": p[0], "end_index": p[1]} if isinstance(p, tuple) else p for p in a]) + "</answer>"
+             for a in answers]
+    assert segments(spark, texts) == [[p for p in a if isinstance(p, tuple)] for a in answers]
+
+
+ANSWERS = {
+    "\\answer{Invoice}": "Invoice",
+    "text \\answer{ a b } more": "a b",
+    "\\answer{}": "",
+    "\\answer{ \t}": "",
+    "\\answer{one}\\answer{two}": "one",
+    "\\answer{a\nb}": None,
+    "\\answer{a\nb} \\answer{c}": "c",
+    "\\answer{a{b}c}": "a{b",
+    "\\answer{open": None,
+    "answer{x}": None,
+    "": None,
+    "\\answer{\u00a0x\u00a0}": "x",
+}
+
+
+def test_answer_table(spark):
+    assert run(spark, list(ANSWERS), extract_answer) == list(ANSWERS.values())
+
+
+@ONCE
+@given(st.lists(st.text("abc {\\.", max_size=10), min_size=100, max_size=100), st.text("xyz ", max_size=5))
+def test_a_marked_answer_comes_back_stripped(spark, bodies, before):
+    assert run(spark, [f"{before}\\answer{{{b}}}}} tail" for b in bodies], extract_answer) == [b.strip() for b in bodies]
+
+
+NAMES = {
+    "q": "Q",
+    "Xy": "Xy",
+    "ab_cd": "Ab Cd",
+    "hr_q_1": f"{DISPLAY_NAME_MAP.get('hr', 'Hr')} - Q 1",
+    "abCD": "Abcd",
+}
+
+
+def test_display_names(spark):
     domains = ["finance", "hr", "legal"]
-    df = spark.createDataFrame([(i, n) for i, n in enumerate(names)], "i int, n string")
-    got = {r.i: r.d for r in df.select("i", display_name("n", domains).alias("d")).collect()}
-    for i, n in enumerate(names):
-        assert got[i] == model_display(n, domains, DISPLAY_NAME_MAP), n
+    known = list(DISPLAY_NAME_MAP)
+    got = run(spark, [*NAMES, *known], lambda c: display_name(c, domains))
+    assert got[:len(NAMES)] == list(NAMES.values())
+    assert got[len(NAMES):] == [DISPLAY_NAME_MAP[k] for k in known]

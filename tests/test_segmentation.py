@@ -1,83 +1,79 @@
 """Boundary metrics, edit distance and roll-ups on hand-made sequences (Q6, Q8)."""
 
 import random
+import time
 
 import pytest
 
 from flowlens.functions.arrays import boundary_metrics, edit_distance
 from flowlens.operators import segmentation as SG
 
-
-def lev(a, b):
-    m, n = len(a), len(b)
-    dp = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m + 1):
-        dp[i][0] = i
-    for j in range(n + 1):
-        dp[0][j] = j
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            dp[i][j] = dp[i - 1][j - 1] if a[i - 1] == b[j - 1] else 1 + min(dp[i - 1][j], dp[i][j - 1], dp[i - 1][j - 1])
-    return dp[m][n]
-
-
-def ref_metrics(t, p, length, tol):
-    if tol > 0:
-        tp = sum(1 for x in p if any(abs(x - y) <= tol for y in t))
-        pr = tp / len(p) if p else 0
-        rc = tp / len(t) if t else 0
-    else:
-        ts = {b for b in t if 0 <= b < length}
-        ps = {b for b in p if 0 <= b < length}
-        tp = len(ts & ps)
-        pr = tp / len(ps) if ps else 0
-        rc = tp / len(ts) if ts else 0
-    f = 2 * pr * rc / (pr + rc) if pr + rc > 0 else 0
-    return pr, rc, f
-
-
-CASES = [
-    ([10], [9, 10, 11], 20),        # Q6: three predictions near one boundary -> recall 3
-    ([], [], 5),                    # one-workflow sequence, nothing predicted
-    ([5, 12], [], 20),              # empty predictions
-    ([5, 12], [5, 5, 30, -1], 20),  # duplicates and out of range
-    ([3, 8], [8, 3], 10),
+# true, predicted, length, tolerance -> precision, recall, F1; worked by hand
+METRICS = [
+    ([10], [9, 10, 11], 20, 0, (1 / 3, 1.0, 0.5)),
+    ([10], [9, 10, 11], 20, 1, (1.0, 3.0, 1.5)),        # Q6: three predictions near one boundary
+    ([10], [9, 10, 11], 20, 3, (1.0, 3.0, 1.5)),
+    ([], [], 5, 0, (0.0, 0.0, 0.0)),                    # one-workflow sequence, nothing predicted
+    ([], [], 5, 3, (0.0, 0.0, 0.0)),
+    ([5, 12], [], 20, 0, (0.0, 0.0, 0.0)),              # empty predictions
+    ([5, 12], [], 20, 3, (0.0, 0.0, 0.0)),
+    ([5, 12], [5, 5, 30, -1], 20, 0, (1.0, 0.5, 2 / 3)),   # exact: duplicates collapse, out of range is ignored
+    ([5, 12], [5, 5, 30, -1], 20, 1, (0.5, 1.0, 2 / 3)),   # tolerant: both count
+    ([3, 8], [8, 3], 10, 0, (1.0, 1.0, 1.0)),
+    ([3, 8], [6], 10, 1, (0.0, 0.0, 0.0)),
+    ([3, 8], [6], 10, 3, (1.0, 0.5, 2 / 3)),
 ]
 
 
 @pytest.mark.parametrize("tol", [0, 1, 3])
 def test_boundary_metrics(spark, tol):
-    df = spark.createDataFrame(CASES, "t array<bigint>, p array<bigint>, n bigint")
-    got = df.select("t", "p", "n", boundary_metrics("t", "p", "n", tol).alias("m")).collect()
-    for r in got:
-        want = ref_metrics(r.t, r.p, r.n, tol)
-        assert (r.m.precision, r.m.recall, r.m.f1) == pytest.approx(want)
-    if tol == 3:
-        assert got[0].m.recall == 3.0
+    cases = [c for c in METRICS if c[3] == tol]
+    df = spark.createDataFrame([(i, *c[:3]) for i, c in enumerate(cases)], "i int, t array<bigint>, p array<bigint>, n bigint")
+    for r in df.select("i", boundary_metrics("t", "p", "n", tol).alias("m")).collect():
+        assert (r.m.precision, r.m.recall, r.m.f1) == pytest.approx(cases[r.i][4]), cases[r.i]
+
+
+DISTANCES = [([], [], 0), ([1], [], 1), ([], [4, 5], 2), ([1, 2, 3], [1, 2, 3], 0), ([1, 2, 3], [1, 3], 1), ([1, 2, 3], [4, 2, 5], 2),
+             ([1, 2], [2, 1], 2), ([5, 1, 2, 3], [1, 2, 3, 6], 2), ([7, 7, 7], [7], 2)]
+
+
+def distances(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<bigint>, b array<bigint>")
+    return [r.d for r in df.select("i", edit_distance("a", "b").alias("d")).orderBy("i").collect()]
+
+
+def test_edit_distance_table(spark):
+    assert distances(spark, [(a, b) for a, b, _ in DISTANCES]) == [d for _, _, d in DISTANCES]
 
 
-def test_edit_distance_random(spark):
+def test_edit_distance_is_a_metric(spark):
     random.seed(3)
-    cases = [([random.randint(0, 6) for _ in range(random.randint(0, 5))],
-              [random.randint(0, 6) for _ in range(random.randint(0, 5))]) for _ in range(60)]
-    df = spark.createDataFrame(cases, "a array<bigint>, b array<bigint>")
-    for r in df.select("a", "b", edit_distance("a", "b").alias("d")).collect():
-        assert r.d == lev(r.a, r.b)
-        assert (r.d == 0) == (r.a == r.b)
+    some = [[random.randint(0, 6) for _ in range(random.randint(0, 5))] for _ in range(150)]
+    a, b, c = some[:50], some[50:100], some[100:]
+    ab, ba = distances(spark, list(zip(a, b, strict=True))), distances(spark, list(zip(b, a, strict=True)))
+    bc, ac = distances(spark, list(zip(b, c, strict=True))), distances(spark, list(zip(a, c, strict=True)))
+    assert ab == ba
+    assert all(x <= y + z for x, y, z in zip(ac, ab, bc, strict=True))
+    assert all((d == 0) == (x == y) for d, x, y in zip(ab, a, b, strict=True))
+    assert all(abs(len(x) - len(y)) <= d <= max(len(x), len(y)) for d, x, y in zip(ab, a, b, strict=True))
+
+
+def test_evaluate_with_very_many_predicted_boundaries(spark):
+    n = 20_000
+    text = "<answer>[" + ",".join(f'{{"start_index": {i}, "end_index": {i}}}' for i in range(1, n + 1)) + "]</answer>"
+    headers = spark.createDataFrame([("d", "s", 4, 30_000, [0, 10, 20, 30])],
+                                    "domain string, sequence_id string, num_workflows int, sequence_length bigint, true_starts array<bigint>")
+    resp = spark.createDataFrame([("d", "m", "s", text)], "domain string, model string, sequence_id string, generated_text string")
+    began = time.monotonic()
+    assert SG.evaluate(headers, resp).select("edit_distance").collect()[0][0] == n - 3
+    assert time.monotonic() - began < 10
 
 
 def test_length_bins_merge_and_equal(spark):
     rows = [("r", f"s{i}", L, f) for i, (L, f) in enumerate([(10, 1.0), (11, 0.5), (12, 0.0), (12, 0.5)])]
     res = spark.createDataFrame(rows, "run string, sequence_id string, sequence_length int, boundary_f1 double")
-    got = {r.bin_label: r.mean_f1 for r in SG.f1_by_length_bin(res, ("run",)).collect()}
-    # width 0.4: labels 10-10, 10-10 (merged), 10-11, 11-11, 11-12 -> by label text
-    bins = {}
-    lo, hi = 10, 12
-    w = (hi - lo) / 5
-    for L, f in [(10, 1.0), (11, 0.5), (12, 0.0), (12, 0.5)]:
-        b = min(4, int((L - lo) / w))
-        bins.setdefault(f"{int(lo + b * w)}-{int(lo + (b + 1) * w)}", []).append(f)
-    assert got == {k: sum(v) / len(v) for k, v in bins.items()}
+    # width 0.4 from 10: length 10 lies in the first bin, 11 in the third, 12 in the last
+    assert {r.bin_label: r.mean_f1 for r in SG.f1_by_length_bin(res, ("run",)).collect()} == {"10-10": 1.0, "10-11": 0.5, "11-12": 0.25}
     same = spark.createDataFrame([("r", "a", 7, 1.0), ("r", "b", 7, 0.0)],
                                  "run string, sequence_id string, sequence_length int, boundary_f1 double")
     assert {r.bin_label: r.mean_f1 for r in SG.f1_by_length_bin(same, ("run",)).collect()} == {"7-8": 0.5}
