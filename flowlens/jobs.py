@@ -40,23 +40,29 @@ def _responses(prompts: DataFrame, id_cols: list[str], scorer: Scorer | None, re
     return join_responses(prompts.select(*id_cols), responses, id_cols)
 
 
+def run_model(model: str) -> str:
+    """S13: the one name a run goes by, in tables, documents and logs: the part after the last '/'."""
+    return model.rsplit("/", 1)[-1]
+
+
 def classification_job(events: DataFrame, model: str, out_dir: str | None = None, scorer: Scorer | None = None,
                        responses: DataFrame | None = None, task: str = "classification", batch_size: int = 8,
                        log_path: str | None = None) -> dict[str, DataFrame]:
     """events: the event log (process_instance_uuid, time_stamp, process_name, application_name,
     description, screen_name, event_seq, domain). Returns the result tables; writes them when
-    ``out_dir`` is given."""
+    ``out_dir`` is given. Other runs in ``out_dir`` stay."""
+    model = run_model(model)
     ev = I.coerce_timestamps(events) if dict(events.dtypes).get("time_stamp") == "string" else events
     inst = cut_lineage(I.workflow_instances(ev))
-    labels = I.label_encoding(inst)
+    labels = I.label_encoding(ev)
     prompts = PR.classification_prompts(ev, labels)
-    resp = _responses(prompts, ["domain", "workflow_id"], scorer, responses, batch_size)
+    # The answers are checkpointed before anything reads them, so the log and the metrics see the same texts.
+    resp = cut_lineage(_responses(prompts, ["domain", "workflow_id"], scorer, responses, batch_size).withColumn("model", F.lit(model)))
     if log_path:
         SK.append_response_log(prompts.join(resp, ["domain", "workflow_id"]), log_path, f"{task}/{model}")
-    resp = cut_lineage(resp.withColumn("model", F.lit(model)))   # model calls happen once
     detailed = C.evaluate(resp, inst, labels).withColumn("task", F.lit(task))
     keys = ("domain", "task", "model")
-    pc = C.pair_counts(detailed, keys)
+    pc = cut_lineage(C.pair_counts(detailed, keys))   # classes squared rows a run; all reports derive from it
     report = C.class_report_from_counts(pc, keys)
     rows = (report.unionByName(C.macro_average(report, keys))
             .unionByName(C.accuracy_row_from_counts(pc, keys).withColumn("support", F.col("support").cast("bigint"))))
@@ -73,9 +79,10 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
                      scorer: Scorer | None = None, responses: DataFrame | None = None, num_samples: int = 100,
                      min_workflows: int = 2, max_workflows: int = 4, seed: int = SA.DEFAULT_SEED,
                      tolerance: int = SG.DEFAULT_TOLERANCE, task: str = "segmentation",
-                     batch_size: int = 8) -> dict[str, DataFrame]:
+                     batch_size: int = 8, log_path: str | None = None) -> dict[str, DataFrame]:
     """Sample sequences, prompt, score and evaluate. ``definitions`` None means the definitions
-    could not be read (the prompt then says so)."""
+    could not be read (the prompt then says so). Other runs in ``out_dir`` stay."""
+    model = run_model(model)
     ev = I.coerce_timestamps(events) if dict(events.dtypes).get("time_stamp") == "string" else events
     inst = cut_lineage(I.workflow_instances(ev))
     ix = SA.dense_index(inst)
@@ -88,8 +95,9 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
     else:
         defs = inst.select("domain").distinct().withColumn("definitions_text", F.lit(None).cast("string"))
     prompts = PR.segmentation_prompts(seq_events, defs, sequences=headers)
-    resp = _responses(prompts, ["domain", "sequence_id"], scorer, responses, batch_size)
-    resp = cut_lineage(resp.withColumn("model", F.lit(model)))
+    resp = cut_lineage(_responses(prompts, ["domain", "sequence_id"], scorer, responses, batch_size).withColumn("model", F.lit(model)))
+    if log_path:
+        SK.append_response_log(prompts.join(resp, ["domain", "sequence_id"]), log_path, f"{task}/{model}", item_col="sequence_id")
     results = SG.evaluate(headers, resp, tolerance).withColumn("task", F.lit(task))
     keys = ("domain", "task", "model")
     agg = SG.aggregate(results, keys)

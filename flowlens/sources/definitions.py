@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,8 +31,9 @@ def read_definitions(spark: SparkSession, path: str) -> DataFrame | None:
     """A JSON array of {name, description}; None when the file cannot be read (callers then use
     the text 'No process definitions available.'). File order is kept as def_pos."""
     try:
-        raw = spark.read.option("multiLine", True).schema("name string, description string").json(path)
+        raw = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema("name string, description string").json(path)
+        raw.write.format("noop").mode("overwrite").save()   # reads are lazy: parse the small file now, so that a fault shows here
         # A multi-line JSON array is one record per element, in file order within the single file.
         return raw.select(F.monotonically_increasing_id().cast("int").alias("def_pos"), "name", "description")
-    except Exception:  # noqa: BLE001 - any failure means "no definitions", as in the reference
+    except (PySparkException, Py4JJavaError):  # an unreadable file means "no definitions", as in the reference
         return None

@@ -6,6 +6,7 @@ Each file is read whole (``wholetext``) and parsed with a declared type; ``domai
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +15,11 @@ from flowlens.schemas import CONFUSION_MAP, DETAILED, REPORT_MAP, SEGMENTATION_F
 _PATH = r"^.*/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
 
 
+def path_missing(error: AnalysisException) -> bool:
+    """Nothing lies at the path (no such path, or a folder without files); other failures are not "no data"."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def _with_run(df: DataFrame) -> DataFrame:
     p = F.col("_metadata.file_path")
     return df.select(F.regexp_extract(p, _PATH, 1).alias("domain"), F.regexp_extract(p, _PATH, 2).alias("task"),
@@ -32,7 +38,9 @@ def _whole(spark: SparkSession, root: str, name: str, layout: str = "tree") -> D
             docs = spark.read.text(f"{root}/{_PARTITIONED[name]}")   # one JSON document per line
             return docs.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")], "value")
         return _with_run(spark.read.option("wholetext", True).text(f"{root}/*/*/*/{name}"))
-    except Exception:  # noqa: BLE001 - no such files: an empty scan
+    except AnalysisException as e:
+        if not path_missing(e):
+            raise
         return None
 
 
@@ -48,7 +56,9 @@ def load_detailed(spark: SparkSession, root: str, layout: str = "tree") -> DataF
     if layout == "partitioned":
         try:
             t = spark.read.parquet(f"{root}/tables/detailed_results")
-        except Exception:  # noqa: BLE001
+        except AnalysisException as e:
+            if not path_missing(e):
+                raise
             return None
         return t.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")],
                         "workflow_id", "true_class", "predicted_class", "correct")

@@ -3,11 +3,13 @@ documents of the reference layout are produced by Spark (one row per run) and wr
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from flowlens.schemas import RESPONSE_LOG
 from flowlens.sources.embeddings import vector_text
+from flowlens.sources.results import path_missing
 
 RUN = ("domain", "task", "model")
 
@@ -18,9 +20,10 @@ def model_dir(model_col: str = "model") -> F.Column:
 
 
 def write_table(df: DataFrame, path: str, partition_by=RUN, mode: str = "overwrite") -> None:
-    """S10/S11: detailed or per-sequence results, partitioned by run."""
+    """S10/S11: detailed or per-sequence results, partitioned by run. Overwriting replaces the runs
+    that ``df`` holds and leaves the others."""
     out = df.withColumn("model", model_dir()) if "model" in df.columns else df
-    out.write.mode(mode).partitionBy(*[c for c in partition_by if c in out.columns]).parquet(path)
+    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*[c for c in partition_by if c in out.columns]).parquet(path)
 
 
 def report_json(report_rows: DataFrame, keys=RUN) -> DataFrame:
@@ -61,7 +64,9 @@ def segmentation_json(results: DataFrame, keys=RUN) -> DataFrame:
 
 
 def write_json_docs(docs: DataFrame, path: str, keys=RUN, mode: str = "overwrite") -> None:
-    docs.select(*keys, "json").write.mode(mode).partitionBy(*keys).text(path)
+    """One document per run; overwriting replaces the runs that ``docs`` holds and leaves the others."""
+    out = docs.withColumn("model", model_dir()) if "model" in keys else docs
+    out.select(*keys, "json").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
 
 
 def write_embeddings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
@@ -81,8 +86,10 @@ def append_response_log(df: DataFrame, path: str, run_id: str, item_col: str = "
 
 
 def read_response_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log, or an empty table when it is missing or unreadable."""
+    """The log, or an empty table when there is none."""
     try:
         return spark.read.schema(RESPONSE_LOG).parquet(path)
-    except Exception:  # noqa: BLE001
+    except AnalysisException as e:
+        if not path_missing(e):
+            raise
         return spark.createDataFrame([], RESPONSE_LOG)

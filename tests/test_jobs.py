@@ -77,3 +77,45 @@ def test_segmentation_job_empty_sequences(spark, tmp):
     res = out["results"].collect()
     assert len(res) == 30 and any(r.num_workflows == 0 for r in res)
     assert all(r.boundary_f1 == 0.0 and r.edit_distance == 0 for r in res)
+
+
+def test_two_models_in_one_tree_and_one_call_per_prompt(spark, tmp):
+    from flowlens.jobs import report_job
+    from flowlens.sources.sinks import read_response_log
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def scorer(prompts: pd.Series) -> pd.Series:
+        calls.add(len(prompts))
+        return prompts.str.extract(r"Choose one of: ([^,.]+)")[0].map(lambda c: f"\\answer{{{c}}}")
+
+    out, log = tmp + "/run", tmp + "/log"
+    classification_job(events(spark), "m-a", out_dir=out, scorer=scorer, log_path=log)
+    classification_job(events(spark), "org/m-b", out_dir=out, scorer=scorer, log_path=log)
+    assert calls.value == 24
+    assert {r.run_id: r["count"] for r in read_response_log(spark, log).groupBy("run_id").count().collect()} == {
+        "classification/m-a": 12, "classification/m-b": 12}
+    t = report_job(spark, out, layout="partitioned")
+    assert {r.model for r in t["classification_leaderboard"].collect()} == {"m-a", "m-b"}
+    assert {r.model: r.total for r in t["run_accuracy"].collect()} == {"m-a": 12, "m-b": 12}
+
+
+def test_segmentation_log(spark, tmp):
+    from flowlens.sources.sinks import read_response_log
+
+    def scorer(prompts: pd.Series) -> pd.Series:
+        return pd.Series(["<answer>[]</answer>"] * len(prompts))
+
+    segmentation_job(events(spark), "org/m", builtin_definitions(spark), scorer=scorer, num_samples=5, log_path=tmp + "/log")
+    assert [r.run_id for r in read_response_log(spark, tmp + "/log").collect()] == ["segmentation/m"] * 5
+
+
+def test_unreadable_definitions(spark, tmp):
+    from pathlib import Path
+
+    from flowlens.sources.definitions import read_definitions
+    Path(tmp, "bad.json").write_text('[{"name": "a", "descr')
+    Path(tmp, "good.json").write_text('[{"name": "a", "description": "b"}, {"name": "c", "description": null}]')
+    assert read_definitions(spark, tmp + "/bad.json") is None
+    assert read_definitions(spark, tmp + "/none.json") is None
+    assert [(r.def_pos, r.name) for r in read_definitions(spark, tmp + "/good.json").collect()] == [(0, "a"), (1, "c")]
