@@ -14,11 +14,15 @@ from flowlens.functions.text import event_description, event_text_strict
 from flowlens.operators.indexing import with_group_index
 
 UUID = "process_instance_uuid"
+ZONED = r"\d:\d\d.*([Zz]|[+-]\d{1,2}:?\d{2})\s*$"
 
 
 def coerce_timestamps(events: DataFrame, col: str = "time_stamp") -> DataFrame:
-    """Text timestamps -> timestamp_ntz; unparseable values become null (no session-zone shift)."""
-    return events.withColumn(col, F.col(col).try_cast("timestamp_ntz"))
+    """Text timestamps -> timestamp_ntz; unparseable values become null. A time with a zone offset becomes
+    its UTC time, one without stays as written; the session's zone plays no part."""
+    seconds = F.unix_micros(F.col(col).try_cast("timestamp")).cast("decimal(20,0)") / F.lit(1_000_000)
+    utc = F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))
+    return events.withColumn(col, F.coalesce(F.when(F.col(col).rlike(ZONED), utc), F.col(col).try_cast("timestamp_ntz")))
 
 
 def order_key(ts: str = "time_stamp", seq: str = "event_seq") -> list:
@@ -49,12 +53,12 @@ def workflow_instances(events: DataFrame, group_cols: tuple[str, ...] = ("domain
             .agg(first.alias("process_name"), F.count(F.lit(1)).alias("n_events")))
 
 
-def label_encoding(instances: DataFrame, group_cols: tuple[str, ...] = ("domain",)) -> DataFrame:
-    """Sorted distinct process names -> 0-based ids, per label space (one per domain).
+def label_encoding(events: DataFrame, group_cols: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """Sorted distinct process names of all events -> 0-based ids, per label space (one per domain).
 
     The window runs over the distinct-name table, which holds one row per class.
     """
-    names = instances.where(F.col("process_name").isNotNull()).select(*group_cols, "process_name").distinct()
+    names = events.where(F.col("process_name").isNotNull()).select(*group_cols, "process_name").distinct()
     w = Window.partitionBy(*group_cols).orderBy("process_name") if group_cols else Window.orderBy("process_name")
     return names.withColumn("label_id", (F.row_number().over(w) - 1).cast("int"))
 

@@ -22,7 +22,8 @@ from flowlens.functions.text import truncate_label
 # Chunk size of the embedding step (the reference's model limit is 8191 tokens).
 MAX_TOKENS = 8000
 # Whitespace tokens; a pluggable stand-in for a subword tokenizer.
-TOKEN_PATTERN = r"[^ \t\n\r\f\x0B]+"
+# Each token carries the blanks before it, the last one also those after it, so the tokens make up the whole text.
+TOKEN_PATTERN = r"[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B]+(?:[ \t\n\r\f\x0B]+\z)?"
 
 
 def whitespace_tokens(text: Column) -> Column:
@@ -37,18 +38,19 @@ def token_counts(df: DataFrame, text_col: str = "text",
 def chunk_tokens(df: DataFrame, id_cols: list[str], text_col: str = "text", max_tokens: int = MAX_TOKENS,
                  tokenizer: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
     """One row per chunk of at most ``max_tokens`` tokens (last chunk shorter; a text that fits,
-    including an empty one, is a single chunk)."""
+    including an empty one, is a single chunk). Joined, the chunks give the text unchanged: ``tokenizer``
+    returns tokens that make up the whole text, and a text without tokens is kept as it is."""
     m = int(max_tokens)
     if m <= 0:
         raise ValueError("max_tokens must be positive")
     # tokens once per row; the chunk lambda then slices the materialised array
-    base = df.select(*id_cols, tokenizer(F.col(text_col)).alias("_tok"))
+    base = df.select(*id_cols, F.col(text_col).alias("_text"), tokenizer(F.col(text_col)).alias("_tok"))
     tok = F.col("_tok")
     n_chunks = F.greatest(F.lit(1), F.ceil(F.size(tok) / m).cast("int"))
     chunks = F.transform(F.sequence(F.lit(0), n_chunks - 1), lambda k: F.slice(tok, k * m + 1, m))
-    return (base.select(*id_cols, F.posexplode(chunks).alias("chunk", "_toks"))
+    return (base.select(*id_cols, F.when(F.size(tok) == 0, F.col("_text")).alias("_text"), F.posexplode(chunks).alias("chunk", "_toks"))
             .select(*id_cols, "chunk", F.size("_toks").alias("n_tokens"),
-                    F.array_join("_toks", " ").alias("chunk_text")))
+                    F.coalesce("_text", F.array_join("_toks", "")).alias("chunk_text")))
 
 
 def finite_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
@@ -95,10 +97,14 @@ def process_similarity(vectors: DataFrame, group_col: str = "process_name", vec_
                     "n_i", "n_j"))
 
 
-def similarity_blocks(items: DataFrame, group_col: str = "process_name", truncate: int | None = 20) -> DataFrame:
+def similarity_blocks(items: DataFrame, group_col: str = "process_name", truncate: int | None = 20,
+                      vec_col: str = "embedding") -> DataFrame:
     """Heatmap blocks: items sorted by process name; each (truncated) label's block starts at the
     index of its first item and ends where the next block starts. Names sharing the first
-    ``truncate`` characters merge into one block (SURVEY Q7); truncate=None keeps exact names."""
+    ``truncate`` characters merge into one block (SURVEY Q7); truncate=None keeps exact names.
+    Items whose vector is null or holds NaN have no place in the heatmap."""
+    if vec_col in items.columns:
+        items = finite_vectors(items, vec_col)
     counts = items.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
     w = Window.orderBy(group_col).rowsBetween(Window.unboundedPreceding, -1)  # one row per process
     starts = counts.withColumn("start", F.coalesce(F.sum("n").over(w), F.lit(0)))

@@ -38,14 +38,14 @@ def instances(spark, sf) -> DataFrame:
 
 
 def labels(spark, sf) -> DataFrame:
-    return I.label_encoding(instances(spark, sf))
+    return I.label_encoding(events(spark, sf))
 
 
 def detailed(spark, sf) -> DataFrame:
     """Per-instance outcomes of every run, materialised once (the run's primary output, written
     as detailed results by the reference); reports and roll-ups read this table."""
     inst = instances(spark, sf)
-    return cut_lineage(C.evaluate(T.responses(inst), inst, I.label_encoding(inst)))
+    return cut_lineage(C.evaluate(T.responses(inst), inst, I.label_encoding(events(spark, sf))))
 
 
 # ---------------------------------------------------------------- sources / projections
@@ -80,7 +80,7 @@ def label_encoding(spark, sf):
 @query
 def workflow_instances(spark, sf):
     inst = instances(spark, sf)
-    return I.encoded_instances(inst, I.label_encoding(inst))
+    return I.encoded_instances(inst, I.label_encoding(events(spark, sf)))
 
 
 @query
@@ -108,7 +108,7 @@ def extract_answers(spark, sf):
 @query
 def normalize_outcomes(spark, sf):
     inst = instances(spark, sf)
-    out = C.normalize_outcomes(C.extract_answers(T.responses(inst)), I.label_encoding(inst))
+    out = C.normalize_outcomes(C.extract_answers(T.responses(inst)), I.label_encoding(events(spark, sf)))
     return out.select("domain", "model", "workflow_id", "predicted_class")
 
 
@@ -174,7 +174,7 @@ from flowlens.sources.definitions import builtin_definitions  # noqa: E402
 @query
 def classification_prompts(spark, sf):
     ev = events(spark, sf)
-    return PR.classification_prompts(ev, I.label_encoding(I.workflow_instances(ev)))
+    return PR.classification_prompts(ev, I.label_encoding(ev))
 
 
 @query
@@ -482,7 +482,7 @@ def report_cells(spark, sf):
         "domain", "task", "model", "f1")
     j = ra.join(lb, ["domain", "task", "model"])
     return j.select("domain", "task", "model", TX.fmt_percent("accuracy").alias("accuracy_text"),
-                    TX.fmt_fixed("f1").alias("f1_text"), TX.fmt_count(F.col("total") * 1000).alias("total_text"),
+                    TX.fmt_fixed("f1").alias("f1_text"), TX.fmt_count("total").alias("total_text"),
                     F.concat(F.col("correct").cast("string"), F.lit("/"), F.col("total").cast("string")).alias("ratio_text"))
 
 

@@ -18,7 +18,7 @@ NAMES = _list(PROCESS_NAMES)
 
 def h(*parts: str) -> str:
     inner = ", ".join(f"CAST({p} AS VARCHAR)" for p in parts)
-    return f"('0x' || substr(md5(concat_ws('|', {inner})), 1, 8))::BIGINT"
+    return f"('0x' || substr(md5(concat_ws('|', {inner})), 1, 15))::BIGINT"
 
 
 WF = f"""wf AS (
@@ -373,10 +373,12 @@ TOK = "regexp_extract_all(text, '[^ \\t\\n\\r\\f\\x0B]+')"
 
 ORACLES["token_counts"] = f"SELECT doc_id, CAST(len({TOK}) AS INTEGER) AS num_tokens FROM documents"
 
-ORACLES["chunk_tokens"] = f"""WITH d AS (SELECT doc_id, {TOK} AS tok FROM documents),
-c AS (SELECT doc_id, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) / 8000.0) AS BIGINT)))) AS chunk FROM d)
+# A token with the blanks before it (the last one also with those after it): the pieces make up the whole text.
+PIECES = r"regexp_extract_all(text, '[ \t\n\r\f\x0B]*[^ \t\n\r\f\x0B]+(?:[ \t\n\r\f\x0B]+$)?')"
+ORACLES["chunk_tokens"] = f"""WITH d AS (SELECT doc_id, text, {PIECES} AS tok FROM documents),
+c AS (SELECT doc_id, text, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) / 8000.0) AS BIGINT)))) AS chunk FROM d)
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS INTEGER) AS n_tokens,
-       array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), ' ') AS chunk_text FROM c"""
+       CASE WHEN len(tok) = 0 THEN text ELSE array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), '') END AS chunk_text FROM c"""
 
 CV = f"""cv AS (SELECT vec_id // 4 AS instance_id, vec_id, CAST(embedding AS DOUBLE[]) AS e,
                    {NAMES}[CAST(label % 7 AS INTEGER) + 1] AS process_name FROM embeddings),
@@ -454,7 +456,7 @@ ORACLES["classification_leaderboard"] = CLSRUN + """SELECT domain, task, model,
   accuracy_source FROM lb"""
 
 ORACLES["report_cells"] = CLSRUN + """SELECT r.domain, r.task, r.model, printf('%.1f%%', r.accuracy * 100) AS accuracy_text,
-  printf('%.2f', l.f1) AS f1_text, format('{:,}', r.total * 1000) AS total_text,
+  printf('%.2f', l.f1) AS f1_text, format('{:,}', r.total) AS total_text,
   CAST(r.correct AS VARCHAR) || '/' || CAST(r.total AS VARCHAR) AS ratio_text
 FROM runacc r JOIN lb l USING (domain, task, model)"""
 

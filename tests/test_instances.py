@@ -48,8 +48,16 @@ def test_instance_texts_skip_null_lines(spark):
 
 
 def test_label_encoding_sorted(spark):
-    lab = I.label_encoding(I.workflow_instances(events(spark))).orderBy("label_id").collect()
-    assert [(r.process_name, r.label_id) for r in lab] == [("P2", 0), ("P3", 1)]
+    # P1 is only on later events of its instance
+    lab = I.label_encoding(events(spark)).orderBy("label_id").collect()
+    assert [(r.process_name, r.label_id) for r in lab] == [("P1", 0), ("P2", 1), ("P3", 2)]
+
+
+def test_timestamps_with_offsets(spark):
+    texts = ["2024-01-01T10:00:00+02:00", "2024-01-01T09:00:00Z", "2024-01-01 09:30:00.25", "2024-01-01", "bad"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, time_stamp string")
+    got = [r.t for r in I.coerce_timestamps(df).select("i", F.col("time_stamp").cast("string").alias("t")).orderBy("i").collect()]
+    assert got == ["2024-01-01 08:00:00", "2024-01-01 09:00:00", "2024-01-01 09:30:00.25", "2024-01-01 00:00:00", None]
 
 
 def test_row_index_matches_sort(spark):

@@ -7,12 +7,13 @@ from flowlens.operators import similarity as SIM
 
 
 def test_chunks(spark):
-    df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, "x  y\n\tz"), (4, "one")], "id int, text string")
+    df = spark.createDataFrame([(1, "a b c d e"), (2, ""), (3, "x  y\n\tz"), (4, "one"), (5, " \n "), (6, "line one\nline  two\n")], "id int, text string")
     got = {(r.id, r.chunk): (r.n_tokens, r.chunk_text) for r in SIM.chunk_tokens(df, ["id"], max_tokens=2).collect()}
-    assert got == {(1, 0): (2, "a b"), (1, 1): (2, "c d"), (1, 2): (1, "e"), (2, 0): (0, ""),
-                   (3, 0): (2, "x y"), (3, 1): (1, "z"), (4, 0): (1, "one")}
+    assert got == {(1, 0): (2, "a b"), (1, 1): (2, " c d"), (1, 2): (1, " e"), (2, 0): (0, ""),
+                   (3, 0): (2, "x  y"), (3, 1): (1, "\n\tz"), (4, 0): (1, "one"), (5, 0): (0, " \n "),
+                   (6, 0): (2, "line one"), (6, 1): (2, "\nline  two\n")}
     counts = {r.id: r.num_tokens for r in SIM.token_counts(df).collect()}
-    assert counts == {1: 5, 2: 0, 3: 3, 4: 1}
+    assert counts == {1: 5, 2: 0, 3: 3, 4: 1, 5: 0, 6: 4}
 
 
 def test_pool(spark):
