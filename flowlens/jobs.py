@@ -24,6 +24,7 @@ from flowlens.operators import reporting as RP
 from flowlens.operators import sampling as SA
 from flowlens.operators import segmentation as SG
 from flowlens.operators.scoring import join_responses, score_prompts
+from flowlens.schemas import DETAILED, REPORT_ROWS
 from flowlens.session import cut_lineage
 from flowlens.sources import results as R
 from flowlens.sources import sinks as SK
@@ -118,12 +119,23 @@ def report_job(spark, results_root: str, layout: str = "tree") -> dict[str, Data
         out["run_accuracy"] = RP.run_accuracy(det)
         out["class_accuracy"] = RP.class_accuracy(det)
         out["domain_accuracy"] = RP.domain_accuracy(det)
-        if rep is not None:
-            out["classification_leaderboard"] = RP.classification_leaderboard(rep, det)
+    if det is not None or rep is not None:
+        # a run with only one of the two files still has its row
+        det = spark.createDataFrame([], f"domain string, task string, model string, {DETAILED}") if det is None else det
+        rep = spark.createDataFrame([], REPORT_ROWS) if rep is None else rep
+        out["class_report"] = rep
+        out["classification_leaderboard"] = board = RP.classification_leaderboard(rep, det)
+        cells = R.load_confusion(spark, results_root, layout)
+        if cells is not None:
+            cells = out["confusion_matrix"] = RP.attach_confusion(cells, board)
+            for by in ("actual", "predicted"):
+                out[f"confusion_percent_{by}"] = C.confusion_percent(cells, RP.RUN, normalize=by)
     seg = R.load_segmentation(spark, results_root, layout)
     if seg is not None:
         ind, agg = seg
         runs = RP.segmentation_fallback(agg, ind)
         out["segmentation_leaderboard"] = RP.segmentation_leaderboard(runs)
         out["domain_segmentation_f1"] = RP.domain_segmentation_f1(runs)
+        out["by_num_workflows"] = SG.f1_by_num_workflows(ind, RP.RUN)
+        out["by_length_bin"] = SG.f1_by_length_bin(ind, RP.RUN)
     return out

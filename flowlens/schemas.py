@@ -31,3 +31,7 @@ EMBEDDING_CSV = ("process_instance_uuid string, process_name string, process_ins
                  "num_tokens int, embedding string")
 
 RESPONSE_LOG = "run_id string, item_id string, prompt string, generated_text string, timestamp string"
+
+# Report rows in long form, one per (run, label).
+REPORT_ROWS = ("domain string, task string, model string, label string, precision double, recall double, "
+               "f1_score double, support double")

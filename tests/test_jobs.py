@@ -119,3 +119,20 @@ def test_unreadable_definitions(spark, tmp):
     assert read_definitions(spark, tmp + "/bad.json") is None
     assert read_definitions(spark, tmp + "/none.json") is None
     assert [(r.def_pos, r.name) for r in read_definitions(spark, tmp + "/good.json").collect()] == [(0, "a"), (1, "c")]
+
+
+def test_report_only_runs_and_confusion_tables(spark, tmp):
+    import json
+    from pathlib import Path
+
+    from flowlens.jobs import report_job
+    run = Path(tmp, "hr", "classification", "m")
+    run.mkdir(parents=True)
+    row = {"precision": 0.5, "recall": 0.5, "f1-score": 0.5, "support": 4.0}
+    (run / "report.json").write_text(json.dumps({"A": row, "Average": row, "accuracy": row | {"precision": 0.75}}))
+    (run / "confusion_matrix.json").write_text(json.dumps({"A": {"A": 3, "B": 1}, "B": {"A": 0, "B": 0}}))
+    t = report_job(spark, tmp)
+    assert [(r.model, r.accuracy, r.accuracy_source) for r in t["classification_leaderboard"].collect()] == [("m", 0.75, "report")]
+    assert {(r.predicted, r.actual): r.n for r in t["confusion_matrix"].collect()} == {
+        ("A", "A"): 3, ("A", "B"): 1, ("B", "A"): 0, ("B", "B"): 0}
+    assert t["confusion_percent_predicted"].count() == t["confusion_percent_actual"].count() == 4
