@@ -75,8 +75,8 @@ def document_frequencies(docs: DataFrame, terms: Terms, vocabulary: dict[str, in
 
     counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
     out = np.zeros(len(vocabulary) + 1, np.int64)
-    for row in counted.collect():
-        out[row["term"]] = row["n"]
+    found = counted.toArrow()
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
     return out[:-1], int(out[-1])
 
 
@@ -108,9 +108,9 @@ class TfIdf:
                      pa.array([v[1].astype("<f8").tobytes() for v in vectors], pa.binary())], ["no", "id", "label", "terms", "weights"])
 
         kind = examples.schema["id"].dataType.simpleString()
-        rows = examples.select("no", "id", "label", "text").mapInArrow(run, f"no long, id {kind}, label int, terms binary, weights binary").collect()
-        return [(r["id"], r["label"], np.frombuffer(r["terms"], "<i4").astype(np.int64), np.frombuffer(r["weights"], "<f8"))
-                for r in sorted(rows, key=lambda r: r["no"])]
+        rows = examples.select("no", "id", "label", "text").mapInArrow(run, f"no long, id {kind}, label int, terms binary, weights binary").orderBy("no").toArrow()
+        return [(i, label, np.frombuffer(t.as_buffer(), "<i4"), np.frombuffer(w.as_buffer(), "<f8")) for i, label, t, w in zip(
+            rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("terms"), rows.column("weights"), strict=True)]
 
 
 class Calibration:

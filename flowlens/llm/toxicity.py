@@ -1,15 +1,16 @@
 """Toxicity by the nearest labelled examples, found exactly by TF-IDF cosine in a block-max inverted index.
 
-The examples are a sample of at most ``EXAMPLES`` labelled documents. Features are their words that go with a label beyond
-chance (log-likelihood ratio; 27 leaves less than one chance word in a million, near copies counted once), at most ``FEATURES`` of them; document frequencies are counted
-over all documents. The index keeps postings by term and block of ``BLOCK`` examples with the largest weight
+The examples are a sample of at most ``EXAMPLES`` labelled documents. Every word of theirs is a term. A word form that fewer than
+``RARE`` of them hold (or none, in other documents) also gives its runs of ``GRAM`` letters, so that forms of one stem meet. No term is
+dropped: a term weighs its inverse document frequency over all documents, times ``LEAST`` plus the log-likelihood ratio of its
+going with a label among the examples (near copies counted once). The index keeps postings by term and block of ``BLOCK`` examples with the largest weight
 of each. A document's products with those maxima bound its cosine with every block: the best blocks are scored
 first, then every block whose bound reaches the k-th similarity so far, so the neighbours are exact.
 
 Neighbours vote with weight 1 / (``SOFT`` + distance). Votes of the examples themselves, each without itself, fit an
-isotonic calibration. A document without features takes the calibrated share of the examples without features.
+isotonic calibration. A document without known terms takes the calibrated share of the examples without terms.
 
-Contract. A null text is an empty one, and has no features. Ties between neighbours go to the earlier example. Repeated rows
+Contract. A null text is an empty one, and has no terms. Ties between neighbours go to the earlier example. Repeated rows
 get one score each. Without labels every score is 0.5. An empty table gives an empty table. Only the named columns are read.
 """
 
@@ -17,6 +18,8 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +30,9 @@ from flowlens.llm.examples import LETTERS, Calibration, TfIdf, class_counts, doc
 from flowlens.llm.tables import written
 
 EXAMPLES = 6000
-FEATURES = 2000
-LIKELIHOOD_RATIO = 27.0
+RARE = 20
+GRAM = 5
+LEAST = 0.1
 BLOCK = 64
 NEIGHBOURS = 15
 SOFT = 0.05
@@ -40,46 +44,90 @@ def words(text: str) -> Counter:
     return Counter(LETTERS.findall(text.lower()))
 
 
+@lru_cache(maxsize=200_000)
+def grams(word: str) -> tuple[str, ...]:
+    """The runs of ``GRAM`` letters of a word with its ends marked; the leading mark keeps them apart from words."""
+    ended = f"^{word}$"
+    return tuple("#" + ended[i:i + GRAM] for i in range(max(1, len(ended) - GRAM + 1)))
+
+
+class WordsAndGrams:
+    """Counts of a text's words, and of the letter runs of those that are not common."""
+
+    def __init__(self, common: frozenset[str]):
+        self.common = common
+
+    def __call__(self, text: str) -> Counter:
+        out = words(text)
+        rare = out.keys() - self.common
+        again = [(word, out[word] - 1) for word in rare if out[word] > 1]
+        out.update(chain.from_iterable(map(grams, rare)))
+        for word, n in again:
+            for gram in grams(word):
+                out[gram] += n
+        return out
+
+
 def damped(tf: np.ndarray) -> np.ndarray:
     return 1 + np.log(tf)
 
 
+def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges, one after the other."""
+    return np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
+
+
 class BlockMaxIndex:
-    """Postings of unit vectors by term and block, with each block's largest weight of each term."""
+    """Postings of unit vectors by cell (term and block that has it), with each cell's largest weight."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
         heaviest = [int(t[np.argmax(w)]) if len(t) else -1 for t, w in vectors]
         self.number = np.argsort(np.array(heaviest, np.int64), kind="stable")  # alike examples share blocks
-        term = np.concatenate([vectors[i][0] for i in self.number] + [np.zeros(0, np.int64)])
-        place = np.repeat(np.arange(self.size), [len(vectors[i][0]) for i in self.number])
-        weight = np.concatenate([vectors[i][1] for i in self.number] + [np.zeros(0)])
-        order = np.lexsort((place, term))
-        self.place, self.weight = place[order], weight[order]
-        cell = term[order] * self.blocks + self.place // BLOCK
-        self.start = np.searchsorted(cell, np.arange(terms * self.blocks + 1))
-        self.most = np.zeros(terms * self.blocks)
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(terms, self.blocks)
-
-    def scores(self, terms: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        term = np.concatenate([vectors[i][0] for i in self.number] + [np.zeros(0, np.int32)])
+        place = np.repeat(np.arange(self.size, dtype=np.int32), [len(vectors[i][0]) for i in self.number])
+        weight = np.concatenate([vectors[i][1].astype(np.float32) for i in self.number] + [np.zeros(0, np.float32)])
+        order = np.argsort(term, kind="stable")
+        counts = np.bincount(term, minlength=terms).astype(np.int32)
+        self.__setstate__((self.size, self.blocks, self.number, place[order].astype(np.min_scalar_type(self.size)), weight[order], counts))
+
+    def __getstate__(self) -> tuple:
+        """Cells follow from the postings, so they are not sent along."""
+        return self.size, self.blocks, self.number, self.place, self.weight, self.counts
+
+    def __setstate__(self, state: tuple) -> None:
+        self.size, self.blocks, self.number, self.place, self.weight, self.counts = state
+        cell = np.repeat(np.arange(len(self.counts)) * self.blocks, self.counts) + self.place // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.start = np.append(first, len(cell)).astype(np.int32)
+        self.block = (cell[first] % self.blocks).astype(np.int32)
+        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.cells = np.searchsorted(cell[first], np.arange(len(self.counts) + 1) * self.blocks).astype(np.int32)
+
+    def scores(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
         """Cosines with every example of the blocks; 0 for the others."""
-        cells = (terms[:, None] * self.blocks + blocks).ravel()
-        first, length = self.start[cells], self.start[cells + 1] - self.start[cells]
-        at = np.arange(length.sum()) + np.repeat(first - (np.cumsum(length) - length), length)
-        return np.bincount(self.place[at], self.weight[at] * np.repeat(np.repeat(weights, len(blocks)), length), minlength=self.size)
+        if len(blocks) < self.blocks:
+            wanted = np.zeros(self.blocks, bool)
+            wanted[blocks] = True
+            inside = wanted[self.block[cells]]
+            cells, weights = cells[inside], weights[inside]
+        length = self.start[cells + 1] - self.start[cells]
+        at = ranges(self.start[cells], length)
+        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, length), minlength=self.size)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first."""
-        bound = weights @ self.most[terms]
+        length = self.cells[terms + 1] - self.cells[terms]
+        cells, weights = ranges(self.cells[terms], length), np.repeat(weights, length)
+        bound = np.bincount(self.block[cells], weights * self.most[cells], minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        cosine = self.scores(terms, weights, order[:FIRST_BLOCKS])
+        cosine = self.scores(cells, weights, order[:FIRST_BLOCKS])
         # one more than k, as the example left out may be among them
         least = np.partition(cosine, -(k + 1))[-(k + 1)] if self.size > k else 0.0
         rest = order[FIRST_BLOCKS:]
         rest = rest[(bound[rest] >= least - 1e-9) & (bound[rest] > 0)]
         if len(rest):
-            cosine += self.scores(terms, weights, rest)
+            cosine += self.scores(cells, weights, rest)
         found = np.flatnonzero(cosine > 0)
         number, value = self.number[found], cosine[found]
         number, value = number[number != without], value[number != without]
@@ -116,27 +164,33 @@ class Voter:
         return float(self.calibration(np.array([self.vote(numbers, cosines)]))[0]), evidence
 
 
-def features(examples: DataFrame) -> list[str]:
-    """The words that go with a label, strongest first; a table of examples is bounded, and so is this list."""
-    apart = written(without_copies(examples), "examples-apart")
-    n, n1 = apart.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    share = n1 / n if n else 0.0
-    if not 0 < share < 1:
-        return []
+def label_ratio(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
+    """Log-likelihood ratio of terms in n examples, n1 of them of label 1, against the share of label 1."""
+    def part(seen: np.ndarray, expected: float) -> np.ndarray:
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1) / np.maximum(n * expected, 1e-300)), 0.0)
 
-    def part(seen: Column, expected: float) -> Column:
-        return F.when(seen > 0, seen * F.log(seen / (F.col("n") * expected))).otherwise(0.0)
+    return np.maximum(2 * (part(n1, share) + part(n - n1, 1 - share)), 0.0)
 
-    ratio = 2 * (part(F.col("n1"), share) + part(F.col("n") - F.col("n1"), 1 - share))
-    rated = class_counts(apart, words).withColumn("ratio", ratio).where(F.col("ratio") > LIKELIHOOD_RATIO)
-    return [r["term"] for r in rated.orderBy(F.desc("ratio"), "term").limit(FEATURES).collect()]
+
+def weighted_terms(examples: DataFrame) -> tuple[WordsAndGrams, list[str], np.ndarray]:
+    """How texts are cut, every term of the examples, and each one's weight; a table of examples is bounded, and so are these."""
+    apart = written(without_copies(examples), "examples-apart")
+    common = class_counts(examples, words).where(F.col("n") >= RARE).toArrow()
+    terms = WordsAndGrams(frozenset(common.column("term").to_pylist()))
+    known = class_counts(examples, terms).select("term")
+    counted = known.join(class_counts(apart, terms), "term", "left").orderBy("term").toArrow()
+    n, n1 = (np.nan_to_num(counted.column(c).to_numpy().astype(np.float64)) for c in ("n", "n1"))
+    size, ones = apart.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    return terms, counted.column("term").to_pylist(), LEAST + label_ratio(n, n1, ones / size if size else 0.0)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, examples: int = EXAMPLES) -> Voter:
     rows = sample(docs, labels, label_col, learn, examples, id_col, text_col)
-    vocabulary = {w: i for i, w in enumerate(features(rows))}
-    frequencies, documents = document_frequencies(docs, words, vocabulary, text_col)
-    tfidf = TfIdf(words, vocabulary, frequencies, documents, damped)
+    terms, names, weights = weighted_terms(rows)
+    vocabulary = {t: i for i, t in enumerate(names)}
+    frequencies, documents = document_frequencies(docs, terms, vocabulary, text_col)
+    tfidf = TfIdf(terms, vocabulary, frequencies, documents, damped)
+    tfidf.idf = tfidf.idf * weights
     return Voter(tfidf, tfidf.of(rows))
 
 

@@ -246,6 +246,24 @@ def test_toxicity_on_unseen_rows(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_toxicity_spread_over_rare_word_forms(spark):
+    rng = np.random.default_rng(8)
+
+    def made(n: int) -> str:
+        return "".join(chr(97 + c) for c in rng.integers(0, 26, n))
+
+    pool, rows = [made(7) for _ in range(200)], []
+    for i in range(300):
+        words = [pool[k] for k in rng.integers(0, 200, 30)]
+        # three forms of one stem, each in no other text
+        words[4:7] = [("bomente" if i % 4 == 0 else "casita") + made(4) for _ in range(3)]
+        rows.append((i, " ".join(words)))
+    docs = frame(spark, rows)
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("toxic"))
+    got = toxicity.toxicity(docs, labels, F.col("doc_id") % 3 != 1).collect()
+    assert {r["doc_id"] for r in got if r["score"] >= 0.7} == {i for i, _ in rows if i % 4 == 0}
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(11)
     vectors = []
