@@ -139,9 +139,9 @@ class Similarity:
         return sizes * (100 - self.percent) // (100 + self.percent)
 
     def classes(self, n: int) -> list[int]:
-        """Size classes in which a set of n shingles meets its partners: its own, and the next if partners reach it."""
-        own = int(np.searchsorted(self.tops, n))
-        return [own, own + 1] if n * 100 // self.percent > self.tops[own] else [own]
+        """Size classes in which a set of n shingles meets its partners: its own, and all up to that of its largest partner."""
+        own, last = np.searchsorted(self.tops, (n, n * 100 // self.percent)).tolist()
+        return list(range(own, last + 1))
 
     def blocks(self, kind: int) -> tuple[int, int]:
         """(blocks, emptiest blocks that may be left out) of a size class.

@@ -96,6 +96,13 @@ def test_ngram_components_of_random_edits(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == classes(rows, size, percent)
 
 
+def test_linked_sets_two_size_classes_apart_share_a_block():
+    law = ngram_join.Similarity(60)
+    for seed in range(20):
+        large = np.random.default_rng(seed).integers(0, 2**63, 100).astype(np.uint64)
+        assert set(ngram_join.block_keys(large[:63], law).tolist()) & set(ngram_join.block_keys(large, law).tolist())
+
+
 def test_representatives_keep_one_row_of_each_class_and_all_without_words(docs):
     kept = ngram_join.representatives(docs)
     assert kept.columns == docs.columns
