@@ -222,6 +222,29 @@ def test_token_counts_and_packing(spark, docs):
     assert sum(r["length"] for r in pieces) == sum(len(ids[i]) + 1 for i, _ in texts())
 
 
+@pytest.mark.parametrize("rule", ["norm", "dot"])
+def test_best_fit_under_tight_document_and_cost_capacities(rule):
+    full, weights = (100, 3, 2600), (1.0, 0.05, 0.05)
+    lengths = np.sort(np.random.default_rng(6).integers(1, 51, 300))[::-1]
+    bins, offsets = packing.best_fit(lengths, *full, weights, rule)
+    left: list[list[int]] = []
+    for length, own, offset in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        need = (length, 1, length * length)
+        rests = {b: [x - y for x, y in zip(now, need, strict=True)] for b, now in enumerate(left)}
+        rated = {b: sum(w * (r / f) ** 2 for w, r, f in zip(weights, rest, full, strict=True)) if rule == "norm"
+                 else -sum(w * n * x / f ** 2 for w, n, x, f in zip(weights, need, left[b], full, strict=True))
+                 for b, rest in rests.items() if min(rest) >= 0}
+        if own == len(left):
+            assert not rated
+            left.append(list(full))
+        assert offset == full[0] - left[own][0]
+        if rated:
+            assert rated[own] <= min(rated.values()) + 1e-9
+        left[own] = [x - y for x, y in zip(left[own], need, strict=True)]
+        assert min(left[own]) >= 0
+    assert any(x[1] == 0 and x[0] > 0 and x[2] > 0 for x in left) and any(x[1] > 0 and x[2] < 100 for x in left)
+
+
 def test_shards_keep_equal_texts_together_and_near_equal(spark):
     rows = [(i, prose(i, 5 + i % 40)) for i in range(400)] + [(1000 + i, "same") for i in range(5)]
     got = sharding.shard_rows(frame(spark, rows), 8).collect()
