@@ -1,4 +1,4 @@
-"""The queries of the ten operators, each over its whole table with production parameters."""
+"""The queries of the dealt operators, each over its whole table with production parameters."""
 
 from __future__ import annotations
 
@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 from flowlens.llm import (
     chat_format,
     decontamination,
+    fingerprints,
     ngram_join,
     packing,
+    prefix_trie,
     quality_classifier,
     quality_rules,
+    resampling,
     secrets,
     sharding,
     token_counts,
     toxicity,
 )
 from flowlens.llm.examples import remainder
-from flowlens.llm.tables import read
+from flowlens.llm.tables import read, written
 
 TOKENIZER = "byte_bpe_50k.json"
 SEQUENCE_TOKENS = 1024
@@ -97,9 +100,44 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > SEQUENCE_TOKENS)
 
 
+def shared_starts(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Conversations rebuilt to share starts: conversation c begins with the first h turns of conversation c - c % 20
+    (h = crc32 of its decimal id, modulo 4), its own turns follow after its first h.
+
+    Returns (conv_id, depth, role, text) and (conv_id, n_turns); a rebuilt conversation may have no turn at all.
+    """
+    placed = written(prefix_trie.numbered(turns), "trie-turns")
+    sizes = placed.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n_own"))
+    shared = remainder("conv_id", 4)
+    first = sizes.select(F.col("conv_id").alias("base"), F.col("n_own").alias("n_base"))
+    rebuilt = sizes.withColumn("shared", shared.cast("long")).withColumn("base", F.col("conv_id") - F.col("conv_id") % 20).join(first, "base", "left")
+    taken = F.least("shared", F.coalesce("n_base", F.lit(0)))
+    convs = written(rebuilt.select("conv_id", "base", "shared", taken.alias("taken"),
+                                   (taken + F.greatest(F.col("n_own") - F.col("shared"), F.lit(0))).alias("n_turns")), "trie-conversations")
+    heads = placed.where("pos < 3").select(F.col("conv_id").alias("base"), "pos", "role", "text")
+    head = convs.join(heads, "base").where("pos < shared").select("conv_id", (F.col("pos") + 1).alias("depth"), "role", "text")
+    own = placed.join(convs, "conv_id").where("pos >= shared").select(
+        "conv_id", (F.col("taken") + F.col("pos") - F.col("shared") + 1).alias("depth"), "role", "text")
+    return head.unionByName(own), convs.select("conv_id", "n_turns")
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(*shared_starts(read(spark, sf_dir, "conversations")))
+
+
+def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), percent=10, seed=2024, min_words=20,
+                               buckets=10_000)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_ngram_join, op3_toxicity, op4_quality_rules, op5_quality_classifier, op6_secret_scans,
-        op7_chat_formatting, op8_sharding, op9_benchmark_decontamination, op10_token_counts)}
+        op7_chat_formatting, op8_sharding, op9_benchmark_decontamination, op10_token_counts, op11_prefix_trie,
+        op12_document_fingerprints, op13_importance_resampling)}
 
 ORACLES: dict[str, str] = {}
