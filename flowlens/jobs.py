@@ -6,7 +6,7 @@
 
 Responses come either from a user batch function (``scorer``: pandas Series of prompts ->
 Series of texts, run inside tasks) or from a response table keyed like the prompts. Results are
-written as Parquet tables partitioned by run and as per-run JSON documents.
+written to a run store: Parquet tables and per-run JSON documents that switch together (sources.runs).
 """
 
 from __future__ import annotations
@@ -23,22 +23,34 @@ from flowlens.operators import prompts as PR
 from flowlens.operators import reporting as RP
 from flowlens.operators import sampling as SA
 from flowlens.operators import segmentation as SG
-from flowlens.operators.scoring import join_responses, score_prompts
-from flowlens.schemas import DETAILED, REPORT_ROWS
+from flowlens.operators.scoring import join_responses, score_prompts, score_resumable
+from flowlens.schemas import CELLS, DETAILED, METRICS, REPORT_FIELDS, REPORT_ROWS, SEGMENTATION_ROWS
 from flowlens.session import cut_lineage
+from flowlens.sources import documents as D
 from flowlens.sources import results as R
-from flowlens.sources import sinks as SK
+from flowlens.sources import runs as RUNS
+from flowlens.sources import response_log as LOG
 
 Scorer = Callable[[pd.Series], pd.Series]
 
 
 def _responses(prompts: DataFrame, id_cols: list[str], scorer: Scorer | None, responses: DataFrame | None,
-               batch_size: int) -> DataFrame:
+               batch_size: int, log_path: str | None, run_id: str) -> DataFrame:
+    """The answers, fixed before anything reads them, so that the log and the metrics see the same texts.
+
+    With a scorer and a log, prompts that the run's log answers are not asked again. Answers that come as a table are
+    logged as they are.
+    """
+    if scorer is not None and log_path:
+        return cut_lineage(score_resumable(prompts, scorer, id_cols, log_path, run_id, batch_size=batch_size).select(*id_cols, "generated_text"))
     if scorer is not None:
-        return score_prompts(prompts, scorer, id_cols, batch_size=batch_size)
+        return cut_lineage(score_prompts(prompts, scorer, id_cols, batch_size=batch_size))
     if responses is None:
         raise ValueError("give a scorer or a responses table")
-    return join_responses(prompts.select(*id_cols), responses, id_cols)
+    found = cut_lineage(join_responses(prompts.select(*id_cols), responses, id_cols))
+    if log_path:
+        LOG.append_response_log(prompts.join(found, id_cols).withColumn("item_id", LOG.item_id(id_cols)), log_path, run_id, item_col="item_id")
+    return found
 
 
 def run_model(model: str) -> str:
@@ -57,22 +69,16 @@ def classification_job(events: DataFrame, model: str, out_dir: str | None = None
     inst = cut_lineage(I.workflow_instances(ev))
     labels = I.label_encoding(ev)
     prompts = PR.classification_prompts(ev, labels)
-    # The answers are checkpointed before anything reads them, so the log and the metrics see the same texts.
-    resp = cut_lineage(_responses(prompts, ["domain", "workflow_id"], scorer, responses, batch_size).withColumn("model", F.lit(model)))
-    if log_path:
-        SK.append_response_log(prompts.join(resp, ["domain", "workflow_id"]), log_path, f"{task}/{model}")
+    resp = _responses(prompts, ["domain", "workflow_id"], scorer, responses, batch_size, log_path, f"{task}/{model}").withColumn("model", F.lit(model))
     detailed = C.evaluate(resp, inst, labels).withColumn("task", F.lit(task))
     keys = ("domain", "task", "model")
     pc = cut_lineage(C.pair_counts(detailed, keys))   # classes squared rows a run; all reports derive from it
-    report = C.class_report_from_counts(pc, keys)
-    rows = (report.unionByName(C.macro_average(report, keys))
-            .unionByName(C.accuracy_row_from_counts(pc, keys).withColumn("support", F.col("support").cast("bigint"))))
+    rows = C.report_from_counts(pc, keys)
     out = {"detailed_results": detailed, "report": rows, "confusion_matrix": pc}
     if out_dir:
-        SK.write_table(detailed, f"{out_dir}/tables/detailed_results")
-        SK.write_table(rows, f"{out_dir}/tables/report")
-        SK.write_json_docs(SK.report_json(rows, keys), f"{out_dir}/json/report")
-        SK.write_json_docs(SK.confusion_json(pc, keys), f"{out_dir}/json/confusion_matrix")
+        grid = C.confusion_grid(pc, keys)
+        RUNS.write_runs(out_dir, pc.select(*keys).distinct(), {"detailed_results": detailed, "report": rows, "confusion_matrix": grid},
+                        [D.detailed_document(detailed), D.report_document(rows), D.confusion_document(grid)])
     return out
 
 
@@ -96,25 +102,38 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
     else:
         defs = inst.select("domain").distinct().withColumn("definitions_text", F.lit(None).cast("string"))
     prompts = PR.segmentation_prompts(seq_events, defs, sequences=headers)
-    resp = cut_lineage(_responses(prompts, ["domain", "sequence_id"], scorer, responses, batch_size).withColumn("model", F.lit(model)))
-    if log_path:
-        SK.append_response_log(prompts.join(resp, ["domain", "sequence_id"]), log_path, f"{task}/{model}", item_col="sequence_id")
+    resp = _responses(prompts, ["domain", "sequence_id"], scorer, responses, batch_size, log_path, f"{task}/{model}").withColumn("model", F.lit(model))
     results = SG.evaluate(headers, resp, tolerance).withColumn("task", F.lit(task))
     keys = ("domain", "task", "model")
     agg = SG.aggregate(results, keys)
     out = {"results": results, "aggregate": agg, "by_num_workflows": SG.f1_by_num_workflows(results, keys),
            "by_length_bin": SG.f1_by_length_bin(results, keys)}
     if out_dir:
-        SK.write_table(results.drop("pred_segments"), f"{out_dir}/tables/segmentation_results")
-        SK.write_json_docs(SK.segmentation_json(results, keys), f"{out_dir}/json/segmentation_results")
+        RUNS.write_runs(out_dir, agg.select(*keys), {"segmentation_results": results, "segmentation_aggregates": agg},
+                        [D.segmentation_document(results, agg)])
     return out
 
 
+def stored_results(spark, root: str, layout: str) -> dict[str, DataFrame | None]:
+    """The result tables under ``root``: of a run store ("runs"), read from its Parquet tables alone, or of a tree of JSON
+    documents ("tree" as other tools lay it out, "exported" as Spark wrote it)."""
+    if layout == "runs":
+        cells = RUNS.read_table(spark, root, "confusion_matrix", CELLS)
+        return {"detailed": RUNS.read_table(spark, root, "detailed_results", DETAILED),
+                "report": RUNS.read_table(spark, root, "report", REPORT_FIELDS), "confusion": cells,
+                "individual": RUNS.read_table(spark, root, "segmentation_results", SEGMENTATION_ROWS),
+                "aggregates": RUNS.read_table(spark, root, "segmentation_aggregates", METRICS)}
+    segmentation = R.load_segmentation(spark, root, layout) or (None, None)
+    return {"detailed": R.load_detailed(spark, root, layout), "report": R.load_reports(spark, root, layout),
+            "confusion": R.load_confusion(spark, root, layout), "individual": segmentation[0], "aggregates": segmentation[1]}
+
+
 def report_job(spark, results_root: str, layout: str = "tree") -> dict[str, DataFrame]:
-    """Roll-ups over a result tree <root>/<domain>/<task>/<model>/*.json (layout "tree"), or over
-    the partitioned outputs the jobs above write to ``out_dir`` (layout "partitioned")."""
+    """Roll-ups over a result tree <root>/<domain>/<task>/<model>/*.json (layout "tree"), the same tree as Spark exports
+    it ("exported"), or the run store that the jobs above write to ``out_dir`` ("runs")."""
     out: dict[str, DataFrame] = {}
-    det, rep = R.load_detailed(spark, results_root, layout), R.load_reports(spark, results_root, layout)
+    found = stored_results(spark, results_root, layout)
+    det, rep, cells = found["detailed"], found["report"], found["confusion"]
     if det is not None:
         out["run_accuracy"] = RP.run_accuracy(det)
         out["class_accuracy"] = RP.class_accuracy(det)
@@ -125,15 +144,13 @@ def report_job(spark, results_root: str, layout: str = "tree") -> dict[str, Data
         rep = spark.createDataFrame([], REPORT_ROWS) if rep is None else rep
         out["class_report"] = rep
         out["classification_leaderboard"] = board = RP.classification_leaderboard(rep, det)
-        cells = R.load_confusion(spark, results_root, layout)
         if cells is not None:
             cells = out["confusion_matrix"] = RP.attach_confusion(cells, board)
             for by in ("actual", "predicted"):
                 out[f"confusion_percent_{by}"] = C.confusion_percent(cells, RP.RUN, normalize=by)
-    seg = R.load_segmentation(spark, results_root, layout)
-    if seg is not None:
-        ind, agg = seg
-        runs = RP.segmentation_fallback(agg, ind)
+    ind = found["individual"]
+    if ind is not None:
+        runs = RP.segmentation_fallback(found["aggregates"], ind)
         out["segmentation_leaderboard"] = RP.segmentation_leaderboard(runs)
         out["domain_segmentation_f1"] = RP.domain_segmentation_f1(runs)
         out["by_num_workflows"] = SG.f1_by_num_workflows(ind, RP.RUN)

@@ -64,18 +64,42 @@ def class_report(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
     return class_report_from_counts(pair_counts(detailed, keys), keys)
 
 
+def class_counts(pc: DataFrame, keys=("domain", "model")) -> DataFrame:
+    """(run, label, support, n_pred, tp) of every label that occurs as truth or as prediction: each cell of the count table
+    counts once for its row and once for its column, in one aggregate."""
+    hit = F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)
+    sides = F.array(F.struct(F.col("actual").alias("label"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("n_pred"), hit.alias("tp")),
+                    F.struct(F.col("predicted").alias("label"), F.lit(0).cast("bigint").alias("support"), F.col("n").alias("n_pred"), F.lit(0).cast("bigint").alias("tp")))
+    return (pc.select(*keys, F.explode(sides).alias("s")).groupBy(*keys, F.col("s.label").alias("label"))
+            .agg(F.sum("s.support").alias("support"), F.sum("s.n_pred").alias("n_pred"), F.sum("s.tp").alias("tp")))
+
+
+def with_scores(counts: DataFrame) -> DataFrame:
+    return (counts.withColumn("precision", safe_div("tp", "n_pred")).withColumn("recall", safe_div("tp", "support"))
+            .withColumn("f1_score", f1("precision", "recall")))
+
+
 def class_report_from_counts(pc: DataFrame, keys=("domain", "model")) -> DataFrame:
     """class_report over a (run, actual, predicted, n) count table."""
-    by_true = pc.groupBy(*keys, F.col("actual").alias("label")).agg(
-        F.sum("n").alias("support"),
-        F.sum(F.when(F.col("actual") == F.col("predicted"), F.col("n")).otherwise(0)).alias("tp"))
-    by_pred = pc.groupBy(*keys, F.col("predicted").alias("label")).agg(F.sum("n").alias("n_pred"))
-    r = by_true.join(by_pred, [*keys, "label"], "left")
-    p = safe_div("tp", "n_pred")
-    rc = safe_div("tp", "support")
-    return (r.select(*keys, "label", p.alias("precision"), rc.alias("recall"), "support")
-            .withColumn("f1_score", f1("precision", "recall"))
-            .select(*keys, "label", "precision", "recall", "f1_score", F.col("support").cast("bigint")))
+    rows = with_scores(class_counts(pc, keys)).where("support > 0")
+    return rows.select(*keys, "label", "precision", "recall", "f1_score", F.col("support").cast("bigint"))
+
+
+def report_from_counts(pc: DataFrame, keys=("domain", "model")) -> DataFrame:
+    """The whole report of every run, support as a double: the classes, 'Average', and 'accuracy' where it is due.
+
+    Two aggregates over the count table: one row a label, then one row a run, which gives both summary rows.
+    """
+    labels = with_scores(class_counts(pc, keys))
+    due = F.col("support") > 0
+    means = [F.avg(F.when(due, F.col(c))).alias(c) for c in ("precision", "recall", "f1_score")]
+    runs = labels.groupBy(*keys).agg(*means, F.sum("support").cast("double").alias("support"), safe_div(F.sum("tp"), F.sum("support")).alias("acc"),
+                                     F.count_if(~due).alias("foreign"))
+    average = F.struct(F.lit("Average").alias("label"), "precision", "recall", "f1_score", "support")
+    accuracy_row = F.struct(F.lit("accuracy").alias("label"), *[F.col("acc").alias(c) for c in ("precision", "recall", "f1_score", "support")])
+    summary = runs.select(*keys, F.explode(F.when(F.col("foreign") == 0, F.array(average, accuracy_row)).otherwise(F.array(average))).alias("r"))
+    classes = labels.where(due).select(*keys, "label", "precision", "recall", "f1_score", F.col("support").cast("double").alias("support"))
+    return classes.unionByName(summary.select(*keys, "r.*"))
 
 
 def macro_average(report: DataFrame, keys=("domain", "model")) -> DataFrame:
@@ -105,11 +129,20 @@ def accuracy_row_from_counts(pc: DataFrame, keys=("domain", "model")) -> DataFra
 
 
 def confusion_matrix(detailed: DataFrame, keys=("domain", "model")) -> DataFrame:
-    """Sparse (run, actual, predicted, n) over labels(true) ∪ labels(pred). The zero-filled grid is
-    produced only when exporting (sinks.confusion_json), from the per-run label array."""
+    """Sparse (run, actual, predicted, n) over labels(true) ∪ labels(pred); ``confusion_grid`` fills it."""
     return pair_counts(detailed, keys)
 
 
+def confusion_grid(counts: DataFrame, keys=("domain", "model")) -> DataFrame:
+    """The zero-filled grid (run, actual, predicted, n) over labels(true) ∪ labels(pred): two explodes of each run's
+    label array, counts joined on. Its size is classes squared a run, whatever the number of instances."""
+    labels = counts.groupBy(*keys).agg(F.array_union(F.collect_set("actual"), F.collect_set("predicted")).alias("labels"))
+    grid = (labels.select(*keys, F.explode("labels").alias("actual"), "labels")
+            .select(*keys, "actual", F.explode("labels").alias("predicted")))
+    return (grid.join(counts.select(*keys, "actual", "predicted", "n"), [*keys, "actual", "predicted"], "left")
+            .withColumn("n", F.coalesce("n", F.lit(0)).cast("bigint")))
+
+
 def confusion_percent(counts: DataFrame, keys=("domain", "model"), normalize: str = "actual") -> DataFrame:
     """Cell share (in %) of its row; normalize='predicted' reproduces the reference figure, whose
     rows are the predicted classes (SURVEY Q1). Empty rows give no cells (i.e. 0)."""

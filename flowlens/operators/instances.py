@@ -30,10 +30,10 @@ def order_key(ts: str = "time_stamp", seq: str = "event_seq") -> list:
     return [F.col(ts).isNull(), F.col(ts), F.col(seq)]
 
 
-def event_positions(events: DataFrame, id_col: str = UUID, pos_col: str = "pos") -> DataFrame:
-    """0-based position of each event inside its instance (skew-safe, see operators.indexing)."""
+def event_positions(events: DataFrame, id_col: str = UUID, pos_col: str = "pos", group_cols: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """0-based position of each event inside its instance, an id of one domain (skew-safe, see operators.indexing)."""
     ev = events.where(F.col(id_col).isNotNull())
-    return with_group_index(ev, [id_col], order_key(), pos_col)
+    return with_group_index(ev, [*group_cols, id_col], ["time_stamp", "event_seq"], pos_col)
 
 
 def with_descriptions(events: DataFrame, col: str = "event_text") -> DataFrame:

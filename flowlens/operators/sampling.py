@@ -1,7 +1,7 @@
 """Sampling instances into concatenated sequences with known segment boundaries.
 
 Design for scale:
-  * the dense per-domain instance index uses the skew-safe global index (operators.indexing);
+  * the dense per-domain instance index is numbered in ranges (operators.indexing);
   * each sample draws k distinct indices with Floyd's algorithm inside one ``aggregate`` HOF:
     exactly k draws, no retries, no cap, and never a samples x instances join;
   * draws are md5 hashes of (seed, domain, sample, step), so results do not depend on
@@ -24,7 +24,7 @@ DEFAULT_SEED = 2404
 
 def dense_index(instances: DataFrame, group_col: str = "domain", id_col: str = "workflow_id") -> DataFrame:
     """0-based index of each instance in ascending id order within its group."""
-    return with_group_index(instances, [group_col], [F.col(id_col)], "idx")
+    return with_group_index(instances, [group_col], [id_col], "idx")
 
 
 def sample_plan(indexed: DataFrame, num_samples: int = 100, min_workflows: int = 2, max_workflows: int = 4,
@@ -97,11 +97,12 @@ def concatenated_events(slots: DataFrame, events: DataFrame, group_col: str = "d
     """
     from flowlens.operators.instances import event_positions, with_descriptions
     from flowlens.session import cut_lineage
-    ids = slots.select(F.col("workflow_id").alias("process_instance_uuid")).distinct()
-    sampled = cut_lineage(events.join(ids, "process_instance_uuid", "left_semi"))
-    ev = with_descriptions(event_positions(sampled), text_col).select(
-        F.col("process_instance_uuid").alias("workflow_id"), "pos", text_col)
-    return (slots.select(group_col, "sequence_id", "slot", "workflow_id", "seg_start").join(ev, "workflow_id")
+    keys = [group_col, "process_instance_uuid"]
+    ids = slots.select(group_col, F.col("workflow_id").alias("process_instance_uuid")).distinct()
+    sampled = cut_lineage(events.join(ids, keys, "left_semi"))
+    ev = with_descriptions(event_positions(sampled, group_cols=(group_col,)), text_col).select(
+        group_col, F.col("process_instance_uuid").alias("workflow_id"), "pos", text_col)
+    return (slots.select(group_col, "sequence_id", "slot", "workflow_id", "seg_start").join(ev, [group_col, "workflow_id"])
             .select(group_col, "sequence_id", (F.col("seg_start") + F.col("pos")).alias("seq_pos"),
                     "slot", "workflow_id", text_col))
 

@@ -8,6 +8,13 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from flowlens.session import cut_lineage
+from flowlens.sources import response_log as LOG
+
+# Parts that a resumable run logs one by one: a killed run loses at most the part it was at.
+LOG_BATCHES = 16
 
 
 def score_prompts(prompts: DataFrame, scorer: Callable[[pd.Series], pd.Series], id_cols: list[str],
@@ -31,7 +38,28 @@ def score_prompts(prompts: DataFrame, scorer: Callable[[pd.Series], pd.Series],
             res[out_col] = pd.concat(outs, ignore_index=True) if outs else pd.Series([], dtype="object")
             yield res
 
-    return prompts.select(*id_cols, prompt_col).mapInPandas(run, schema)
+    return prompts.select(*dict.fromkeys([*id_cols, prompt_col])).mapInPandas(run, schema)
+
+
+def score_resumable(prompts: DataFrame, scorer: Callable[[pd.Series], pd.Series], id_cols: list[str], log_path: str, run_id: str,
+                    prompt_col: str = "prompt", batch_size: int = 8, batches: int = LOG_BATCHES,
+                    only: range | None = None) -> DataFrame:
+    """Score prompts through the response log: what the log already answers is not asked again.
+
+    Prompts are dealt to ``batches`` parts by the hash of their key. Each part asks what is still open and appends its
+    answers in one commit, so a job that is killed and started again goes on where it stopped; a provider that fails
+    stops the job with the finished parts kept. ``only`` limits a call to some parts. Returns id_cols, the prompt and
+    its one answer (of the parts done so far); two runs that raced agree on the answer that was logged first.
+    """
+    item = LOG.item_id(id_cols)
+    keyed = cut_lineage(prompts.select(*id_cols, F.col(prompt_col).alias("prompt")).withColumn("item_id", item)
+                        .withColumn("batch", LOG.batch_of(F.col("item_id"), batches)))
+    for batch in only if only is not None else range(batches):
+        open_prompts = LOG.unanswered(keyed.select("item_id", "prompt", "batch"), log_path, run_id, batch)
+        scored = score_prompts(open_prompts, scorer, ["item_id", "prompt", "batch"], batch_size=batch_size)
+        LOG.append_answers(scored, log_path, run_id)
+    found = LOG.answers(keyed.select("item_id", "prompt"), log_path, run_id)
+    return keyed.select(*id_cols, "item_id", "prompt").join(found, ["item_id", "prompt"]).select(*id_cols, "prompt", "generated_text", "n_logged")
 
 
 def join_responses(prompts: DataFrame, responses: DataFrame, id_cols: list[str]) -> DataFrame:

@@ -6,11 +6,12 @@ higher-order functions; the only shuffles are the small roll-up aggregates.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.arrays import boundary_metrics, edit_distance
 from flowlens.functions.parsing import parse_segments
+from flowlens.functions.text import f1, safe_div
 
 DEFAULT_TOLERANCE = 3
 
@@ -44,6 +45,35 @@ def evaluate(headers: DataFrame, responses: DataFrame, tolerance: int = DEFAULT_
                     "true_boundaries", "pred_boundaries", "pred_segments", "true_starts")
 
 
+def boundary_metrics_long(true_boundaries: DataFrame, pred_boundaries: DataFrame, runs: DataFrame, tolerance: int = DEFAULT_TOLERANCE,
+                          keys=("domain", "model"), seq_keys=("domain",)) -> DataFrame:
+    """Boundary precision, recall and F1 per (run, sequence) from long tables, for sequences of any number of boundaries.
+
+    true_boundaries: seq_keys + sequence_id, boundary; pred_boundaries: keys + sequence_id, boundary; runs: keys +
+    sequence_id, sequence_length, one row for every result wanted. A prediction hits when a true boundary lies within
+    the tolerance: a band semi-join, by equality of (sequence, bin). Bins are as wide as the band, so a true boundary is
+    in at most two. Tolerance 0 is exact mode: positions outside the sequence and repeated positions do not count.
+    """
+    seq = [*seq_keys, "sequence_id"]
+    per = [*keys, "sequence_id"]
+    true, pred = true_boundaries.select(*seq, "boundary"), pred_boundaries.select(*per, "boundary")
+    if tolerance == 0:
+        lengths = runs.select(*seq, "sequence_length").distinct()
+        inside = (F.col("boundary") >= 0) & (F.col("boundary") < F.col("sequence_length"))
+        true, pred = (df.join(lengths, seq).where(inside).drop("sequence_length").distinct() for df in (true, pred))
+    width = 2 * tolerance + 1
+    bins = F.sequence(F.floor((F.col("boundary") - tolerance) / width), F.floor((F.col("boundary") + tolerance) / width))
+    near = true.select(*[F.col(c).alias(f"_t_{c}") for c in seq], F.col("boundary").alias("_true"), F.explode(bins).alias("_near"))
+    binned = pred.withColumn("_bin", F.floor(F.col("boundary") / width))
+    band = [F.col(c) == F.col(f"_t_{c}") for c in seq] + [F.col("_bin") == F.col("_near"), F.abs(F.col("boundary") - F.col("_true")) <= tolerance]
+    hits = binned.join(near, band, "left_semi").groupBy(*per).agg(F.count(F.lit(1)).alias("_tp"))
+    n_pred = pred.groupBy(*per).agg(F.count(F.lit(1)).alias("_np"))
+    n_true = true.groupBy(*seq).agg(F.count(F.lit(1)).alias("_nt"))
+    counted = runs.select(*per).join(n_pred, per, "left").join(hits, per, "left").join(n_true, seq, "left")
+    p, r = safe_div("_tp", "_np"), safe_div("_tp", "_nt")
+    return counted.select(*per, p.alias("boundary_precision"), r.alias("boundary_recall"), f1(p, r).alias("boundary_f1"))
+
+
 def aggregate(results: DataFrame, keys=("domain", "model")) -> DataFrame:
     """Run-level means of precision, recall, F1 and edit distance."""
     return results.groupBy(*keys).agg(
@@ -60,16 +90,20 @@ def f1_by_num_workflows(results: DataFrame, keys=("domain", "model")) -> DataFra
 def f1_by_length_bin(results: DataFrame, keys=("domain", "model"), num_bins: int = 5) -> DataFrame:
     """Mean F1 per sequence-length bin: equal-width bins over [min, max] of the run
     (width 1 when all lengths are equal), labelled '{int(lo)}-{int(hi)}'. Rows are grouped
-    by label, so two bins with the same label merge (SURVEY Q8)."""
-    mm = results.groupBy(*keys).agg(F.min("sequence_length").alias("_lo"), F.max("sequence_length").alias("_hi"))
+    by label, so two bins with the same label merge (SURVEY Q8).
+
+    Results are first reduced to one row for each length of a run; the range and the bins come from that small table."""
+    lengths = results.groupBy(*keys, "sequence_length").agg(F.sum("boundary_f1").alias("_f1"), F.count("boundary_f1").alias("_n"))
+    run = Window.partitionBy(*keys)
+    ranged = lengths.withColumn("_lo", F.min("sequence_length").over(run)).withColumn("_hi", F.max("sequence_length").over(run))
     w = F.when(F.col("_hi") > F.col("_lo"), (F.col("_hi") - F.col("_lo")) / num_bins).otherwise(F.lit(1.0))
-    r = results.join(mm, list(keys)).withColumn("_w", w)
+    r = ranged.withColumn("_w", w)
     idx = F.least(F.lit(num_bins - 1), ((F.col("sequence_length") - F.col("_lo")) / F.col("_w")).cast("int"))
     r = r.withColumn("_b", idx)
     lo = (F.col("_lo") + F.col("_b") * F.col("_w")).cast("int")
     hi = (F.col("_lo") + (F.col("_b") + 1) * F.col("_w")).cast("int")
     r = r.withColumn("bin_label", F.concat(lo.cast("string"), F.lit("-"), hi.cast("string"))).withColumn("bin_start", lo)
-    return (r.groupBy(*keys, "bin_label").agg(F.min("bin_start").alias("bin_start"), F.avg("boundary_f1").alias("mean_f1"))
+    return (r.groupBy(*keys, "bin_label").agg(F.min("bin_start").alias("bin_start"), F.try_divide(F.sum("_f1"), F.sum("_n")).alias("mean_f1"))
             .orderBy(*keys, "bin_start"))
 
 

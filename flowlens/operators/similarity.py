@@ -14,10 +14,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import truncate_label
+from flowlens.operators.indexing import with_running
+from flowlens.session import cut_lineage
 
 # Chunk size of the embedding step (the reference's model limit is 8191 tokens).
 MAX_TOKENS = 8000
@@ -53,6 +57,35 @@ def chunk_tokens(df: DataFrame, id_cols: list[str], text_col: str = "text", max_
                     F.coalesce("_text", F.array_join("_toks", "")).alias("chunk_text")))
 
 
+def chunked_lines(lines: DataFrame, id_cols: list[str], order_col: str, text_col: str = "text", max_tokens: int = MAX_TOKENS,
+                  tokenizer: Callable[[Column], Column] = whitespace_tokens) -> DataFrame:
+    """Chunks of texts that are given line by line: (id, chunk, n_tokens, chunk_text), the same chunks as of the lines
+    joined by newlines, which is never done.
+
+    A running token count places every line in its text; a line that reaches into further chunks is cut at their limits,
+    and each chunk is put together from its own lines only. A newline belongs to the token after it, blanks at the end
+    of a line to the token before. Null lines are left out; a text without any token is one chunk.
+    """
+    m = int(max_tokens)
+    if m <= 0:
+        raise ValueError("max_tokens must be positive")
+    kept = lines.where(F.col(text_col).isNotNull()).select(*id_cols, order_col, F.col(text_col).alias("_text"))
+    counted = kept.withColumn("_count", F.size(tokenizer(F.col("_text"))))
+    placed = with_running(counted, id_cols, [order_col], {"_start": F.col("_count"), "_line": F.lit(1)})
+    whole = F.when(F.col("_line") == 0, F.col("_text")).otherwise(F.concat(F.lit("\n"), "_text"))
+    tokens = placed.withColumn("_tok", tokenizer(whole)).withColumn("_text", whole)
+    n = F.col("_count")
+    first, last = F.col("_start"), F.col("_start") + n - 1
+    chunk = F.when(n > 0, F.sequence(F.floor(first / m), F.floor(last / m))).otherwise(F.array(F.floor(F.greatest(first - 1, F.lit(0)) / m)))
+    cut = tokens.withColumn("chunk", F.explode(chunk))
+    begin = F.greatest(F.col("chunk") * m - first, F.lit(0)).cast("int")
+    taken = (F.least((F.col("chunk") + 1) * m - first, n.cast("bigint")) - begin).cast("int")
+    piece = F.when(n == 0, F.col("_text")).otherwise(F.array_join(F.slice("_tok", begin + 1, F.greatest(taken, F.lit(0))), ""))
+    parts = cut.select(*id_cols, order_col, F.col("chunk").cast("int").alias("chunk"), piece.alias("_piece"), F.when(n > 0, taken).otherwise(0).alias("_taken"))
+    return parts.groupBy(*id_cols, "chunk").agg(F.sum("_taken").cast("int").alias("n_tokens"),
+                                                F.expr(f"listagg(_piece, '') WITHIN GROUP (ORDER BY `{order_col}`)").alias("chunk_text"))
+
+
 def finite_vectors(df: DataFrame, vec_col: str = "embedding") -> DataFrame:
     """Drop vectors that are null or hold NaN (their similarity rows would be all NaN)."""
     return df.where(F.col(vec_col).isNotNull() & ~F.exists(vec_col, lambda x: F.isnan(x)))
@@ -97,6 +130,54 @@ def process_similarity(vectors: DataFrame, group_col: str = "process_name", vec_
                     "n_i", "n_j"))
 
 
+# Vectors of one block of the neighbour search: a task multiplies two blocks.
+BLOCK = 4096
+# Digits that cosines are compared by, so that equal vectors tie whatever the order of the sums.
+DIGITS = 9
+
+
+def nearest_neighbours(vectors: DataFrame, queries: Column, k: int, id_col: str = "instance_id", vec_col: str = "embedding",
+                       block: int = BLOCK) -> DataFrame:
+    """(query, neighbour, cosine, rank): the k most similar other vectors of every row that ``queries`` selects, exact.
+
+    Queries and rows are dealt to blocks by the hash of their id. Every pair of a query block and a row block is one
+    group, multiplied as two matrices; a group hands on the k best rows of each query, and those are ranked over all
+    groups. Equal cosines (to nine digits) are ranked by id. Null and NaN vectors take no part; pairs are never stored.
+    """
+    # written once: ids, blocks and both sides are read from it
+    unit = cut_lineage(unit_vectors(finite_vectors(vectors, vec_col), vec_col).select(F.col(id_col).alias("id"), F.col(vec_col).alias("v"),
+                                                                                      queries.alias("asks")))
+    n = unit.agg(F.count(F.lit(1)).alias("rows"), F.count_if("asks").alias("queries")).first()
+    row_blocks, query_blocks = -(-n["rows"] // block) or 1, -(-n["queries"] // block) or 1
+
+    def dealt(df: DataFrame, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        return (df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
+                .withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).select("qb", "rb", "id", "v"))
+
+    asked = dealt(unit.where("asks"), "qb", query_blocks, "rb", row_blocks)
+    rows = dealt(unit, "rb", row_blocks, "qb", query_blocks)
+    kind = dict(unit.dtypes)["id"]
+
+    def best(q: pd.DataFrame, r: pd.DataFrame) -> pd.DataFrame:
+        empty = pd.DataFrame({"query": [], "neighbour": [], "cosine": []})
+        if not len(q) or not len(r):
+            return empty
+        r = r.sort_values("id")
+        ids = r["id"].to_numpy()
+        cosine = np.round(np.stack(q["v"].to_numpy()) @ np.stack(r["v"].to_numpy()).T, DIGITS)
+        out = []
+        for query, scores in zip(q["id"], cosine):
+            # rows are in order of id, so a stable sort breaks ties by id; one more than k, for the query itself
+            top = np.argsort(-scores, kind="stable")[:k + 1]
+            top = top[ids[top] != query][:k]
+            out.append(pd.DataFrame({"query": query, "neighbour": ids[top], "cosine": scores[top]}))
+        return pd.concat(out) if out else empty
+
+    found = asked.groupBy("qb", "rb").cogroup(rows.groupBy("qb", "rb")).applyInPandas(best, f"query {kind}, neighbour {kind}, cosine double")
+    order = Window.partitionBy("query").orderBy(F.col("cosine").desc(), "neighbour")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def similarity_blocks(items: DataFrame, group_col: str = "process_name", truncate: int | None = 20,
                       vec_col: str = "embedding") -> DataFrame:
     """Heatmap blocks: items sorted by process name; each (truncated) label's block starts at the

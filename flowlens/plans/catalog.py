@@ -85,7 +85,7 @@ def workflow_instances(spark, sf):
 
 @query
 def event_positions(spark, sf):
-    return I.event_positions(events(spark, sf)).select("process_instance_uuid", "event_seq", "pos")
+    return I.event_positions(events(spark, sf)).select("domain", "process_instance_uuid", "event_seq", "pos")
 
 
 @query
@@ -285,6 +285,24 @@ def boundary_tolerant(spark, sf):
     return _metrics(seg_results(spark, sf))
 
 
+def long_metrics(spark, sf, tolerance: int) -> DataFrame:
+    """The boundary metrics from long tables, for which a sequence may have any number of boundaries."""
+    sl, hd, resp = seg_inputs(spark, sf)
+    pred = SG.predicted_boundaries(SG.parsed_segments(resp)).select("domain", "model", "sequence_id", F.explode("pred_boundaries").alias("boundary"))
+    runs = resp.join(hd.select("domain", "sequence_id", "sequence_length"), ["domain", "sequence_id"])
+    return _metrics(SG.boundary_metrics_long(SA.true_boundaries(sl), pred, runs, tolerance))
+
+
+@query
+def boundary_exact_long(spark, sf):
+    return long_metrics(spark, sf, tolerance=0)
+
+
+@query
+def boundary_tolerant_long(spark, sf):
+    return long_metrics(spark, sf, tolerance=SG.DEFAULT_TOLERANCE)
+
+
 @query
 def edit_distance(spark, sf):
     return seg_results(spark, sf).select("domain", "model", "sequence_id", F.col("edit_distance").cast("bigint"))
@@ -343,6 +361,24 @@ def chunk_tokens(spark, sf):
     return SIM.chunk_tokens(documents(spark, sf), ["doc_id"])
 
 
+# Small enough that most instances are cut into several chunks.
+INSTANCE_CHUNK_TOKENS = 24
+
+
+@query
+def instance_chunks(spark, sf):
+    """Chunks of the instance texts, put together from the event sentences without building a whole text."""
+    lines = T.wf_events(spark, sf).select("domain", F.col("process_instance_uuid").alias("workflow_id"), "event_seq", TX.event_text_strict().alias("text"))
+    return SIM.chunked_lines(lines, ["domain", "workflow_id"], "event_seq", max_tokens=INSTANCE_CHUNK_TOKENS)
+
+
+@query
+def instance_neighbours(spark, sf):
+    """The five most similar instances of every instance whose id is divisible by 50, searched among all."""
+    near = SIM.nearest_neighbours(pooled_instances(spark, sf), F.col("instance_id") % 50 == 0, k=5)
+    return near.select("query", "neighbour", "rank", r6("cosine").alias("cosine"))
+
+
 @query
 def pool_embeddings(spark, sf):
     lg = SIM.pool_long(T.chunk_vectors(spark, sf), ["instance_id"])
@@ -384,12 +420,9 @@ def cls_runs(spark, sf) -> DataFrame:
 
 
 def report_rows(spark, sf, d: DataFrame | None = None) -> DataFrame:
-    """Per-class rows, the Average row and the accuracy row, all from one count table."""
-    pc = C.pair_counts(detailed(spark, sf) if d is None else d)
-    rep = C.class_report_from_counts(pc)
-    rows = rep.unionByName(C.macro_average(rep)).unionByName(
-        C.accuracy_row_from_counts(pc).withColumn("support", F.col("support").cast("bigint")))
-    return rows.withColumn("task", F.lit("classification"))
+    """Per-class rows, the Average row and the accuracy row, all from one count table, materialised once."""
+    pc = cut_lineage(C.pair_counts(detailed(spark, sf) if d is None else d))
+    return C.report_from_counts(pc).withColumn("task", F.lit("classification"))
 
 
 def seg_individual(spark, sf) -> DataFrame:
@@ -414,6 +447,11 @@ def class_accuracy(spark, sf):
     return _r6_all(RP.class_accuracy(cls_runs(spark, sf)), {"accuracy"})
 
 
+@query
+def accuracy_rollup(spark, sf):
+    return _r6_all(RP.accuracy_rollup(cls_runs(spark, sf)), {"accuracy"})
+
+
 @query
 def domain_accuracy(spark, sf):
     return _r6_all(RP.domain_accuracy(cls_runs(spark, sf)), {"accuracy"})
@@ -421,13 +459,11 @@ def domain_accuracy(spark, sf):
 
 @query
 def segmentation_fallback(spark, sf):
-    ind = seg_individual(spark, sf)
-    # Stored aggregates exist for every model but one, standing in for result files that lack
-    # aggregate_metrics; those runs are recomputed from their individual results, so the output
-    # still holds every run.
-    stored = SG.aggregate(ind.where(F.col("model") != T.FOLDED_MODEL), ("domain", "task", "model"))
-    out = RP.segmentation_fallback(stored, ind)
-    return _r6_all(out, {"boundary_precision", "boundary_recall", "boundary_f1", "edit_distance"})
+    """Stored aggregates for one model, deliberately not what its sequences give (F1 shifted, no edit distance), as in the
+    generated documents of ``plans.stored``; the other models have none and are recomputed."""
+    from flowlens.plans.stored import tree_segmentation
+    ind, stored = tree_segmentation(spark, sf)
+    return _r6_all(RP.segmentation_fallback(stored, ind), set(RP.SEGMENTATION_METRICS))
 
 
 @query

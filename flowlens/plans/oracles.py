@@ -120,8 +120,8 @@ ORACLES["label_encoding"] = with_(WF, INST, LABELS) + "SELECT domain, process_na
 ORACLES["workflow_instances"] = with_(WF, INST, LABELS) + """SELECT i.domain, i.workflow_id, i.process_name, i.n_events, l.label_id
   FROM inst i LEFT JOIN labels l USING (domain, process_name)"""
 
-ORACLES["event_positions"] = with_(WF) + """SELECT process_instance_uuid, event_seq,
-  row_number() OVER (PARTITION BY process_instance_uuid ORDER BY time_stamp ASC NULLS LAST, event_seq) - 1 AS pos
+ORACLES["event_positions"] = with_(WF) + """SELECT domain, process_instance_uuid, event_seq,
+  row_number() OVER (PARTITION BY domain, process_instance_uuid ORDER BY time_stamp ASC NULLS LAST, event_seq) - 1 AS pos
   FROM wf WHERE process_instance_uuid IS NOT NULL"""
 
 ORACLES["instance_texts"] = with_(WF) + """SELECT domain, process_instance_uuid AS workflow_id,
@@ -345,6 +345,8 @@ ORACLES["boundary_exact"] = SEGQ + """SELECT domain, model, sequence_id, round(p
 ORACLES["boundary_tolerant"] = SEGQ + """SELECT domain, model, sequence_id, round(boundary_precision, 6) AS boundary_precision,
   round(boundary_recall, 6) AS boundary_recall, round(boundary_f1, 6) AS boundary_f1 FROM res2"""
 ORACLES["edit_distance"] = SEGQ + "SELECT domain, model, sequence_id, CAST(edit_distance AS BIGINT) AS edit_distance FROM res2"
+for _name in ("boundary_exact", "boundary_tolerant"):
+    ORACLES[f"{_name}_long"] = ORACLES[_name]
 ORACLES["segmentation_aggregate"] = SEGQ + """SELECT domain, model, round(avg(boundary_precision), 6) AS boundary_precision,
   round(avg(boundary_recall), 6) AS boundary_recall, round(avg(boundary_f1), 6) AS boundary_f1,
   round(avg(edit_distance), 6) AS edit_distance FROM res2 GROUP BY domain, model"""
@@ -380,6 +382,13 @@ c AS (SELECT doc_id, text, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) /
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS INTEGER) AS n_tokens,
        CASE WHEN len(tok) = 0 THEN text ELSE array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), '') END AS chunk_text FROM c"""
 
+ORACLES["instance_chunks"] = f"""WITH t AS (SELECT domain, workflow_id, instance_text AS text FROM ({ORACLES["instance_texts"]}) i
+  WHERE instance_text IS NOT NULL),
+d AS (SELECT domain, workflow_id, {PIECES} AS tok FROM t),
+c AS (SELECT *, unnest(range(0, CAST(ceil(len(tok) / 24.0) AS BIGINT))) AS chunk FROM d)
+SELECT domain, workflow_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(tok, chunk * 24 + 1, (chunk + 1) * 24)) AS INTEGER) AS n_tokens,
+       array_to_string(list_slice(tok, chunk * 24 + 1, (chunk + 1) * 24), '') AS chunk_text FROM c"""
+
 CV = f"""cv AS (SELECT vec_id // 4 AS instance_id, vec_id, CAST(embedding AS DOUBLE[]) AS e,
                    {NAMES}[CAST(label % 7 AS INTEGER) + 1] AS process_name FROM embeddings),
 u AS (SELECT instance_id, dim, e[dim + 1] AS v FROM (SELECT instance_id, e, unnest(range(len(e))) AS dim FROM cv) x),
@@ -398,6 +407,13 @@ SELECT process_i, process_j, round(avg(c), 6) + 0.0 AS mean_cosine, ci.n AS n_i,
 FROM pairs JOIN cnt ci ON ci.process_name = process_i JOIN cnt cj ON cj.process_name = process_j
 GROUP BY process_i, process_j, ci.n, cj.n"""
 
+# Brute force: every query against every instance.
+ORACLES["instance_neighbours"] = with_(CV) + """, s AS (
+  SELECT q.instance_id AS query, r.instance_id AS neighbour, round(list_cosine_similarity(q.e, r.e), 9) AS c
+  FROM pooled q JOIN pooled r ON r.instance_id <> q.instance_id WHERE q.instance_id % 50 = 0)
+SELECT query, neighbour, CAST(row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) AS INTEGER) AS rank, round(c, 6) + 0.0 AS cosine
+FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) <= 5"""
+
 ORACLES["similarity_blocks"] = with_(CV) + """, ord AS (SELECT *, row_number() OVER (ORDER BY process_name, instance_id) - 1 AS idx
              FROM pooled)
 SELECT CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS block_label,
@@ -449,6 +465,13 @@ FROM (SELECT domain, 'classification' AS task, model, coalesce(true_class, 'Unkn
 ORACLES["domain_accuracy"] = CLSRUN + """SELECT domain, model, count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
   round(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*), 6) AS accuracy FROM detailed GROUP BY domain, model"""
 
+ORACLES["accuracy_rollup"] = CLSRUN + """SELECT CASE WHEN grouping(task) = 1 THEN 'domain' WHEN grouping(true_class) = 1 THEN 'run' ELSE 'class' END AS level,
+  domain, task, model, true_class, count(*) FILTER (WHERE correct) AS correct, count(*) AS total,
+  count(*) - count(*) FILTER (WHERE correct) AS incorrect,
+  round(CAST(count(*) FILTER (WHERE correct) AS DOUBLE) / count(*), 6) AS accuracy
+FROM (SELECT domain, 'classification' AS task, model, coalesce(true_class, 'Unknown') AS true_class, correct FROM detailed) d
+GROUP BY GROUPING SETS ((domain, task, model, true_class), (domain, task, model), (domain, model))"""
+
 ORACLES["accuracy_fallback"] = CLSRUN + "SELECT domain, task, model, round(accuracy, 6) AS accuracy, accuracy_source FROM accfb"
 
 ORACLES["classification_leaderboard"] = CLSRUN + """SELECT domain, task, model, round(precision, 6) AS precision,

@@ -13,25 +13,25 @@ EVENT = T.StructType([
 
 DETAILED = "workflow_id string, true_class string, predicted_class string, correct boolean"
 
-REPORT_MAP = "map<string, struct<precision:double, recall:double, `f1-score`:double, support:double>>"
+CELLS = "actual string, predicted string, n bigint"
 
-CONFUSION_MAP = "map<string, map<string, bigint>>"
+METRICS = "boundary_precision double, boundary_recall double, boundary_f1 double, edit_distance double"
 
 SEGMENT = "struct<start_index:bigint, end_index:bigint>"
 
-SEGMENTATION_FILE = (
-    "struct<individual_results: array<struct<sequence_id:string, num_workflows:int, sequence_length:int, "
-    "boundary_precision:double, boundary_recall:double, boundary_f1:double, edit_distance:int, "
-    f"true_segments:array<{SEGMENT}>, pred_segments:array<{SEGMENT}>>>, "
-    "aggregate_metrics: struct<boundary_precision:double, boundary_recall:double, boundary_f1:double, "
-    "edit_distance:double>>"
+# Per-sequence results as the jobs store them.
+SEGMENTATION_ROWS = (
+    "sequence_id string, num_workflows bigint, sequence_length bigint, boundary_precision double, boundary_recall double, "
+    "boundary_f1 double, edit_distance int, true_boundaries array<bigint>, pred_boundaries array<bigint>, "
+    f"pred_segments array<{SEGMENT}>, true_starts array<bigint>"
 )
 
 EMBEDDING_CSV = ("process_instance_uuid string, process_name string, process_instance_text string, "
                  "num_tokens int, embedding string")
 
-RESPONSE_LOG = "run_id string, item_id string, prompt string, generated_text string, timestamp string"
+RESPONSE_LOG = ("item_id string, prompt string, generated_text string, timestamp string, attempt string, run_id string, "
+                "batch int")
 
 # Report rows in long form, one per (run, label).
-REPORT_ROWS = ("domain string, task string, model string, label string, precision double, recall double, "
-               "f1_score double, support double")
+REPORT_FIELDS = "label string, precision double, recall double, f1_score double, support double"
+REPORT_ROWS = f"domain string, task string, model string, {REPORT_FIELDS}"

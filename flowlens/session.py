@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import os
+import pathlib
 import re
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +67,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application, so that they need no copy of their own.
+
+    The archive lies in a folder of the driver only while Spark takes it into its file server.
+    """
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    package = pathlib.Path(__file__).resolve().parent
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="flowlens-package-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for file in sorted(package.rglob("*.py")):
+            out.write(file, file.relative_to(package.parent))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -77,17 +99,16 @@ def env_int(name: str, default: int) -> int:
 
 
 def cluster_conf(input_bytes: int, executor_cores: int, executors: int,
-                 target_partition_bytes: int = 256 << 20, max_partitions: int = 100_000) -> dict[str, str]:
+                 target_partition_bytes: int = 256 << 20, shuffled_share: float = 0.1) -> dict[str, str]:
     """Settings sized for a cluster run over ``input_bytes`` of input.
 
     Scan splits of ``target_partition_bytes``. Initial shuffle partitions are chosen so that one
-    partition holds about that much shuffled data (at least 2 per core), and AQE coalesces small
-    ones and splits skewed ones at run time. Capped at ``max_partitions``: shuffled data is far
-    smaller than the raw input after column pruning, and map-status bookkeeping grows with
-    map tasks x reducers.
+    partition holds about that much shuffled data, ``shuffled_share`` of the input after column
+    pruning and partial aggregation (at least 2 per core); AQE coalesces small ones and splits
+    skewed ones at run time.
     """
     cores = max(1, executor_cores * executors)
-    parts = min(max_partitions, max(2 * cores, int(input_bytes // target_partition_bytes)))
+    parts = max(2 * cores, int(input_bytes * shuffled_share // target_partition_bytes))
     return {
         "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
         "spark.sql.shuffle.partitions": str(parts),

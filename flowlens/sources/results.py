@@ -1,18 +1,21 @@
-"""S5-S7: scan a result tree <root>/<domain>/<task>/<model>/<file>.json into long tables.
+"""S5-S7: scan result trees and read their documents into long tables.
 
-Each file is read whole (``wholetext``) and parsed with a declared type; ``domain``, ``task`` and
-``model`` come from the file path. Missing files simply contribute no rows.
+Two layouts: "tree", files <root>/<domain>/<task>/<model>/<file>.json as other tools write them, and "exported",
+<root>/domain=<d>/task=<t>/model=<m>/file=<file>.json/ as ``documents.write_documents`` writes them. Domain, task and model
+come from the path. A document is parsed to VARIANT once and its records are exploded out of it one by one, so no typed
+array of a whole run is built. Missing files contribute no rows; a file that is not JSON is an error.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from flowlens.schemas import CONFUSION_MAP, DETAILED, REPORT_MAP, SEGMENTATION_FILE
-
 _PATH = r"^.*/([^/]+)/([^/]+)/([^/]+)/[^/]+$"
+RUN_COLUMNS = "domain string, task string, model string"
+RUN = ("domain", "task", "model")
+SEGMENTS = "array<struct<start_index:bigint,end_index:bigint>>"
 
 
 def path_missing(error: AnalysisException) -> bool:
@@ -20,84 +23,94 @@ def path_missing(error: AnalysisException) -> bool:
     return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
-def _with_run(df: DataFrame) -> DataFrame:
-    p = F.col("_metadata.file_path")
-    return df.select(F.regexp_extract(p, _PATH, 1).alias("domain"), F.regexp_extract(p, _PATH, 2).alias("task"),
-                     F.regexp_extract(p, _PATH, 3).alias("model"), "*")
-
-
-# Where each document lives in the two layouts: the reference's tree of files, or the
-# partitioned outputs written by flowlens.sources.sinks / flowlens.jobs.
-_PARTITIONED = {"report.json": "json/report", "confusion_matrix.json": "json/confusion_matrix",
-                "segmentation_results.json": "json/segmentation_results"}
+def _from_path(path: Column) -> list[Column]:
+    """Domain, task and model of a file path; what the file system escapes in a URL is written plainly."""
+    return [F.try_url_decode(F.replace(F.regexp_extract(path, _PATH, i + 1), F.lit("+"), F.lit("%2B"))).alias(c) for i, c in enumerate(RUN)]
 
 
 def _whole(spark: SparkSession, root: str, name: str, layout: str = "tree") -> DataFrame | None:
+    """(domain, task, model, value) of every document called ``name``."""
     try:
-        if layout == "partitioned":
-            docs = spark.read.text(f"{root}/{_PARTITIONED[name]}")   # one JSON document per line
-            return docs.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")], "value")
-        return _with_run(spark.read.option("wholetext", True).text(f"{root}/*/*/*/{name}"))
+        if layout == "exported":
+            docs = spark.read.schema(f"value string, {RUN_COLUMNS}, file string").text(root, wholetext=True)
+            return docs.where(F.col("file") == name).select(*RUN, "value")
+        return spark.read.text(f"{root}/*/*/*/{name}", wholetext=True).select(*_from_path(F.col("_metadata.file_path")), "value")
     except AnalysisException as e:
         if not path_missing(e):
             raise
         return None
 
 
-def scan_results(spark: SparkSession, root: str) -> DataFrame:
-    """(domain, task, model, file) for every result file."""
-    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/*/*/*").select("path")
-    return df.select(F.regexp_extract("path", _PATH, 1).alias("domain"), F.regexp_extract("path", _PATH, 2).alias("task"),
-                     F.regexp_extract("path", _PATH, 3).alias("model"),
-                     F.regexp_extract("path", r"([^/]+)$", 1).alias("file"))
+def scan_results(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame:
+    """(domain, task, model, file) for every result file; the files themselves are not opened."""
+    if layout == "exported":
+        return (spark.read.schema(f"value string, {RUN_COLUMNS}, file string").text(root)
+                .select(*RUN, "file", "_metadata.file_path").distinct().select(*RUN, "file"))
+    df = spark.read.format("binaryFile").option("pathGlobFilter", "*.json").load(f"{root}/*/*/*")
+    path = F.col("_metadata.file_path")
+    return df.select(*_from_path(path), F.regexp_extract(path, r"([^/]+)$", 1).alias("file"))
+
+
+def exploded(docs: DataFrame, path: str = "$") -> DataFrame:
+    """(domain, task, model, key, value: variant): one row for every element or entry at ``path`` of each document."""
+    parsed = docs.select(*RUN, F.variant_get(F.parse_json("value"), path, "variant").alias("doc"))
+    records = parsed.lateralJoin(parsed.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    return records.select(*RUN, "key", "value")
+
+
+def _field(name: str, kind: str) -> Column:
+    return F.variant_get("value", f"$['{name}']", kind).alias(name)
+
+
+def detailed_rows(docs: DataFrame) -> DataFrame:
+    fields = [_field(c, "string") for c in ("workflow_id", "true_class", "predicted_class")]
+    return exploded(docs).select(*RUN, *fields, _field("correct", "boolean"))
+
+
+def report_rows(docs: DataFrame) -> DataFrame:
+    numbers = [F.variant_get("value", f"$['{c}']", "double").alias(c.replace("f1-score", "f1_score")) for c in ("precision", "recall", "f1-score", "support")]
+    return exploded(docs).select(*RUN, F.col("key").alias("label"), *numbers)
+
+
+def confusion_cells(docs: DataFrame) -> DataFrame:
+    """The file's outer key is the predicted class."""
+    outer = exploded(docs).select(*RUN, F.col("key").alias("predicted"), F.col("value").alias("doc"))
+    inner = outer.lateralJoin(outer.sparkSession.tvf.variant_explode(F.col("doc").outer()))
+    return inner.select(*RUN, F.col("key").alias("actual"), "predicted", F.variant_get("value", "$", "bigint").alias("n"))
+
+
+def individual_rows(docs: DataFrame) -> DataFrame:
+    numbers = [_field(c, "double") for c in ("boundary_precision", "boundary_recall", "boundary_f1")]
+    return exploded(docs, "$.individual_results").select(
+        *RUN, _field("sequence_id", "string"), _field("num_workflows", "bigint"), _field("sequence_length", "bigint"), *numbers,
+        _field("edit_distance", "bigint"), _field("true_segments", SEGMENTS), _field("pred_segments", SEGMENTS))
+
+
+def stored_aggregates(docs: DataFrame) -> DataFrame:
+    """Runs whose document holds aggregate metrics (any may be null); runs without are absent."""
+    metrics = docs.select(*RUN, F.variant_get(F.parse_json("value"), "$.aggregate_metrics", "variant").alias("value"))
+    names = ("boundary_precision", "boundary_recall", "boundary_f1", "edit_distance")
+    return metrics.where(F.col("value").isNotNull()).select(*RUN, *[_field(c, "double") for c in names])
 
 
 def load_detailed(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
-    if layout == "partitioned":
-        try:
-            t = spark.read.parquet(f"{root}/tables/detailed_results")
-        except AnalysisException as e:
-            if not path_missing(e):
-                raise
-            return None
-        return t.select(*[F.col(c).cast("string") for c in ("domain", "task", "model")],
-                        "workflow_id", "true_class", "predicted_class", "correct")
-    w = _whole(spark, root, "detailed_results.json")
-    if w is None:
-        return None
-    return (w.select("domain", "task", "model", F.explode(F.from_json("value", f"array<struct<{DETAILED}>>")).alias("r"))
-            .select("domain", "task", "model", "r.*"))
+    docs = _whole(spark, root, "detailed_results.json", layout)
+    return None if docs is None else detailed_rows(docs)
 
 
 def load_reports(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
     """Long report rows (domain, task, model, label, precision, recall, f1_score, support)."""
-    w = _whole(spark, root, "report.json", layout)
-    if w is None:
-        return None
-    e = w.select("domain", "task", "model", F.explode(F.from_json("value", REPORT_MAP)).alias("label", "m"))
-    return e.select("domain", "task", "model", "label", F.col("m.precision").alias("precision"),
-                    F.col("m.recall").alias("recall"), F.col("m.`f1-score`").alias("f1_score"),
-                    F.col("m.support").alias("support"))
+    docs = _whole(spark, root, "report.json", layout)
+    return None if docs is None else report_rows(docs)
 
 
 def load_confusion(spark: SparkSession, root: str, layout: str = "tree") -> DataFrame | None:
-    """(domain, task, model, actual, predicted, n); the file's outer key is the predicted class."""
-    w = _whole(spark, root, "confusion_matrix.json", layout)
-    if w is None:
-        return None
-    o = w.select("domain", "task", "model", F.explode(F.from_json("value", CONFUSION_MAP)).alias("predicted", "inner"))
-    return o.select("domain", "task", "model", F.explode("inner").alias("actual", "n"), "predicted") \
-        .select("domain", "task", "model", "actual", "predicted", "n")
+    """(domain, task, model, actual, predicted, n)."""
+    docs = _whole(spark, root, "confusion_matrix.json", layout)
+    return None if docs is None else confusion_cells(docs)
 
 
 def load_segmentation(spark: SparkSession, root: str, layout: str = "tree") -> tuple[DataFrame, DataFrame] | None:
-    """(individual results, stored aggregates); runs whose file lacks aggregates are absent from
-    the second table (see reporting.segmentation_fallback)."""
-    w = _whole(spark, root, "segmentation_results.json", layout)
-    if w is None:
-        return None
-    s = w.select("domain", "task", "model", F.from_json("value", SEGMENTATION_FILE).alias("s"))
-    ind = s.select("domain", "task", "model", F.explode("s.individual_results").alias("r")).select(
-        "domain", "task", "model", "r.*")
-    agg = s.where(F.col("s.aggregate_metrics").isNotNull()).select("domain", "task", "model", "s.aggregate_metrics.*")
-    return ind, agg
+    """(individual results, stored aggregates); see reporting.segmentation_fallback."""
+    docs = _whole(spark, root, "segmentation_results.json", layout)
+    return None if docs is None else (individual_rows(docs), stored_aggregates(docs))

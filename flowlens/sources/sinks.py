@@ -1,73 +1,11 @@
-"""S4, S8-S13: writers. Tables are written as Parquet partitioned by run; the per-run JSON
-documents of the reference layout are produced by Spark (one row per run) and written as text."""
+"""S4: instance embeddings. Tables and documents of runs are in ``sources.runs``, the log in ``sources.response_log``."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.schemas import RESPONSE_LOG
 from flowlens.sources.embeddings import vector_text
-from flowlens.sources.results import path_missing
-
-RUN = ("domain", "task", "model")
-
-
-def model_dir(model_col: str = "model") -> F.Column:
-    """S13: output folder of a model = its name after the last '/'."""
-    return F.substring_index(F.col(model_col), "/", -1)
-
-
-def write_table(df: DataFrame, path: str, partition_by=RUN, mode: str = "overwrite") -> None:
-    """S10/S11: detailed or per-sequence results, partitioned by run. Overwriting replaces the runs
-    that ``df`` holds and leaves the others."""
-    out = df.withColumn("model", model_dir()) if "model" in df.columns else df
-    out.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*[c for c in partition_by if c in out.columns]).parquet(path)
-
-
-def report_json(report_rows: DataFrame, keys=RUN) -> DataFrame:
-    """S8: one JSON document per run, label -> {precision, recall, f1-score, support}."""
-    entry = F.struct(F.col("label").alias("key"), F.struct(
-        F.col("precision"), F.col("recall"), F.col("f1_score").alias("f1-score"),
-        F.col("support").cast("double").alias("support")).alias("value"))
-    return report_rows.groupBy(*keys).agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("json"))
-
-
-def confusion_json(counts: DataFrame, keys=RUN) -> DataFrame:
-    """S9: one document per run, predicted -> actual -> count over labels(true) ∪ labels(pred),
-    zero-filled. Built per run from its label array (classes^2 values, independent of rows)."""
-    g = counts.groupBy(*keys).agg(
-        F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("labels"),
-        F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\u0001", "predicted", "actual"), "n"))).alias("cells"))
-    grid = F.map_from_arrays(F.col("labels"), F.transform("labels", lambda p: F.map_from_arrays(
-        F.col("labels"), F.transform("labels", lambda a: F.coalesce(
-            F.element_at(F.col("cells"), F.concat_ws("\u0001", p, a)), F.lit(0).cast("bigint"))))))
-    return g.select(*keys, F.to_json(grid).alias("json"))
-
-
-def segmentation_json(results: DataFrame, keys=RUN) -> DataFrame:
-    """S11: one document per run: {individual_results: [...], aggregate_metrics: {...}}. The list
-    holds the run's sequences (num_samples of them, a parameter of the run)."""
-    seg = "array<struct<start_index:bigint,end_index:bigint>>"
-    true_segs = F.transform(F.col("true_starts"), lambda s, i: F.struct(
-        s.alias("start_index"),
-        (F.coalesce(F.try_element_at(F.col("true_starts"), i + 2), F.col("sequence_length")) - 1).alias("end_index")))
-    item = F.struct("sequence_id", "num_workflows", "sequence_length", "boundary_precision", "boundary_recall",
-                    "boundary_f1", "edit_distance", true_segs.cast(seg).alias("true_segments"),
-                    F.col("pred_segments").cast(seg).alias("pred_segments"))
-    agg = F.struct(F.avg("boundary_precision").alias("boundary_precision"),
-                   F.avg("boundary_recall").alias("boundary_recall"), F.avg("boundary_f1").alias("boundary_f1"),
-                   F.avg("edit_distance").cast("double").alias("edit_distance"))
-    return results.groupBy(*keys).agg(F.to_json(F.struct(
-        F.array_sort(F.collect_list(item)).alias("individual_results"), agg.alias("aggregate_metrics"))).alias("json"))
-
-
-def write_json_docs(docs: DataFrame, path: str, keys=RUN, mode: str = "overwrite") -> None:
-    """One document per run; overwriting replaces the runs that ``docs`` holds and leaves the others."""
-    out = docs.withColumn("model", model_dir()) if "model" in keys else docs
-    out.select(*keys, "json").write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*keys).text(path)
-
 
 def write_embeddings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     """S4: instance embeddings; CSV keeps the vector as list text."""
@@ -76,20 +14,3 @@ def write_embeddings(df: DataFrame, path: str, fmt: str = "parquet") -> None:
           .write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
-
-
-def append_response_log(df: DataFrame, path: str, run_id: str, item_col: str = "workflow_id") -> None:
-    """S12: append (prompt, generated_text, timestamp) rows for one run; nothing is rewritten."""
-    (df.select(F.lit(run_id).alias("run_id"), F.col(item_col).cast("string").alias("item_id"), "prompt", "generated_text",
-               F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"))
-       .write.mode("append").partitionBy("run_id").parquet(path))
-
-
-def read_response_log(spark: SparkSession, path: str) -> DataFrame:
-    """The log, or an empty table when there is none."""
-    try:
-        return spark.read.schema(RESPONSE_LOG).parquet(path)
-    except AnalysisException as e:
-        if not path_missing(e):
-            raise
-        return spark.createDataFrame([], RESPONSE_LOG)

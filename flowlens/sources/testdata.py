@@ -32,26 +32,7 @@ FOLDED_MODEL = "m3"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    path = f"{sf_dir}/{name}.parquet"
-    return balanced(spark.read.parquet(path), key=path)
-
-
-_SCAN_SPLITS: dict[str, int] = {}
-
-
-def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Spread a scan that yields fewer partitions than the default parallelism (a small file with a
-    single row group is one task however many cores there are). Large, many-file inputs already
-    have enough splits and are returned unchanged, without a shuffle. The split count of a path
-    is probed once per process (it only steers this choice, never the result)."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if key is None or key not in _SCAN_SPLITS:
-        n = df.rdd.getNumPartitions()
-        if key is not None:
-            _SCAN_SPLITS[key] = n
-    else:
-        n = _SCAN_SPLITS[key]
-    return df.repartition(par) if n < par else df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _names() -> F.Column:
@@ -149,7 +130,7 @@ def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     e = table(spark, sf_dir, "embeddings")
     return e.select(
-        (F.col("vec_id") / 4).cast("bigint").alias("instance_id"),
+        F.expr("vec_id div 4").alias("instance_id"),
         (F.col("vec_id") % 4).alias("chunk"),
         F.col("embedding").cast("array<double>").alias("embedding"),
         F.element_at(_names(), (F.col("label") % len(PROCESS_NAMES) + 1).cast("int")).alias("process_name"),

@@ -69,33 +69,56 @@ def test_row_index_matches_sort(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("limit", [100, 10_000])
-def test_group_index_hot_key(spark, limit):
-    # one key holds most rows: split across tasks (limit 100) or windowed (limit 10k); both exact
-    rows = [("hot" if i % 10 else f"k{i}", i) for i in range(4000)]
-    df = spark.createDataFrame(rows, "g string, i int")
-    got = {r.i: r.ix for r in with_group_index(df, ["g"], [F.col("i")], "ix", max_group_rows=limit).collect()}
+def numbered(rows):
     by = {}
-    for g, i in sorted(rows, key=lambda r: (r[0], r[1])):
+    for g, i in sorted(rows, key=lambda r: (str(r[0]), r[1])):
         by.setdefault(g, []).append(i)
-    want = {i: n for g, lst in by.items() for n, i in enumerate(lst)}
-    assert got == want
+    return {(g, i): n for g, found in by.items() for n, i in enumerate(found)}
+
+
+@pytest.mark.parametrize("piece_rows", [1, 7, 100, 10_000])
+def test_group_index_hot_key(spark, piece_rows):
+    # one key holds most rows, and a null key some: cut into ranges of any size, the numbers stay exact
+    rows = [("hot" if i % 10 else [None, f"k{i}"][i % 20 == 0], i) for i in range(3000)]
+    df = spark.createDataFrame(rows, "g string, i int").repartition(5)
+    got = {(r.g, r.i): r.ix for r in with_group_index(df, ["g"], ["i"], "ix", piece_rows=piece_rows).collect()}
+    assert got == numbered(rows)
+
+
+def test_group_index_over_texts_and_null_times(spark):
+    # text keys with a long common start; times of which many are null or equal, told apart by the second column
+    names = sorted({f"wf-0000{i * 37 % 1009:05d}-é{i % 7}" for i in range(900)}, key=lambda n: n.encode())
+    df = spark.createDataFrame([("d", n) for n in names], "g string, n string").repartition(3)
+    got = {r.n: r.ix for r in with_group_index(df, ["g"], ["n"], "ix", piece_rows=20).collect()}
+    assert got == {n: i for i, n in enumerate(names)}
+    rng = random.Random(3)
+    times = [rng.choice([None, "2024-01-01 00:00:00", f"2024-0{rng.randint(1, 9)}-01 0{rng.randint(0, 9)}:00:00"]) for _ in range(800)]
+    df = spark.createDataFrame([("u", t, i) for i, t in enumerate(times)], "g string, t string, s int")
+    df = df.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    got = {r.s: r.ix for r in with_group_index(df, ["g"], ["t", "s"], "ix", piece_rows=25).collect()}
+    want = sorted(range(800), key=lambda i: (times[i] is None, times[i] or "", i))
+    assert got == {i: n for n, i in enumerate(want)}
+
+
+def test_a_hot_group_is_dealt_to_ranges_and_nothing_runs_while_planning(spark):
+    df = spark.createDataFrame([("hot", i) for i in range(4000)], "g string, i int")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planning", "planning")
+    indexed = with_group_index(df, ["g"], ["i"], "ix", piece_rows=100)
+    assert not tracker.getJobIdsForGroup("planning")
+    assert indexed.agg(F.max("ix")).first()[0] == 3999
 
 
-def test_hot_threshold_from_session(spark):
-    rows = [("hot", i) for i in range(300)] + [("cold", i) for i in range(5)]
-    df = spark.createDataFrame(rows, "g string, i int")
-    spark.conf.set("spark.flowlens.maxGroupRows", "50")
-    try:
-        got = {(r.g, r.i): r.ix for r in with_group_index(df, ["g"], [F.col("i")], "ix").collect()}
-    finally:
-        spark.conf.unset("spark.flowlens.maxGroupRows")
-    assert all(got[(g, i)] == i for g, i in got)
+def test_positions_are_of_one_domain(spark):
+    rows = [(d, "u", f"2024-01-0{i + 1} 00:00:00", i) for d in ("a", "b") for i in range(3)]
+    ev = I.coerce_timestamps(spark.createDataFrame(rows, "domain string, process_instance_uuid string, time_stamp string, event_seq long"))
+    got = {(r.domain, r.event_seq): r.pos for r in I.event_positions(ev).collect()}
+    assert got == {(d, i): i for d in ("a", "b") for i in range(3)}
 
 
 def test_cluster_conf():
     from flowlens.session import cluster_conf
     c = cluster_conf(100 << 40, 8, 1000)
-    assert c["spark.sql.shuffle.partitions"] == "100000" and c["spark.sql.adaptive.enabled"] == "true"
+    assert c["spark.sql.shuffle.partitions"] == str((100 << 40) // 10 // (256 << 20)) and c["spark.sql.adaptive.enabled"] == "true"
     small = cluster_conf(1 << 30, 4, 2)
     assert int(small["spark.sql.shuffle.partitions"]) == 16

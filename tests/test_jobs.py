@@ -1,10 +1,14 @@
 """End-to-end jobs with a fake model on hand-made events."""
 
+import json
+
 import pandas as pd
 from pyspark.sql import functions as F
 
 from flowlens.jobs import classification_job, segmentation_job
+from flowlens.schemas import CELLS
 from flowlens.sources.definitions import builtin_definitions
+from flowlens.sources.runs import read_documents, read_table
 
 COLS = "process_instance_uuid string, time_stamp string, process_name string, application_name string, " \
        "description string, screen_name string, event_seq long, domain string"
@@ -30,7 +34,15 @@ def test_classification_job(spark, tmp):
     rows = {r.label: r for r in out["report"].collect()}
     assert rows["Contract renewal"].recall == 1.0 and rows["Invoice processing"].recall == 0.0
     assert abs(rows["accuracy"].precision - 0.5) < 1e-12
-    assert spark.read.text(tmp + "/cls/json/report").count() == 1
+    document = read_documents(spark, tmp + "/cls", "report.json").collect()
+    assert len(document) == 1 and json.loads(document[0].value)["accuracy"] == {
+        "precision": 0.5, "recall": 0.5, "f1-score": 0.5, "support": 0.5}
+    # the grid is filled with zeros
+    grid = {(r.predicted, r.actual): r.n for r in read_table(spark, tmp + "/cls", "confusion_matrix", CELLS).collect()}
+    assert grid == {("Contract renewal", "Contract renewal"): 6, ("Contract renewal", "Invoice processing"): 6,
+                    ("Invoice processing", "Contract renewal"): 0, ("Invoice processing", "Invoice processing"): 0}
+    cells = {p: json.loads(read_documents(spark, tmp + "/cls", "confusion_matrix.json").first().value)[p] for p in ("Contract renewal", "Invoice processing")}
+    assert cells == {p: {a: grid[p, a] for a in ("Contract renewal", "Invoice processing")} for p in cells}
 
 
 def test_segmentation_job(spark, tmp):
@@ -43,7 +55,10 @@ def test_segmentation_job(spark, tmp):
     res = out["results"].collect()
     assert len(res) == 10 and all(0.0 <= r.boundary_precision <= 1.0 for r in res)
     assert out["aggregate"].count() == 1
-    assert spark.read.text(tmp + "/seg/json/segmentation_results").count() == 1
+    document = json.loads(read_documents(spark, tmp + "/seg", "segmentation_results.json").first().value)
+    assert [r["sequence_id"] for r in document["individual_results"]] == sorted(r.sequence_id for r in res)
+    assert document["individual_results"][0]["pred_segments"] and set(document["aggregate_metrics"]) == {
+        "boundary_precision", "boundary_recall", "boundary_f1", "edit_distance"}
     assert out["by_length_bin"].where(F.col("mean_f1").isNull()).count() == 0
 
 
@@ -60,12 +75,13 @@ def test_report_job_reads_job_outputs(spark, tmp):
     classification_job(events(spark), "fake-model", out_dir=out, scorer=scorer)
     segmentation_job(events(spark), "fake-model", builtin_definitions(spark), out_dir=out, scorer=seg_scorer,
                      num_samples=5)
-    t = report_job(spark, out, layout="partitioned")
+    t = report_job(spark, out, layout="runs")
     lb = t["classification_leaderboard"].collect()
     assert len(lb) == 1 and abs(lb[0].accuracy - 0.5) < 1e-12 and lb[0].accuracy_source == "report"
     assert t["run_accuracy"].collect()[0].total == 12
     seg = t["segmentation_leaderboard"].collect()
     assert len(seg) == 1 and seg[0].model == "fake-model"
+    assert t["confusion_matrix"].count() == 4 and t["by_num_workflows"].count() >= 1
 
 
 def test_segmentation_job_empty_sequences(spark, tmp):
@@ -81,7 +97,7 @@ def test_segmentation_job_empty_sequences(spark, tmp):
 
 def test_two_models_in_one_tree_and_one_call_per_prompt(spark, tmp):
     from flowlens.jobs import report_job
-    from flowlens.sources.sinks import read_response_log
+    from flowlens.sources.response_log import read_response_log
 
     calls = spark.sparkContext.accumulator(0)
 
@@ -95,13 +111,13 @@ def test_two_models_in_one_tree_and_one_call_per_prompt(spark, tmp):
     assert calls.value == 24
     assert {r.run_id: r["count"] for r in read_response_log(spark, log).groupBy("run_id").count().collect()} == {
         "classification/m-a": 12, "classification/m-b": 12}
-    t = report_job(spark, out, layout="partitioned")
+    t = report_job(spark, out, layout="runs")
     assert {r.model for r in t["classification_leaderboard"].collect()} == {"m-a", "m-b"}
     assert {r.model: r.total for r in t["run_accuracy"].collect()} == {"m-a": 12, "m-b": 12}
 
 
 def test_segmentation_log(spark, tmp):
-    from flowlens.sources.sinks import read_response_log
+    from flowlens.sources.response_log import read_response_log
 
     def scorer(prompts: pd.Series) -> pd.Series:
         return pd.Series(["<answer>[]</answer>"] * len(prompts))
@@ -122,7 +138,6 @@ def test_unreadable_definitions(spark, tmp):
 
 
 def test_report_only_runs_and_confusion_tables(spark, tmp):
-    import json
     from pathlib import Path
 
     from flowlens.jobs import report_job

@@ -3,13 +3,14 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from flowlens.functions.text import display_name
 from flowlens.operators import classification as C
 from flowlens.operators import reporting as RP
+from flowlens.sources import documents as D
 from flowlens.sources import results as R
-from flowlens.sources import sinks as SK
 
 
 def test_display_names(spark):
@@ -47,7 +48,7 @@ def test_result_tree_round_trip(spark, tmp):
     os.makedirs(base)
     det = [{"workflow_id": "w1", "true_class": "A", "predicted_class": "A", "correct": True},
            {"workflow_id": "w2", "true_class": "A", "predicted_class": "B", "correct": False}]
-    json.dump(det, open(os.path.join(base, "detailed_results.json"), "w"))
+    json.dump(det, open(os.path.join(base, "detailed_results.json"), "w"), indent=2)     # many lines, one document
     rep = {"A": {"precision": 1.0, "recall": 0.5, "f1-score": 2 / 3, "support": 2.0},
            "B": {"precision": 0.0, "recall": 0.0, "f1-score": 0.0, "support": 0.0},
            "Average": {"precision": 0.5, "recall": 0.25, "f1-score": 1 / 3, "support": 2.0}}
@@ -73,14 +74,85 @@ def test_result_tree_round_trip(spark, tmp):
     assert agg.count() == 0
     fb = RP.segmentation_fallback(agg, ind).collect()[0]
     assert fb.boundary_f1 == 2 / 3
-    # sinks: JSON documents, zero-filled confusion
-    doc = SK.confusion_json(C.confusion_matrix(d, ("domain", "task", "model")).select(
-        "domain", "task", "model", "actual", "predicted", "n")).collect()[0]
-    assert json.loads(doc.json) == {"A": {"A": 1, "B": 0}, "B": {"A": 1, "B": 0}}
-    rj = json.loads(SK.report_json(reports.where("label = 'A'")).collect()[0].json)
-    assert rj["A"]["f1-score"] == 2 / 3
-    SK.write_json_docs(SK.report_json(reports), os.path.join(tmp, "out"))
-    assert spark.read.text(os.path.join(tmp, "out")).count() == 1
+    # the documents, written and read again
+    grid = C.confusion_grid(C.pair_counts(d, RP.RUN), RP.RUN)
+    for lines in (D.confusion_document(grid), D.report_document(reports), D.detailed_document(d), D.segmentation_document(ind.withColumn("true_starts", F.array(F.lit(0).cast("bigint"))), agg)):
+        D.write_documents(lines, os.path.join(tmp, "out"))
+    files = {(r.domain, r.task, r.model, r.file) for r in R.scan_results(spark, os.path.join(tmp, "out"), "exported").collect()}
+    assert files == {("hr", "classification", "m1", f"{f}.json") for f in ("report", "detailed_results", "confusion_matrix")} | {
+        ("hr", "segmentation", "m1", "segmentation_results.json")}
+    assert {(r.actual, r.predicted): r.n for r in R.load_confusion(spark, os.path.join(tmp, "out"), "exported").collect()} == cm
+    assert sorted(R.load_reports(spark, os.path.join(tmp, "out"), "exported").collect()) == sorted(reports.collect())
+    assert sorted(R.load_detailed(spark, os.path.join(tmp, "out"), "exported").collect()) == sorted(d.collect())
+    back, stored = R.load_segmentation(spark, os.path.join(tmp, "out"), "exported")
+    assert stored.count() == 0 and [r.boundary_f1 for r in back.collect()] == [2 / 3]
+
+
+def test_long_documents_keep_their_order_and_odd_names(spark, tmp):
+    rows = [("h r", "c%1", 'm "x"+y', f"w{i:04d}", 'A "quoted" \\ name', "B", i % 2 == 0) for i in range(500)]
+    d = spark.createDataFrame(rows, "domain string, task string, model string, workflow_id string, true_class string, "
+                                    "predicted_class string, correct boolean").repartition(6)
+    D.write_documents(D.detailed_document(d), tmp + "/out")
+    assert sorted(tuple(r) for r in R.load_detailed(spark, tmp + "/out", "exported").collect()) == sorted(rows)
+    parts = [os.path.join(p, f) for p, _, fs in os.walk(tmp + "/out") for f in fs if f.startswith("part-")]
+    assert len(parts) == 1                                  # one document, one file
+    document = json.load(open(parts[0]))
+    assert [r["workflow_id"] for r in document] == [f"w{i:04d}" for i in range(500)]
+    grid = C.confusion_grid(C.pair_counts(d, RP.RUN), RP.RUN)
+    D.write_documents(D.confusion_document(grid), tmp + "/cells")
+    assert {(r.actual, r.predicted): r.n for r in R.load_confusion(spark, tmp + "/cells", "exported").collect()} == {
+        (rows[0][4], "B"): 500, ("B", "B"): 0, (rows[0][4], rows[0][4]): 0, ("B", rows[0][4]): 0}
+
+
+def test_a_document_that_is_not_json_fails(spark, tmp):
+    base = os.path.join(tmp, "hr", "classification", "m")
+    os.makedirs(base)
+    open(os.path.join(base, "detailed_results.json"), "w").write('[{"workflow_id": "w1",')
+    with pytest.raises(Exception, match="MALFORMED"):
+        R.load_detailed(spark, tmp).collect()
+    assert R.load_reports(spark, tmp) is None                # no such file: no rows, no error
+
+
+def test_stored_or_recomputed_is_chosen_per_run(spark):
+    run = "domain string, task string, model string, "
+    ind = spark.createDataFrame([("d", "segmentation", m, 1.0, 0.5, 0.75, e) for m in ("a", "b") for e in (1, 2)],
+                                run + "boundary_precision double, boundary_recall double, boundary_f1 double, edit_distance int")
+    stored = spark.createDataFrame([("d", "segmentation", "a", 0.9, None, 0.8, None), ("d", "segmentation", "c", 0.1, 0.2, 0.3, 4.0)],
+                                   run + "boundary_precision double, boundary_recall double, boundary_f1 double, edit_distance double")
+    got = {r.model: tuple(r)[3:] for r in RP.segmentation_fallback(stored, ind).collect()}
+    # a run with stored values takes all of them, nulls too; one without is recomputed; one without results is as stored
+    assert got == {"a": (0.9, None, 0.8, None, "stored"), "b": (1.0, 0.5, 0.75, 1.5, "recomputed"), "c": (0.1, 0.2, 0.3, 4.0, "stored")}
+
+
+def test_report_accuracy_counts_only_beside_an_average(spark):
+    fields = "domain string, task string, model string, label string, precision double, recall double, f1_score double, support double"
+    rep = spark.createDataFrame([("d", "classification", "a", "accuracy", 0.9, 0.9, 0.9, 0.9), ("d", "classification", "b", "accuracy", 0.9, 0.9, 0.9, 0.9),
+                                 ("d", "classification", "b", "Average", 0.1, 0.2, 0.3, 4.0), ("d", "classification", "c", "Average", 0.5, 0.5, 0.5, 2.0)], fields)
+    det = spark.createDataFrame([("d", "classification", m, "w", "A", "A", True) for m in ("a", "b", "e")],
+                                "domain string, task string, model string, workflow_id string, true_class string, predicted_class string, correct boolean")
+    got = {r.model: (r.f1, r.accuracy, r.accuracy_source) for r in RP.classification_leaderboard(rep, det).collect()}
+    assert got == {"a": (None, 1.0, "detailed"), "b": (0.3, 0.9, "report"), "c": (0.5, None, None), "e": (None, 1.0, "detailed")}
+    assert {r.model for r in RP.accuracy_fallback(rep, det).collect()} == {"a", "b", "e"}
+
+
+def test_accuracy_rollup_agrees_with_the_single_levels(spark):
+    d = _detailed(spark).unionByName(_detailed(spark).withColumn("task", F.lit("segmentation")))
+    got = RP.accuracy_rollup(d).collect()
+    assert {(r.task, r.model): (r.correct, r.total) for r in got if r.level == "run"} == {
+        (r.task, r.model): (r.correct, r.total) for r in RP.run_accuracy(d).collect()}
+    assert {(r.task, r.model, r.true_class): (r.correct, r.total) for r in got if r.level == "class"} == {
+        (r.task, r.model, r.true_class): (r.correct, r.total) for r in RP.class_accuracy(d).collect()}
+    assert {(r.domain, r.model): r.accuracy for r in got if r.level == "domain"} == {
+        (r.domain, r.model): r.accuracy for r in RP.domain_accuracy(d).collect()}
+
+
+def test_report_from_counts(spark):
+    d = _detailed(spark).where(F.col("true_class").isNotNull())
+    rows = {(r.model, r.label): r for r in C.report_from_counts(C.pair_counts(d, RP.RUN), RP.RUN).collect()}
+    # m2 answered a class that is no true class: no accuracy row; m1's holds the accuracy in all four fields
+    assert set(rows) == {("m1", "A"), ("m1", "B"), ("m1", "Average"), ("m1", "accuracy"), ("m2", "A"), ("m2", "Average")}
+    assert tuple(rows["m1", "accuracy"])[4:] == (2 / 3,) * 4
+    assert rows["m1", "Average"].support == 3.0 and rows["m1", "A"].recall == 0.5 and rows["m1", "B"].precision == 0.5
 
 
 def test_segmentation_json_document(spark):
@@ -92,7 +164,10 @@ def test_segmentation_json_document(spark):
                                                   '{"start_index": 4, "end_index": 9}]</answer>')],
                                  "domain string, model string, sequence_id string, generated_text string")
     res = SG.evaluate(headers, resp)
-    doc = json.loads(SK.segmentation_json(res, ("domain", "model")).collect()[0].json)
+    keys = ("domain", "task", "model")
+    res = res.withColumn("task", F.lit("segmentation"))
+    lines = D.segmentation_document(res, SG.aggregate(res, keys)).orderBy("part", "place").collect()
+    doc = json.loads("\n".join(r.line for r in lines))
     r = doc["individual_results"][0]
     assert r["true_segments"] == [{"start_index": 0, "end_index": 3}, {"start_index": 4, "end_index": 9}]
     assert r["boundary_f1"] == 1.0 and doc["aggregate_metrics"]["edit_distance"] == 0.0
