@@ -126,7 +126,10 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
+    docs = read(spark, sf_dir, "documents")
+    # a row of the table is known by its file and its number in it
+    rows = docs.select(F.xxhash64("_metadata.file_path").alias("file_key"), F.col("_metadata.row_index").alias("row_number"), "doc_id", "text")
+    return fingerprints.fingerprints(rows, ["file_key", "row_number"])
 
 
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -158,44 +158,60 @@ def likenesses(pairs: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- documents and their edited texts
-def with_next(texts: DataFrame) -> DataFrame:
-    """(row, next_row, n_chars): every row's successor by (doc_id, text), the last one's being the first."""
-    narrow = texts.select("row", "doc_id", F.xxhash64("text").alias("hash"), F.char_length("text").cast("long").alias("n_chars"))
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), F.col("row")]
-    placed = written(with_row_index(narrow, order, "place").select("row", "n_chars", "place"), "fingerprint-order")
+def with_next(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(key, next_key, doc_id, n_chars, place, next_place): every row's successor by (doc_id, text), the last one's being
+    the first. ``place`` counts the rows in that order from 0."""
+    narrow = texts.select(*key, "doc_id", F.xxhash64("text").alias("hash"), F.char_length("text").cast("long").alias("n_chars"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash"), *[F.col(c) for c in key]]
+    placed = written(with_row_index(narrow, order, "place").drop("hash"), "fingerprint-order")
     total = placed.agg(F.count(F.lit(1)).alias("total"))      # one row
-    wanted = placed.crossJoin(F.broadcast(total)).select("row", "n_chars", ((F.col("place") + 1) % F.col("total")).alias("place"))
-    return wanted.join(placed.select("place", F.col("row").alias("next_row")), "place").select("row", "next_row", "n_chars")
+    wanted = placed.crossJoin(F.broadcast(total)).withColumn("next_place", (F.col("place") + 1) % F.col("total")).drop("total")
+    return wanted.join(placed.select(F.col("place").alias("next_place"), *[F.col(c).alias(f"next_{c}") for c in key]), "next_place")
 
 
-def edited(texts: DataFrame) -> DataFrame:
-    """(row, next_row, doc_id, n_chars, text, edited): the last half of each text replaced by the start of its next document."""
-    order = written(with_next(texts), "fingerprint-next")
+def edited(texts: DataFrame, key: list[str]) -> DataFrame:
+    """(doc_id, n_chars, place, next_place, text, edited): the last half of each text replaced by the start of its next one.
+
+    Whole texts are shuffled once, by their key; both joins read that one exchange. Only the starts that are used move on.
+    """
+    order = written(with_next(texts, key), "fingerprint-next")
     half = F.floor(F.col("n_chars") / 2).cast("int")
-    starts = (texts.select(F.col("row").alias("next_row"), F.col("text").alias("next_text"))
-              .join(order.select("row", "next_row", "n_chars"), "next_row")
-              .select("row", "next_row", "n_chars", F.substring("next_text", F.lit(1), half).alias("start")))
-    whole = texts.select("row", "doc_id", "text").join(starts, "row")
+    whole = texts.select(*key, "text")
+    named = order.select(*[F.col(c).alias(f"own_{c}") for c in key], *[f"next_{c}" for c in key], "doc_id", "n_chars", "place", "next_place")
+    is_next = [whole[c] == named[f"next_{c}"] for c in key]
+    starts = whole.join(named, is_next).select(*[F.col(f"own_{c}") for c in key], "doc_id", "n_chars", "place", "next_place",
+                                               F.substring("text", F.lit(1), half).alias("start"))
+    is_own = [whole[c] == starts[f"own_{c}"] for c in key]
     kept = (F.col("n_chars") - half).cast("int")
-    return whole.withColumn("edited", F.concat(F.substring("text", F.lit(1), kept), "start")).drop("start")
-
-
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs``."""
-    texts = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce("text", F.lit("")).alias("text")), "fingerprint-texts")
-    found = written(edited(texts).select("row", "next_row", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-                                         digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed")), "fingerprint-digests")
-    # a pair's key: twice the row's number, plus 1 for the next document
-    same = found.select((F.col("row") * 2).alias("pair"), F.col("own").alias("a"), F.col("changed").alias("b"))
-    after = found.select(F.col("row").alias("next_row"), F.col("own").alias("b"))
-    following = found.select("row", "next_row", F.col("own").alias("a")).join(after, "next_row").select(
-        (F.col("row") * 2 + 1).alias("pair"), "a", "b")
+    return whole.join(starts, is_own).select("doc_id", "n_chars", "place", "next_place", "text",
+                                             F.concat(F.substring("text", F.lit(1), kept), "start").alias("edited"))
+
+
+def fingerprints(docs: DataFrame, key: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) of every row of ``docs``.
+
+    ``key`` names columns, never null, that identify a row and stay the same however often ``docs`` is computed, such as
+    the file and row number of a scan. Without such columns the rows are numbered and written first.
+    """
+    plain = F.coalesce("text", F.lit("")).alias("text")
+    if key is None:
+        key = ["row"]
+        texts = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", plain), "fingerprint-texts")
+    else:
+        texts = docs.select(*key, "doc_id", plain)
+    found = written(edited(texts, key).select("place", "next_place", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                                              digests(F.col("text")).alias("own"), digests(F.col("edited")).alias("changed")), "fingerprint-digests")
+    # a pair's key: twice the row's place, plus 1 for the next document
+    same = found.select((F.col("place") * 2).alias("pair"), F.col("own").alias("a"), F.col("changed").alias("b"))
+    after = found.select(F.col("place").alias("next_place"), F.col("own").alias("b"))
+    following = found.select("place", "next_place", F.col("own").alias("a")).join(after, "next_place").select(
+        (F.col("place") * 2 + 1).alias("pair"), "a", "b")
     near = written(likenesses(same.unionByName(following)), "fingerprint-likeness")
 
     def of(kind: int, name: str) -> DataFrame:
-        return near.where(F.col("pair") % 2 == kind).select(F.expr("pair div 2").alias("row"), F.col("likeness").alias(name))
+        return near.where(F.col("pair") % 2 == kind).select(F.expr("pair div 2").alias("place"), F.col("likeness").alias(name))
 
     no_salt = F.lit(0)
-    return (found.join(of(0, "near_edited"), "row").join(of(1, "near_next"), "row")
+    return (found.join(of(0, "near_edited"), "place").join(of(1, "near_next"), "place")
             .select("doc_id", "n_chars", "edited_sha256", as_text(sketch(F.col("own"), no_salt)).alias("fingerprint"),
                     as_text(sketch(F.col("changed"), no_salt)).alias("edited_fingerprint"), "near_edited", "near_next"))
