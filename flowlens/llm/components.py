@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.tables import written
+from flowlens.llm.tables import merged, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,10 @@ def components(edges: DataFrame) -> DataFrame:
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a != b").distinct(), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least("node", F.min("b")).alias("label")), "labels")
     while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        least = labels.join(near, "node").select("node", "label", F.least("label", "near").alias("least"))
+        near = both.join(merged(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        least = labels.join(merged(near), "node").select("node", "label", F.least("label", "near").alias("least"))
         jump = labels.select(F.col("node").alias("least"), F.col("label").alias("over"))
-        moved = written(least.join(jump, "least").select("node", F.least("least", "over").alias("new"), "label"), "labels")
+        moved = written(least.join(merged(jump), "least").select("node", F.least("least", "over").alias("new"), "label"), "labels")
         if moved.where("new != label").isEmpty():
             return moved.select("node", F.col("new").alias("component"))
         labels = moved.select("node", F.col("new").alias("label"))

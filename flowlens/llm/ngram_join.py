@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from flowlens.llm.components import components
-from flowlens.llm.tables import written
+from flowlens.llm.tables import merged, written
 
 GROUPS = 64
 NODE = 1024
@@ -38,6 +38,8 @@ LEAF = 32
 SMALL = 12
 CLASS_RATIO = 1.5
 SLICE = 1 << 20
+# Texts whose block keys are handed on together.
+KEYED_TOGETHER = 256
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -186,28 +188,48 @@ def unpacked(points: list[bytes]) -> np.ndarray:
     return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<i4").astype(np.int32) for p in points])
 
 
-def fingerprints(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, set_a, point, keys) of every row; a task gives the keys of equal sets once."""
+def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+    """(id, n, set_a, point) of every row; a task gives the point of equal sets once."""
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    law = Similarity(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            n, a, points, keys = [], [], [], []
+            n, a, points = [], [], []
             for s in shingle_sets(batch.column("text").to_pylist(), size):
                 own = set_key(s)
                 n.append(len(s))
                 a.append(own)
                 points.append(None if own in seen else packed(point(s)))
-                keys.append(None if own in seen else block_keys(s, law))
                 seen.add(own)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()),
-                 pa.array(points, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["id", "n", "set_a", "point", "keys"])
+                [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(points, pa.binary())], ["id", "n", "set_a", "point"])
+
+    return source.mapInArrow(run, f"id {kind}, n long, set_a long, point binary")
 
-    return source.mapInArrow(run, f"id {kind}, n long, set_a long, point binary, keys array<long>")
+
+def keyed_sets(docs: DataFrame, size: int, percent: int, text_col: str) -> DataFrame:
+    """(key, set_a): the block keys of every set; a task gives those of equal sets once.
+
+    Keys are nearly as large as the texts, so they are made anew from them and go into their one shuffle, never into a table.
+    """
+    law = Similarity(percent)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, KEYED_TOGETHER):
+                keys, sets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+                for s in shingle_sets(batch.column("text").slice(at, KEYED_TOGETHER).to_pylist(), size):
+                    own = set_key(s)
+                    if own not in seen:
+                        seen.add(own)
+                        keys.append(block_keys(s, law))
+                        sets.append(np.full(len(keys[-1]), own, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(sets))], ["key", "set_a"])
+
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "key long, set_a long")
 
 
 def shared_keys(rows: DataFrame) -> DataFrame:
@@ -361,28 +383,32 @@ def in_trees(rows: DataFrame, percent: int, with_sets: bool) -> DataFrame:
 
 
 def node_pairs(rows: DataFrame) -> DataFrame:
-    """Rows (tree, node, ...) copied to every pair of nodes of their tree they take part in."""
-    nodes = rows.groupBy("tree").agg(F.max("node").alias("last"))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("last")))
-    return rows.join(nodes, "tree").withColumn("other", other).withColumn("left", F.least("node", "other")) \
+    """Rows (tree, node, ...) copied to every pair of nodes of their tree they take part in.
+
+    Only trees of several nodes are looked up, at most one for every ``NODE`` rows; the table is written, so that the join
+    may split a tree that holds many rows.
+    """
+    nodes = written(rows.groupBy("tree").agg(F.max("node").alias("last")).where("last > 0"), "ngram-nodes")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("last", F.lit(0).cast("long"))))
+    return rows.join(nodes, "tree", "left").withColumn("other", other).withColumn("left", F.least("node", "other")) \
         .withColumn("right", F.greatest("node", "other")).drop("other", "last", "node")
 
 
-def bounded_edges(prints: DataFrame, percent: int) -> DataFrame:
+def bounded_edges(prints: DataFrame, keyed: DataFrame, percent: int) -> DataFrame:
     """Spanning edges (a, b) of the pairs of sets that meet in a block and pass the bound of the summed minima."""
     sets = prints.where("point is not null and n > 0").select("set_a", "n", "point").dropDuplicates(["set_a"])
-    found = written(shared_keys(prints.select(F.explode("keys").alias("key"), "set_a")), "ngram-keys")
+    found = written(shared_keys(keyed), "ngram-keys")
     pairs = found.where("key is null").select("a", "b").distinct()
     few = pairs.withColumn("tree", F.xxhash64("a", "b")).select("tree", F.explode(F.array("a", "b")).alias("set_a"), F.lit(0).cast("long").alias("node"))
     many = found.where("key is not null").select(F.col("key").alias("tree"), F.col("a").alias("set_a"), "node")
     rows = few.withColumn("left", F.col("node")).withColumn("right", F.col("node")).drop("node").unionByName(node_pairs(many))
-    return in_trees(rows.join(sets, "set_a"), percent, with_sets=False)
+    return in_trees(rows.join(merged(sets), "set_a"), percent, with_sets=False)
 
 
 def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
     """``members`` (tree, node, set_a, id) with size, point and shingles, from the text of each set's first document."""
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = source.join(members, source["id"].eqNullSafe(members["id"])).select("tree", "node", "set_a", "text")
+    rows = source.join(merged(members), source["id"].eqNullSafe(members["id"])).select("tree", "node", "set_a", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -403,17 +429,18 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_
 
 def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    prints = written(fingerprints(docs, size, percent, id_col, text_col), "ngram-prints")
+    prints = written(fingerprints(docs, size, id_col, text_col), "ngram-prints")
+    keyed = keyed_sets(docs, size, percent, text_col)
     first = written(prints.where("n > 0").groupBy("set_a").agg(F.min("id").alias("id")), "ngram-first")
-    clusters = written(components(bounded_edges(prints, percent)), "ngram-clusters")
+    clusters = written(components(bounded_edges(prints, keyed, percent)), "ngram-clusters")
     nodes = clusters.groupBy("component").agg(F.ceil(F.count("*") / NODE).alias("nodes"))
-    members = written(clusters.withColumnRenamed("node", "set_a").join(nodes, "component").join(first, "set_a").select(
+    members = written(clusters.withColumnRenamed("node", "set_a").join(merged(nodes), "component").join(merged(first), "set_a").select(
         F.col("component").alias("tree"), F.pmod(F.xxhash64("set_a"), F.col("nodes")).alias("node"), "set_a", "id"), "ngram-members")
     verified = in_trees(node_pairs(written(with_sets(docs, members, size, id_col, text_col), "ngram-sets")), percent, with_sets=True)
     linked = components(verified).select(F.col("node").alias("set_a"), "component")
-    smallest = first.join(linked, "set_a").groupBy("component").agg(F.min("id").alias("least"))
-    by_set = first.join(linked, "set_a", "left").join(smallest, "component", "left").select("set_a", F.coalesce("least", "id").alias("component_id"))
-    return prints.select("id", "n", "set_a").join(by_set, "set_a", "left").select(
+    smallest = first.join(merged(linked), "set_a").groupBy("component").agg(F.min("id").alias("least"))
+    by_set = first.join(merged(linked), "set_a", "left").join(merged(smallest), "component", "left").select("set_a", F.coalesce("least", "id").alias("component_id"))
+    return prints.select("id", "n", "set_a").join(merged(by_set), "set_a", "left").select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
         F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

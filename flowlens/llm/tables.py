@@ -25,6 +25,12 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` as the side of a join that is sorted and merged at every size: tables that grow with the input are never
+    broadcast, small ones neither, so a job does the same on any input."""
+    return df.hint("merge")
+
+
 def let(value: Column, body) -> Column:
     """``body(x)`` with x bound once to ``value``, however often the body mentions it."""
     return F.transform(F.array(value), body)[0]
