@@ -37,15 +37,12 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, li
 
 
 def without_copies(examples: DataFrame) -> DataFrame:
-    """``examples`` without those that share a least shingle hash (of four) with an earlier one: near copies are no further evidence."""
+    """``examples`` without those whose least shingle hashes, all four, are those of an earlier one: near copies are no further evidence."""
     words = F.split(F.lower("text"), GAP)
     shingles = F.transform(F.sequence(F.lit(0), F.greatest(F.size("words") - 3, F.lit(0))), lambda i: F.xxhash64(F.slice("words", i + 1, 3)))
-    least = F.array(*(F.struct(F.lit(j).alias("j"), F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(j)))).alias("h"))
-                      for j in range(4)))
-    signs = examples.select("no", words.alias("words")).withColumn("shingles", shingles).select("no", F.explode(least).alias("s"))
-    first = signs.groupBy("s").agg(F.min("no").alias("first"))
-    copies = signs.join(first, "s").where("first < no").select("no").distinct()
-    return examples.join(copies, "no", "left_anti")
+    least = F.concat_ws(":", *(F.array_min(F.transform("shingles", lambda s: F.xxhash64(s, F.lit(j)))).cast("string") for j in range(4)))
+    signs = examples.select("no", words.alias("words")).withColumn("shingles", shingles).select("no", least.alias("signs"))
+    return examples.join(signs.groupBy("signs").agg(F.min("no").alias("no")).select("no"), "no", "left_semi")
 
 
 def class_counts(examples: DataFrame, terms: Terms) -> DataFrame:

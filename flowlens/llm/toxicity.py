@@ -1,13 +1,16 @@
 """Toxicity by the nearest labelled examples, found exactly by TF-IDF cosine in a block-max inverted index.
 
-The examples are a sample of at most ``EXAMPLES`` labelled documents. Every word of theirs is a term. A word form that fewer than
-``RARE`` of them hold (or none, in other documents) also gives its runs of ``GRAM`` letters, so that forms of one stem meet. No term is
-dropped: a term weighs its inverse document frequency over all documents, times ``LEAST`` plus the log-likelihood ratio of its
-going with a label among the examples (near copies counted once). The index keeps postings by term and block of ``BLOCK`` examples with the largest weight
-of each. A document's products with those maxima bound its cosine with every block: the best blocks are scored
-first, then every block whose bound reaches the k-th similarity so far, so the neighbours are exact.
-
-Neighbours vote with weight 1 / (``SOFT`` + distance). Votes of the examples themselves, each without itself, fit an
+The examples are a sample of at most ``EXAMPLES`` labelled documents. Every word of theirs is a term, and so are the first
+``STEM`` letters of a longer word, so that forms of one stem meet. No term is dropped: a term weighs its inverse document frequency
+over all documents, times ``LEAST`` plus the log-likelihood ratio of its going with a label among the examples (near copies
+counted once). Plain frequencies alone find neighbours by topic, not by tone; see the README for figures of both.
+
+The index keeps the terms that many examples hold as rows of a dense matrix, which a batch of documents multiplies at once, and all others as
+postings by term and block of ``BLOCK`` examples with the largest weight of each. A block's best product so far plus a document's products with
+those maxima bounds its cosine with the block: the best blocks are finished first, then every block whose bound
+reaches the k-th similarity so far, so the neighbours are exact.
+
+Neighbours vote with weight 1 / (``SOFT`` + distance). Votes of the examples themselves, each without itself and taken in tasks, fit an
 isotonic calibration. A document without known terms takes the calibrated share of the examples without terms.
 
 Contract. A null text is an empty one, and has no terms. Ties between neighbours go to the earlier example. Repeated rows
@@ -18,54 +21,80 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from flowlens.llm.examples import LETTERS, Calibration, TfIdf, class_counts, document_frequencies, sample, without_copies
+from flowlens.llm.examples import LETTERS, Calibration, sample, without_copies
 from flowlens.llm.tables import written
 
 EXAMPLES = 6000
-RARE = 20
-GRAM = 5
+STEM = 5
 LEAST = 0.1
 BLOCK = 64
 NEIGHBOURS = 15
 SOFT = 0.05
 FIRST_BLOCKS = 4
 EVIDENCE = 3
+# A term that one example in so many holds is a dense row; documents that are multiplied at once; word forms kept at hand.
+DENSE_SHARE = 8
+TOGETHER = 128
+FORMS = 200_000
+# Tasks that the votes of the examples are taken in.
+CALIBRATION_TASKS = 16
+
+
+def word_terms(word: str) -> list[str]:
+    """A word and, where it is longer, its first ``STEM`` letters; the mark keeps stems apart from words."""
+    return [word, "#" + word[:STEM]] if len(word) > STEM else [word]
+
+
+NO_TERMS = np.zeros(0, np.int32)
+
 
+class Cutter(dict):
+    """Word forms -> the numbers of their known terms; each form is cut once."""
 
-def words(text: str) -> Counter:
-    return Counter(LETTERS.findall(text.lower()))
+    def __init__(self, vocabulary: dict[str, int]):
+        super().__init__()
+        self.vocabulary = vocabulary
 
+    def __missing__(self, word: str) -> np.ndarray:
+        if len(self) >= FORMS:
+            self.clear()
+        known = self.vocabulary
+        found = [known[t] for t in word_terms(word) if t in known]
+        self[word] = numbers = np.array(found, np.int32) if found else NO_TERMS
+        return numbers
 
-@lru_cache(maxsize=200_000)
-def grams(word: str) -> tuple[str, ...]:
-    """The runs of ``GRAM`` letters of a word with its ends marked; the leading mark keeps them apart from words."""
-    ended = f"^{word}$"
-    return tuple("#" + ended[i:i + GRAM] for i in range(max(1, len(ended) - GRAM + 1)))
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, how often) of a text."""
+        parts = list(map(self.__getitem__, LETTERS.findall((text or "").lower())))
+        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
 
-class WordsAndGrams:
-    """Counts of a text's words, and of the letter runs of those that are not common."""
+class TermWeights:
+    """The vocabulary with each term's weight, and unit vectors of texts."""
 
-    def __init__(self, common: frozenset[str]):
-        self.common = common
+    def __init__(self, names: list[str], weights: np.ndarray):
+        self.names, self.weights = names, weights
+        self.cutter: Cutter | None = None
 
-    def __call__(self, text: str) -> Counter:
-        out = words(text)
-        rare = out.keys() - self.common
-        again = [(word, out[word] - 1) for word in rare if out[word] > 1]
-        out.update(chain.from_iterable(map(grams, rare)))
-        for word, n in again:
-            for gram in grams(word):
-                out[gram] += n
-        return out
+    def __getstate__(self) -> tuple:
+        return "\n".join(self.names), self.weights
+
+    def __setstate__(self, state: tuple) -> None:
+        self.names, self.weights, self.cutter = state[0].split("\n") if state[0] else [], state[1], None
+
+    def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """(term numbers, weights), ascending; empty where no term is known."""
+        if self.cutter is None:
+            self.cutter = Cutter({t: i for i, t in enumerate(self.names)})
+        at, tf = self.cutter.counts(text)
+        value = damped(tf) * self.weights[at]
+        return at, value / np.sqrt((value * value).sum()) if len(at) else value
 
 
 def damped(tf: np.ndarray) -> np.ndarray:
@@ -78,7 +107,8 @@ def ranges(first: np.ndarray, length: np.ndarray) -> np.ndarray:
 
 
 class BlockMaxIndex:
-    """Postings of unit vectors by cell (term and block that has it), with each cell's largest weight."""
+    """Unit vectors by term: dense rows of the common terms, and postings of the others by cell (term and block that has it)
+    with each cell's largest weight."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size, self.blocks = len(vectors), max(1, -(-len(vectors) // BLOCK))
@@ -86,26 +116,43 @@ class BlockMaxIndex:
         self.number = np.argsort(np.array(heaviest, np.int64), kind="stable")  # alike examples share blocks
         term = np.concatenate([vectors[i][0] for i in self.number] + [np.zeros(0, np.int32)])
         place = np.repeat(np.arange(self.size, dtype=np.int32), [len(vectors[i][0]) for i in self.number])
-        weight = np.concatenate([vectors[i][1].astype(np.float32) for i in self.number] + [np.zeros(0, np.float32)])
+        weight = np.concatenate([vectors[i][1] for i in self.number] + [np.zeros(0)]).astype(np.float32)
         order = np.argsort(term, kind="stable")
         counts = np.bincount(term, minlength=terms).astype(np.int32)
-        self.__setstate__((self.size, self.blocks, self.number, place[order].astype(np.min_scalar_type(self.size)), weight[order], counts))
+        self.__setstate__((self.size, self.number, place[order].astype(np.min_scalar_type(self.size)), weight[order], counts))
 
     def __getstate__(self) -> tuple:
-        """Cells follow from the postings, so they are not sent along."""
-        return self.size, self.blocks, self.number, self.place, self.weight, self.counts
+        """Rows and cells follow from the postings, so they are not sent along."""
+        return self.size, self.number, self.place, self.weight, self.counts
 
     def __setstate__(self, state: tuple) -> None:
-        self.size, self.blocks, self.number, self.place, self.weight, self.counts = state
-        cell = np.repeat(np.arange(len(self.counts)) * self.blocks, self.counts) + self.place // BLOCK
+        self.size, self.number, self.place, self.weight, self.counts = state
+        self.blocks = max(1, -(-self.size // BLOCK))
+        self.edges = np.arange(0, max(self.size, 1), BLOCK)
+        dense = self.counts * DENSE_SHARE > self.size
+        self.row = np.where(dense, np.cumsum(dense) - 1, -1).astype(np.int32)
+        term = np.repeat(np.arange(len(self.counts)), self.counts)
+        common = dense[term]
+        self.matrix = np.zeros((int(dense.sum()), self.size))
+        self.matrix[self.row[term[common]], self.place[common]] = self.weight[common]
+        self.thin_place, self.thin_weight = self.place[~common], self.weight[~common]
+        cell = term[~common] * self.blocks + self.thin_place // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.start = np.append(first, len(cell)).astype(np.int32)
         self.block = (cell[first] % self.blocks).astype(np.int32)
-        self.most = np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0, np.float32)
+        self.most = np.maximum.reduceat(self.thin_weight, first) if len(first) else np.zeros(0, np.float32)
         self.cells = np.searchsorted(cell[first], np.arange(len(self.counts) + 1) * self.blocks).astype(np.int32)
 
-    def scores(self, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        """Cosines with every example of the blocks; 0 for the others."""
+    def dense_products(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Every vector's products with every example over the common terms."""
+        left = np.zeros((len(vectors), len(self.matrix)))
+        for i, (terms, weights) in enumerate(vectors):
+            row = self.row[terms]
+            left[i, row[row >= 0]] = weights[row >= 0]
+        return left @ self.matrix
+
+    def add_thin(self, cosine: np.ndarray, cells: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> None:
+        """Add the products over the other terms for the examples of the blocks."""
         if len(blocks) < self.blocks:
             wanted = np.zeros(self.blocks, bool)
             wanted[blocks] = True
@@ -113,55 +160,68 @@ class BlockMaxIndex:
             cells, weights = cells[inside], weights[inside]
         length = self.start[cells + 1] - self.start[cells]
         at = ranges(self.start[cells], length)
-        return np.bincount(self.place[at], self.weight[at] * np.repeat(weights, length), minlength=self.size)
+        cosine += np.bincount(self.thin_place[at], self.thin_weight[at] * np.repeat(weights, length), minlength=self.size)
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first."""
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, dense: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(example numbers, cosines) of the k nearest with a cosine above 0, nearest first; ``dense`` is the vector's row
+        of ``dense_products``."""
+        thin = self.row[terms] < 0
+        terms, weights = terms[thin], weights[thin]
         length = self.cells[terms + 1] - self.cells[terms]
         cells, weights = ranges(self.cells[terms], length), np.repeat(weights, length)
-        bound = np.bincount(self.block[cells], weights * self.most[cells], minlength=self.blocks)
+        bound = np.bincount(self.block[cells], weights * self.most[cells], minlength=self.blocks) + np.maximum.reduceat(dense, self.edges)
         order = np.argsort(-bound, kind="stable")
-        cosine = self.scores(cells, weights, order[:FIRST_BLOCKS])
-        # one more than k, as the example left out may be among them
+        cosine = dense.copy()
+        self.add_thin(cosine, cells, weights, order[:FIRST_BLOCKS])
+        # what is missing only adds, so the k-th product so far is a floor; one more than k, as the example left out may be among them
         least = np.partition(cosine, -(k + 1))[-(k + 1)] if self.size > k else 0.0
         rest = order[FIRST_BLOCKS:]
         rest = rest[(bound[rest] >= least - 1e-9) & (bound[rest] > 0)]
         if len(rest):
-            cosine += self.scores(cells, weights, rest)
+            self.add_thin(cosine, cells, weights, rest)
+        cosine = np.round(cosine, 12)
         found = np.flatnonzero(cosine > 0)
         number, value = self.number[found], cosine[found]
         number, value = number[number != without], value[number != without]
-        best = np.lexsort((number, -np.round(value, 12)))[:k]
+        if len(value) > k:
+            near = value >= np.partition(value, -k)[-k]
+            number, value = number[near], value[near]
+        best = np.lexsort((number, -value))[:k]
         return number[best], np.minimum(value[best], 1.0)
 
+    def nearest_of_all(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, without: list[int] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for at in range(0, len(vectors), TOGETHER):
+            some = vectors[at:at + TOGETHER]
+            for i, ((terms, weights), dense) in enumerate(zip(some, self.dense_products(some), strict=True)):
+                yield self.nearest(terms, weights, dense, k, without[at + i] if without else -1)
+
 
 class Voter:
-    """Neighbours' votes, calibrated on the examples."""
+    """Neighbours' votes; calibrated scores once ``calibration`` is there."""
 
-    def __init__(self, tfidf: TfIdf, examples: list[tuple[int, int, np.ndarray, np.ndarray]]):
-        self.tfidf, self.ids = tfidf, [e[0] for e in examples]
+    def __init__(self, terms: TermWeights, examples: list[tuple[object, int, np.ndarray, np.ndarray]]):
+        self.terms, self.ids = terms, [str(e[0]) for e in examples]
         self.labels = np.array([e[1] for e in examples], np.float64)
-        self.index = BlockMaxIndex([e[2:] for e in examples], len(tfidf.vocabulary)) if examples else None
+        self.index = BlockMaxIndex([e[2:] for e in examples], len(terms.names)) if examples else None
         bare = np.array([len(e[2]) == 0 for e in examples], bool)
         rate = self.labels.mean() if examples else 0.5
         self.bare_score = float((self.labels[bare].sum() + rate) / (bare.sum() + 1)) if examples else 0.5
-        votes = np.array([self.vote(*self.index.nearest(e[2], e[3], NEIGHBOURS, i)) for i, e in enumerate(examples) if not bare[i]])
-        self.calibration = Calibration(votes, self.labels[~bare])
 
-    def vote(self, numbers: np.ndarray, cosines: np.ndarray) -> float:
-        if len(numbers) == 0:
-            return self.bare_score
-        weight = 1 / (SOFT + 1 - cosines)
-        return float(weight @ self.labels[numbers] / weight.sum())
+    def votes(self, texts: list[str | None], without: list[int] | None = None) -> Iterator[tuple[float | None, np.ndarray, np.ndarray]]:
+        """(vote, example numbers, cosines) of every text; no vote for a text without known terms or neighbours."""
+        vectors = [self.terms.vector(t) for t in texts]
+        if self.index is None:
+            yield from ((None, np.zeros(0, np.int64), np.zeros(0)) for _ in texts)
+            return
+        for numbers, cosines in self.index.nearest_of_all(vectors, NEIGHBOURS, without):
+            weight = 1 / (SOFT + 1 - cosines)
+            yield float(weight @ self.labels[numbers] / weight.sum()) if len(numbers) else None, numbers, cosines
 
-    def judge(self, text: str | None) -> tuple[float, list[dict]]:
-        terms, weights = self.tfidf.vector(text)
-        if self.index is None or len(terms) == 0:
-            return self.bare_score, []
-        numbers, cosines = self.index.nearest(terms, weights, NEIGHBOURS)
-        evidence = [{"example": str(self.ids[n]), "similarity": float(c), "label": int(self.labels[n])}
-                    for n, c in zip(numbers[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
-        return float(self.calibration(np.array([self.vote(numbers, cosines)]))[0]), evidence
+    def judged(self, texts: list[str | None], calibration: Calibration) -> Iterator[tuple[float, list[dict]]]:
+        for vote, numbers, cosines in self.votes(texts):
+            evidence = [{"example": self.ids[n], "similarity": float(c), "label": int(self.labels[n])}
+                        for n, c in zip(numbers[:EVIDENCE].tolist(), cosines.tolist(), strict=False)]
+            yield self.bare_score if vote is None else float(calibration(np.array([vote]))[0]), evidence
 
 
 def label_ratio(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
@@ -172,39 +232,108 @@ def label_ratio(n: np.ndarray, n1: np.ndarray, share: float) -> np.ndarray:
     return np.maximum(2 * (part(n1, share) + part(n - n1, 1 - share)), 0.0)
 
 
-def weighted_terms(examples: DataFrame) -> tuple[WordsAndGrams, list[str], np.ndarray]:
-    """How texts are cut, every term of the examples, and each one's weight; a table of examples is bounded, and so are these."""
-    apart = written(without_copies(examples), "examples-apart")
-    common = class_counts(examples, words).where(F.col("n") >= RARE).toArrow()
-    terms = WordsAndGrams(frozenset(common.column("term").to_pylist()))
-    known = class_counts(examples, terms).select("term")
-    counted = known.join(class_counts(apart, terms), "term", "left").orderBy("term").toArrow()
-    n, n1 = (np.nan_to_num(counted.column(c).to_numpy().astype(np.float64)) for c in ("n", "n1"))
-    size, ones = apart.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    return terms, counted.column("term").to_pylist(), LEAST + label_ratio(n, n1, ones / size if size else 0.0)
+def term_counts(examples: DataFrame) -> DataFrame:
+    """(term, n, m, m1): examples that hold a term, those of them apart from copies, and of those the ones of label 1."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        every, alone, ones = Counter(), Counter(), Counter()
+        for batch in batches:
+            for text, label, apart in zip(*(batch.column(c).to_pylist() for c in ("text", "label", "apart")), strict=True):
+                own = {t for w in set(LETTERS.findall(text.lower())) for t in word_terms(w)}
+                every.update(own)
+                if apart:
+                    alone.update(own)
+                    if label:
+                        ones.update(own)
+        names = list(every)
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[t] for t in names], pa.int64()) for c in (every, alone, ones))],
+                                         ["term", "n", "m", "m1"])
+
+    counted = examples.select("text", "label", "apart").mapInArrow(run, "term string, n long, m long, m1 long")
+    return counted.groupBy("term").agg(*[F.sum(c).alias(c) for c in ("n", "m", "m1")])
+
+
+def document_frequencies(docs: DataFrame, names: list[str], text_col: str) -> tuple[np.ndarray, int]:
+    """How many of all documents hold each term, and how many documents there are."""
+    sent = docs.sparkSession.sparkContext.broadcast("\n".join(names))
+    size = len(names)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cutter = Cutter({t: i for i, t in enumerate(sent.value.split("\n"))})
+        total = np.zeros(size + 1, np.int64)
+        for batch in batches:
+            for text in batch.column("text").to_pylist():
+                total[cutter.counts(text)[0]] += 1
+                total[-1] += 1
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["term", "n"])
+
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n"))
+    out = np.zeros(size + 1, np.int64)
+    found = counted.toArrow()
+    out[found.column("term").to_numpy()] = found.column("n").to_numpy()
+    return out[:-1], int(out[-1])
+
+
+def weighted_terms(docs: DataFrame, examples: DataFrame, text_col: str) -> TermWeights:
+    """Every term of the examples and its weight; a table of examples is bounded, and so are these."""
+    apart = without_copies(examples).select("no", F.lit(True).alias("apart"))
+    marked = written(examples.join(apart, "no", "left").withColumn("apart", F.coalesce("apart", F.lit(False))), "examples-marked")
+    counted = term_counts(marked).orderBy("term").toArrow()
+    names = counted.column("term").to_pylist()
+    size, ones = marked.where("apart").agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
+    ratio = label_ratio(*(counted.column(c).to_numpy().astype(np.float64) for c in ("m", "m1")), ones / size if size else 0.0)
+    if not names:
+        return TermWeights([], np.zeros(0))
+    frequencies, documents = document_frequencies(docs, names, text_col)
+    return TermWeights(names, np.log1p(documents / (1.0 + frequencies)) * (LEAST + ratio))
+
+
+def example_vectors(examples: DataFrame, terms: TermWeights) -> list[tuple[object, int, np.ndarray, np.ndarray]]:
+    """(id, label, term numbers, weights) of the examples, by number; the sample's bound holds."""
+    sent = examples.sparkSession.sparkContext.broadcast(terms)
 
-def fit(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str, id_col: str, text_col: str, examples: int = EXAMPLES) -> Voter:
-    rows = sample(docs, labels, label_col, learn, examples, id_col, text_col)
-    terms, names, weights = weighted_terms(rows)
-    vocabulary = {t: i for i, t in enumerate(names)}
-    frequencies, documents = document_frequencies(docs, terms, vocabulary, text_col)
-    tfidf = TfIdf(terms, vocabulary, frequencies, documents, damped)
-    tfidf.idf = tfidf.idf * weights
-    return Voter(tfidf, tfidf.of(rows))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vectors = [sent.value.vector(t) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("no"), batch.column("id"), batch.column("label"),
+                                              pa.array([v[0].astype("<i4").tobytes() for v in vectors], pa.binary()),
+                                              pa.array([v[1].astype("<f4").tobytes() for v in vectors], pa.binary())], ["no", "id", "label", "terms", "weights"])
+
+    kind = examples.schema["id"].dataType.simpleString()
+    rows = examples.select("no", "id", "label", "text").mapInArrow(run, f"no long, id {kind}, label int, terms binary, weights binary").orderBy("no").toArrow()
+    return [(i, label, np.frombuffer(t.as_buffer(), "<i4"), np.frombuffer(w.as_buffer(), "<f4")) for i, label, t, w in zip(
+        rows.column("id").to_pylist(), rows.column("label").to_pylist(), rows.column("terms"), rows.column("weights"), strict=True)]
+
+
+def calibrated(examples: DataFrame, voter) -> Calibration:
+    """The calibration of the votes of the examples, each without itself; ``voter`` is the broadcast one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            numbers = batch.column("place").to_pylist()
+            votes = [v for v, _, _ in voter.value.votes(batch.column("text").to_pylist(), numbers)]
+            yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), batch.column("label"), pa.array(votes, pa.float64())], ["place", "label", "vote"])
+
+    # an example's number in the index is its place in the order of ``no``; few rows
+    order = {r["no"]: i for i, r in enumerate(examples.select("no").orderBy("no").collect())}
+    places = examples.sparkSession.createDataFrame([(n, i) for n, i in order.items()], "no long, place long")
+    found = examples.join(places, "no").repartition(CALIBRATION_TASKS, "place").select("place", "text", "label").mapInArrow(
+        run, "place long, label int, vote double").where("vote IS NOT NULL").orderBy("place").toArrow()
+    return Calibration(found.column("vote").to_numpy(), found.column("label").to_numpy().astype(np.float64))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text",
              examples: int = EXAMPLES) -> DataFrame:
     """(id, score, evidence) of every row of ``docs``; ``learn`` says which rows of ``labels`` may be learnt from."""
-    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, learn, label_col, id_col, text_col, examples))
+    rows = sample(docs, labels, label_col, learn, examples, id_col, text_col)
+    terms = weighted_terms(docs, rows, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(Voter(terms, example_vectors(rows, terms)))
+    calibration = calibrated(rows, sent)
     kind = docs.schema[id_col].dataType.simpleString()
     shape = pa.list_(pa.struct([("example", pa.string()), ("similarity", pa.float64()), ("label", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voter = sent.value
         for batch in batches:
-            judged = [voter.judge(t) for t in batch.column("text").to_pylist()]
+            judged = list(sent.value.judged(batch.column("text").to_pylist(), calibration))
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([s for s, _ in judged], pa.float64()),
                                               pa.array([e for _, e in judged], shape)], ["id", "score", "evidence"])
 
