@@ -12,6 +12,7 @@ from flowlens.llm import (
     decontamination,
     fingerprints,
     ngram_join,
+    oracles,
     packing,
     prefix_trie,
     quality_classifier,
@@ -143,4 +144,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_chat_formatting, op8_sharding, op9_benchmark_decontamination, op10_token_counts, op11_prefix_trie,
         op12_document_fingerprints, op13_importance_resampling)}
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)

@@ -23,8 +23,9 @@ from pyspark.sql import functions as F
 
 from flowlens.llm.tables import let, written
 from flowlens.operators.indexing import with_row_index
+from flowlens.session import shuffle_partitions
 
-PARAGRAPH = 400
+PARAGRAPH = 200
 TABLES = 3
 TABLE = 8
 # Digests of both sides that a part of a larger sketch is sized for, the parts that one round may deal to, and the rounds
@@ -147,7 +148,9 @@ def likenesses(pairs: DataFrame) -> DataFrame:
         failed = now.where("NOT solved")
         if failed.isEmpty():
             break
-        now = written(tried(dealt(failed)), "sketch-round")
+        # few bytes and much work: dealt to all tasks, however few files the last round left
+        spread = failed.repartition(shuffle_partitions(failed.sparkSession), "pair")
+        now = written(tried(dealt(spread)), "sketch-round")
     every = found[0]
     for more in found[1:]:
         every = every.unionByName(more)

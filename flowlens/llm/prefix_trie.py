@@ -76,7 +76,9 @@ def key(a: Column, b: Column) -> Column:
     return F.unhex(F.concat(F.lpad(F.hex(a), 16, "0"), F.lpad(F.hex(b), 16, "0")))
 
 
-ROOT = F.unhex(F.lit("0" * 32))
+def root() -> Column:
+    """The key of the empty prefix."""
+    return F.unhex(F.lit("0" * 32))
 
 
 def id_digests(ends: DataFrame) -> DataFrame:
@@ -114,10 +116,10 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
     rows = written(prefixes(turns).join(conversations.select("conv_id", "n_turns"), "conv_id"), "trie-rows")
     members = rows.groupBy("node", "parent", F.col("depth").cast("long").alias("depth"), "words").agg(
         F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs"))
-    root = (conversations.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
-            .select(ROOT.alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"),
+    top = (conversations.agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_convs")).where("n_convs > 0")
+            .select(root().alias("node"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("long").alias("depth"),
                     F.lit(0).cast("long").alias("words"), "conv_id", "n_convs"))
-    listed = written(members.unionByName(root).withColumn("id", F.monotonically_increasing_id()), "trie-nodes")
+    listed = written(members.unionByName(top).withColumn("id", F.monotonically_increasing_id()), "trie-nodes")
     children = listed.groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("n_children"))
     above = listed.select(F.col("node").alias("parent"), F.col("id").alias("parent_id"), F.col("conv_id").alias("parent_conv_id"))
     nodes = written(listed.join(children, "node", "left").join(above, "parent", "left")
@@ -127,7 +129,7 @@ def trie(turns: DataFrame, conversations: DataFrame) -> DataFrame:
                        ((F.col("n_convs") - 1) * F.col("words")).alias("saved_tokens"))
     totals = subtree_totals(own, ["n_leaves", "saved_tokens"]).withColumnRenamed("node", "id")
     last = rows.where("depth = n_turns").select("node", "conv_id")
-    ends = id_digests(last.unionByName(conversations.where("n_turns = 0").select(ROOT.alias("node"), "conv_id")))
+    ends = id_digests(last.unionByName(conversations.where("n_turns = 0").select(root().alias("node"), "conv_id")))
     return (nodes.join(totals, "id").join(ends, "node", "left")
             .select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens",
                     F.coalesce("ends_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("ends_sha256")))
