@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import pickle
 import re
 import zlib
 from collections import Counter
@@ -96,6 +97,24 @@ def test_ngram_components_of_random_edits(spark):
         assert {r["doc_id"]: r["component_id"] for r in got} == classes(rows, size, percent)
 
 
+def test_ngram_components_over_several_nodes(spark, monkeypatch):
+    """A block that many sets share is cut into nodes; every pair of nodes is compared."""
+    monkeypatch.setattr(ngram_join, "NODE", 4)
+    monkeypatch.setattr(ngram_join, "SMALL", 3)
+    rng = np.random.default_rng(8)
+    base = prose(7, 90, 3000).split()
+    rows = []
+    for i in range(40):
+        words = list(base)
+        words[int(rng.integers(0, len(words)))] = f"copy{i}"
+        rows.append((100 + i, " ".join(words)))
+    rows += [(i, prose(500 + i, 60, 3000)) for i in range(10)] + [(300, rows[0][1]), (301, None), (302, "")]
+    for size, percent in ((3, 90), (5, 80)):
+        got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame(spark, rows), size, percent).collect()}
+        assert got == classes(rows, size, percent)
+        assert len({got[100 + i] for i in range(40)}) < 40
+
+
 def test_linked_sets_two_size_classes_apart_share_a_block():
     law = ngram_join.Similarity(60)
     for seed in range(20):
@@ -276,6 +295,49 @@ def test_toxicity_on_unseen_rows(spark):
     assert {r["score"] for r in toxicity.toxicity(docs, labels.limit(0), F.lit(True)).collect()} == {0.5}
 
 
+def test_toxicity_scores_equal_a_plain_computation(spark):
+    """Frequencies, weights, cosines with every example, votes and calibration, without any index."""
+    docs, labels = labelled(spark)
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs, labels, F.col("doc_id") % 3 != 1).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+
+    def terms(text):
+        return Counter(t for w in re.findall(r"[^\W\d_]+", text.lower()) for t in ([w, "#" + w[:5]] if len(w) > 5 else [w]))
+
+    rows = docs.collect()
+    counted = {i: terms(t) for i, t in texts.items()}
+    learnt = [i for i in marks if i % 3 != 1]
+    held = Counter(t for i in learnt for t in counted[i])
+    toxic = Counter(t for i in learnt if marks[i] for t in counted[i])
+    share = sum(marks[i] for i in learnt) / len(learnt)
+    frequency = Counter(t for r in rows for t in terms(r["text"] or ""))
+
+    def ratio(n, n1):
+        return 2 * sum(a * math.log(a / (n * e)) for a, e in ((n1, share), (n - n1, 1 - share)) if a)
+
+    weight = {t: math.log1p(len(rows) / (1 + frequency[t])) * (toxicity.LEAST + max(ratio(n, toxic[t]), 0)) for t, n in held.items()}
+
+    def vector(c):
+        v = {t: (1 + math.log(n)) * weight[t] for t, n in c.items() if t in weight}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {t: x / norm for t, x in v.items()}
+
+    vectors = {i: vector(counted[i]) for i in learnt}
+
+    def vote(v, without=None):
+        near = sorted(((sum(x * vectors[j].get(t, 0) for t, x in v.items()), j) for j in learnt if j != without), reverse=True)[:toxicity.NEIGHBOURS]
+        near = [(c, j) for c, j in near if c > 0]
+        return near, sum(marks[j] / (toxicity.SOFT + 1 - c) for c, j in near) / sum(1 / (toxicity.SOFT + 1 - c) for c, _ in near)
+
+    votes = {i: vote(vectors[i], i)[1] for i in learnt}
+    calibration = Calibration(np.array([votes[i] for i in learnt]), np.array([float(marks[i]) for i in learnt]))
+    for i in range(1, 600, 30):
+        near, value = vote(vector(counted[i]))
+        assert got[i]["score"] == pytest.approx(float(calibration(np.array([value]))[0]), abs=1e-4), i
+        assert [e["similarity"] for e in got[i]["evidence"]] == pytest.approx([c for c, _ in near[:toxicity.EVIDENCE]], abs=1e-5)
+
+
 def test_toxicity_spread_over_rare_word_forms(spark):
     rng = np.random.default_rng(8)
 
@@ -304,13 +366,20 @@ def test_block_max_neighbours_are_exact():
     dense = np.zeros((500, 60))
     for i, (at, weight) in enumerate(vectors):
         dense[i, at] = weight
-    index = toxicity.BlockMaxIndex(vectors, 60)
-    for i in range(0, 500, 7):
-        cosine = dense @ dense[i]
-        cosine[i] = 0
-        want = np.sort(cosine)[::-1][:15]
-        _, got = index.nearest(*vectors[i], 15, without=i)
-        assert np.allclose(got, want[want > 0][:15])
+    assert toxicity.DENSE_SHARE > 1
+    for share in (2, 32, 10**9):           # no dense rows, some, all
+        toxicity.DENSE_SHARE, before = share, toxicity.DENSE_SHARE
+        try:
+            index = pickle.loads(pickle.dumps(toxicity.BlockMaxIndex(vectors, 60)))
+        finally:
+            toxicity.DENSE_SHARE = before
+        asked = list(range(0, 500, 7))
+        for i, (numbers, got) in zip(asked, index.nearest_of_all([vectors[i] for i in asked], 15, asked), strict=True):
+            cosine = dense @ dense[i]
+            cosine[i] = 0
+            want = np.sort(cosine)[::-1][:15]
+            assert np.allclose(got, want[want > 0][:15])
+            assert np.allclose(got, cosine[numbers]) and i not in numbers
 
 
 def test_quality_on_unseen_rows(spark):
