@@ -98,7 +98,7 @@ def segmentation_job(events: DataFrame, model: str, definitions: DataFrame | Non
     headers = SA.sequence_headers(slots, plan=plan)
     seq_events = SA.concatenated_events(slots, ev)
     if definitions is not None:
-        defs = PR.definitions_prompt_text(definitions, inst)
+        defs = PR.definitions_prompt_text(definitions, ev)     # names of all events, not only of first ones
     else:
         defs = inst.select("domain").distinct().withColumn("definitions_text", F.lit(None).cast("string"))
     prompts = PR.segmentation_prompts(seq_events, defs, sequences=headers)

@@ -179,12 +179,12 @@ def classification_prompts(spark, sf):
 
 @query
 def definitions_prompt_text(spark, sf):
-    return PR.definitions_prompt_text(builtin_definitions(spark), instances(spark, sf))
+    return PR.definitions_prompt_text(builtin_definitions(spark), T.wf_events(spark, sf))
 
 
 @query
 def undefined_processes(spark, sf):
-    return PR.undefined_processes(builtin_definitions(spark), instances(spark, sf))
+    return PR.undefined_processes(builtin_definitions(spark), T.wf_events(spark, sf))
 
 
 # ---------------------------------------------------------------- sampling
@@ -234,7 +234,7 @@ def true_boundaries(spark, sf):
 def segmentation_prompts(spark, sf):
     inst = instances(spark, sf)
     seq = SA.concatenated_events(slots(spark, sf, inst), events(spark, sf))
-    defs = PR.definitions_prompt_text(builtin_definitions(spark), inst)
+    defs = PR.definitions_prompt_text(builtin_definitions(spark), T.wf_events(spark, sf))
     return PR.segmentation_prompts(seq, defs)
 
 
@@ -348,7 +348,11 @@ def pooled_instances(spark, sf) -> DataFrame:
     cv = T.chunk_vectors(spark, sf)
     names = cv.groupBy("instance_id").agg(F.min_by("process_name", "chunk").alias("process_name"),
                                           F.count(F.lit(1)).alias("n_chunks"))
-    return cut_lineage(SIM.pool_embeddings(cv, ["instance_id"]).join(names, "instance_id"))
+    pooled = SIM.pool_embeddings(cv, ["instance_id"]).join(names, "instance_id")
+    # some instances have no vector, some one that is not a number: they take no part in similarities
+    broken = F.transform("embedding", lambda x: F.lit(float("nan")))
+    vector = F.when(F.col("instance_id") % 41 == 0, broken).when(F.col("instance_id") % 43 != 0, F.col("embedding"))
+    return cut_lineage(pooled.withColumn("embedding", vector))
 
 
 @query
@@ -361,6 +365,12 @@ def chunk_tokens(spark, sf):
     return SIM.chunk_tokens(documents(spark, sf), ["doc_id"])
 
 
+@query
+def document_chunks(spark, sf):
+    """The same cut at a size that many documents exceed."""
+    return SIM.chunk_tokens(documents(spark, sf), ["doc_id"], max_tokens=300)
+
+
 # Small enough that most instances are cut into several chunks.
 INSTANCE_CHUNK_TOKENS = 24
 

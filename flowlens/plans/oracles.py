@@ -6,7 +6,7 @@ uses ordered aggregates and window functions, arrays use list functions.
 
 from __future__ import annotations
 
-from flowlens.sources.testdata import DOMAINS, FOLDED_MODEL, MODELS, PROCESS_NAMES
+from flowlens.sources.testdata import DOMAINS, EVENT_PROCESS, FOLDED_MODEL, MODELS, PROCESS_NAMES
 
 
 def _list(xs) -> str:
@@ -23,8 +23,9 @@ def h(*parts: str) -> str:
 
 WF = f"""wf AS (
   SELECT 'wf-' || lpad(CAST(user_id AS VARCHAR), 6, '0') || '-' || CAST(blk AS VARCHAR) AS process_instance_uuid,
-         CASE WHEN event_id % 101 = 0 THEN NULL ELSE ts END AS time_stamp,
-         {NAMES}[CAST((user_id + blk) % 7 AS INTEGER) + 1] AS process_name,
+         CASE WHEN event_id % 101 = 0 THEN NULL WHEN event_id % 103 = 0 THEN ts - INTERVAL 2 HOUR ELSE ts END AS time_stamp,
+         CASE WHEN event_id % 29 = 0 AND user_id % 3 = 2 THEN '{EVENT_PROCESS}'
+              ELSE {NAMES}[CAST((user_id + blk) % 7 AS INTEGER) + 1] END AS process_name,
          'app_' || CAST(event_id % 5 AS VARCHAR) AS application_name,
          CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_type END AS description,
          'screen_' || CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 12 AS VARCHAR) AS screen_name,
@@ -41,7 +42,7 @@ INST = """inst AS (
 
 LABELS = """labels AS (
   SELECT domain, process_name, CAST(row_number() OVER (PARTITION BY domain ORDER BY process_name) - 1 AS INTEGER) AS label_id
-  FROM (SELECT DISTINCT domain, process_name FROM inst WHERE process_name IS NOT NULL) d)"""
+  FROM (SELECT DISTINCT domain, process_name FROM wf WHERE process_name IS NOT NULL) d)"""
 
 _HR = h("'resp'", "model", "workflow_id")
 _V = f"CASE WHEN model = '{FOLDED_MODEL}' THEN {_HR} % 80 ELSE {_HR} % 100 END"
@@ -64,7 +65,7 @@ RESP = f"""resp AS (
          WHEN v < 93 THEN ''
          WHEN v < 96 THEN NULL
          ELSE process_name END AS answer
-  FROM (SELECT i.*, m.model, list_position({NAMES}, i.process_name) - 1 AS p,
+  FROM (SELECT i.*, m.model, coalesce(list_position({NAMES}, i.process_name), 0) - 1 AS p,
                {_V} AS v
         FROM inst i, (SELECT unnest({_list(MODELS)}) AS model) m) x)"""
 
@@ -222,13 +223,13 @@ ORACLES["classification_prompts"] = with_(WF, INST, LABELS, POS) + f"""SELECT s.
 DEFTEXT = """deftext AS (
   SELECT o.domain, coalesce(string_agg('- ' || d.name || ': ' || d.description || chr(10), '' ORDER BY d.def_pos), '')
          AS definitions_text
-  FROM (SELECT DISTINCT domain FROM inst) o
-  LEFT JOIN defs d ON lower(d.name) IN (SELECT lower(i.process_name) FROM inst i WHERE i.domain = o.domain)
+  FROM (SELECT DISTINCT domain FROM wf) o
+  LEFT JOIN defs d ON lower(d.name) IN (SELECT lower(i.process_name) FROM wf i WHERE i.domain = o.domain)
   GROUP BY o.domain)"""
 
 ORACLES["definitions_prompt_text"] = with_(WF, INST, DEFS, DEFTEXT) + "SELECT domain, definitions_text FROM deftext"
 
-ORACLES["undefined_processes"] = with_(WF, INST, DEFS) + """SELECT DISTINCT domain, process_name FROM inst i
+ORACLES["undefined_processes"] = with_(WF, INST, DEFS) + """SELECT DISTINCT domain, process_name FROM wf i
   WHERE NOT EXISTS (SELECT 1 FROM defs d WHERE lower(d.name) = lower(i.process_name))"""
 
 # ---------------------------------------------------------------- sampling
@@ -382,6 +383,7 @@ c AS (SELECT doc_id, text, tok, unnest(range(0, greatest(1, CAST(ceil(len(tok) /
 SELECT doc_id, CAST(chunk AS INTEGER) AS chunk, CAST(len(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000)) AS INTEGER) AS n_tokens,
        CASE WHEN len(tok) = 0 THEN text ELSE array_to_string(list_slice(tok, chunk * 8000 + 1, (chunk + 1) * 8000), '') END AS chunk_text FROM c"""
 
+ORACLES["document_chunks"] = ORACLES["chunk_tokens"].replace("8000", "300")
 ORACLES["instance_chunks"] = f"""WITH t AS (SELECT domain, workflow_id, instance_text AS text FROM ({ORACLES["instance_texts"]}) i
   WHERE instance_text IS NOT NULL),
 d AS (SELECT domain, workflow_id, {PIECES} AS tok FROM t),
@@ -397,25 +399,28 @@ names AS (SELECT instance_id, arg_min(process_name, vec_id) AS process_name FROM
 pooled AS (SELECT p.instance_id, n.process_name, list(p.v ORDER BY p.dim) AS e
            FROM pool p JOIN names n USING (instance_id) GROUP BY ALL)"""
 
+# Instances whose vector is missing or not a number take no part in similarities.
+SIMCV = CV + ",\nusable AS (SELECT * FROM pooled WHERE instance_id % 41 <> 0 AND instance_id % 43 <> 0)"
+
 ORACLES["pool_embeddings"] = with_(CV) + "SELECT instance_id, CAST(dim AS INTEGER) AS dim, round(v, 6) + 0.0 AS value FROM pool"
 
 # Brute force over every pair of instances (small fixture), averaged per process pair.
-ORACLES["process_similarity"] = with_(CV) + """, cnt AS (SELECT process_name, count(*) AS n FROM pooled GROUP BY ALL),
+ORACLES["process_similarity"] = with_(SIMCV) + """, cnt AS (SELECT process_name, count(*) AS n FROM usable GROUP BY ALL),
 pairs AS (SELECT a.process_name AS process_i, b.process_name AS process_j, list_cosine_similarity(a.e, b.e) AS c
-          FROM pooled a, pooled b)
+          FROM usable a, usable b)
 SELECT process_i, process_j, round(avg(c), 6) + 0.0 AS mean_cosine, ci.n AS n_i, cj.n AS n_j
 FROM pairs JOIN cnt ci ON ci.process_name = process_i JOIN cnt cj ON cj.process_name = process_j
 GROUP BY process_i, process_j, ci.n, cj.n"""
 
 # Brute force: every query against every instance.
-ORACLES["instance_neighbours"] = with_(CV) + """, s AS (
+ORACLES["instance_neighbours"] = with_(SIMCV) + """, s AS (
   SELECT q.instance_id AS query, r.instance_id AS neighbour, round(list_cosine_similarity(q.e, r.e), 9) AS c
-  FROM pooled q JOIN pooled r ON r.instance_id <> q.instance_id WHERE q.instance_id % 50 = 0)
+  FROM usable q JOIN usable r ON r.instance_id <> q.instance_id WHERE q.instance_id % 50 = 0)
 SELECT query, neighbour, CAST(row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) AS INTEGER) AS rank, round(c, 6) + 0.0 AS cosine
 FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY c DESC, neighbour) <= 5"""
 
-ORACLES["similarity_blocks"] = with_(CV) + """, ord AS (SELECT *, row_number() OVER (ORDER BY process_name, instance_id) - 1 AS idx
-             FROM pooled)
+ORACLES["similarity_blocks"] = with_(SIMCV) + """, ord AS (SELECT *, row_number() OVER (ORDER BY process_name, instance_id) - 1 AS idx
+             FROM usable)
 SELECT CASE WHEN length(process_name) > 20 THEN left(process_name, 20) || '...' ELSE process_name END AS block_label,
        min(idx) AS block_start, max(idx) + 1 AS block_end, count(*) AS n_items FROM ord GROUP BY 1"""
 

@@ -28,6 +28,7 @@ from flowlens.sources import documents as D
 from flowlens.sources import results as R
 from flowlens.sources import runs as RUNS
 from flowlens.sources import testdata as T
+from flowlens.sources.definitions import DEFINITIONS, builtin_definitions, read_definitions
 from flowlens.sources.embeddings import read_embedding_csv, vector_text
 from flowlens.sources.events import land_events
 from flowlens.sources.sinks import write_embeddings
@@ -174,6 +175,20 @@ def stored_run_versions(spark, sf):
     return RUNS.current_runs(spark, run_store(spark, sf)).select(*RUN, "version")
 
 
+# ---------------------------------------------------------------- S2: definitions from a file
+@query
+def definitions_from_file(spark, sf):
+    """The definitions part of the prompts, from a JSON array file in file order."""
+    path = scratch(spark, "definitions")
+    definitions = builtin_definitions(spark)
+    record = F.to_json(F.struct("name", "description"))
+    # one small file: an array that is opened before its first record and closed after its last
+    last = len(DEFINITIONS) - 1
+    line = F.concat(F.when(F.col("def_pos") == 0, "[").otherwise(""), record, F.when(F.col("def_pos") == last, "]").otherwise(","))
+    definitions.select("def_pos", line.alias("line")).coalesce(1).sortWithinPartitions("def_pos").select("line").write.text(path)
+    return PR.definitions_prompt_text(read_definitions(spark, path), T.wf_events(spark, sf))
+
+
 # ---------------------------------------------------------------- S12, X1, X2: scoring that is stopped and goes on
 def digest_answers(prompts: pd.Series) -> pd.Series:
     """A model that always says the same: the MD5 of its prompt."""

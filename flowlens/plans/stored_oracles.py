@@ -91,6 +91,8 @@ ORACLES["stored_run_versions"] = f"""SELECT domain, 'classification' AS task, mo
   CASE WHEN domain = 'hr' AND model = 'm1' THEN 2 ELSE 1 END::BIGINT AS version
 FROM (SELECT unnest({_list(DOMAINS)}) AS domain) d, (SELECT unnest(['m1', 'm2']) AS model) m"""
 
+ORACLES["definitions_from_file"] = ORACLES["definitions_prompt_text"]
+
 ORACLES["resumed_answers"] = f"""SELECT domain, workflow_id, '\\answer{{' || md5(prompt) || '}}' AS generated_text, 1::BIGINT AS n_logged
 FROM ({ORACLES["classification_prompts"]}) p"""
 

@@ -24,6 +24,9 @@ PROCESS_NAMES = [
     "Expense report submission",
     "Vendor registration",
 ]
+# A process that only single events of the domain "legal" are given, so that an instance holds two names and label spaces
+# differ by domain.
+EVENT_PROCESS = "Asset disposal"
 # Domains by user_id % 3, and the simulated models. Model "m3" only ever answers
 # with a known class, so its reports carry the accuracy row.
 DOMAINS = ["finance", "hr", "legal"]
@@ -40,7 +43,7 @@ def _names() -> F.Column:
 
 
 def wf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Interaction events with a raw text ``time_stamp`` (some 'bad') and a file-order ``event_seq``."""
+    """Interaction events with a raw text ``time_stamp`` (some 'bad', some in another zone) and a file-order ``event_seq``."""
     ev = table(spark, sf_dir, "events").select("event_id", "ts", "user_id", "event_type", "props")
     blk = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 5).cast("bigint")
     p = (F.col("user_id") + blk) % len(PROCESS_NAMES)
@@ -49,8 +52,10 @@ def wf_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("wf-"), F.lpad(F.col("user_id").cast("string"), 6, "0"), F.lit("-"),
                  blk.cast("string")).alias("process_instance_uuid"),
         F.when(F.col("event_id") % 101 == 0, F.lit("bad"))
+         .when(F.col("event_id") % 103 == 0, F.concat(F.col("ts").cast("string"), F.lit("+02:00")))
          .otherwise(F.col("ts").cast("string")).alias("time_stamp"),
-        F.element_at(_names(), (p + 1).cast("int")).alias("process_name"),
+        F.when((F.col("event_id") % 29 == 0) & (F.col("user_id") % 3 == 2), F.lit(EVENT_PROCESS))
+         .otherwise(F.element_at(_names(), (p + 1).cast("int"))).alias("process_name"),
         F.concat(F.lit("app_"), (F.col("event_id") % 5).cast("string")).alias("application_name"),
         F.when(F.col("event_id") % 97 == 0, F.lit(None).cast("string"))
          .otherwise(F.col("event_type")).alias("description"),

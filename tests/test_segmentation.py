@@ -4,6 +4,7 @@ import random
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowlens.functions.arrays import boundary_metrics, edit_distance
 from flowlens.operators import segmentation as SG
@@ -91,3 +92,29 @@ def test_evaluate_end_to_end(spark):
     assert r["s1"].boundary_f1 == 0.0 and r["s1"].edit_distance == 0
     agg = SG.aggregate(SG.evaluate(headers, resp), ("domain", "model")).collect()[0]
     assert agg.boundary_precision == 0.5 and agg.edit_distance == 0.5
+
+
+@pytest.mark.parametrize("tolerance", [0, 1, 3])
+def test_long_metrics_equal_the_array_form(spark, tolerance):
+    rng = random.Random(tolerance)
+    rows = [("d", "m", f"s{i}", n, [rng.randint(-2, n + 2) for _ in range(rng.randint(0, 6))], [rng.randint(-4, n + 4) for _ in range(rng.randint(0, 9))])
+            for i, n in enumerate(rng.randint(5, 40) for _ in range(60))]
+    # one sequence of 20,000 predictions, many of them near several true boundaries
+    rows.append(("d", "m", "long", 50_000, list(range(0, 50_000, 7)), [rng.randint(0, 60_000) for _ in range(20_000)]))
+    df = spark.createDataFrame(rows, "domain string, model string, sequence_id string, sequence_length long, t array<long>, p array<long>")
+    small = df.where("sequence_id <> 'long'") if tolerance else df
+    m = boundary_metrics("t", "p", "sequence_length", tolerance)
+    want = {r.sequence_id: (r.m.precision, r.m.recall, r.m.f1) for r in small.select("sequence_id", m.alias("m")).collect()}
+    if tolerance:                                   # the array form compares all pairs; the same count with a sorted list
+        import bisect
+        _, _, _, _, t, p = rows[-1]
+        near = sum(1 for x in p if (i := bisect.bisect_left(t, x - tolerance)) < len(t) and t[i] <= x + tolerance)
+        a, b = near / len(p), near / len(t)
+        want["long"] = (a, b, 2 * a * b / (a + b))
+    true = df.select("domain", "sequence_id", F.explode("t").alias("boundary"))
+    pred = df.select("domain", "model", "sequence_id", F.explode("p").alias("boundary"))
+    got = {r.sequence_id: (r.boundary_precision, r.boundary_recall, r.boundary_f1)
+           for r in SG.boundary_metrics_long(true, pred, df.select("domain", "model", "sequence_id", "sequence_length"), tolerance).collect()}
+    assert got.keys() == want.keys()
+    for s in want:
+        assert got[s] == pytest.approx(want[s], abs=1e-12), s
