@@ -1,16 +1,18 @@
 """Quality rules with risk-controlled cutoffs, in DataFrame functions only.
 
-Every rule rejects a document whose ratio lies above a cutoff of a fixed grid. Labelled documents are the
-holdout: for each stratum (length band), rule and cutoff the good ones and the good ones rejected are
-counted. A cutoff is certified if, were the true false-rejection rate ``alpha`` over the number of rules, so few
-rejections would have a binomial probability of at most ``delta`` over (strata x rules); that is the exact (Clopper-Pearson)
-upper bound. Within a rule cutoffs are tested from the highest down and the first failure ends the
-sequence (fixed-sequence testing), so all certified cutoffs hold together with confidence 1 - delta, and a stratum's
-false rejections stay below ``alpha``. The certified cutoff with the best balance of bad and good rejections is used; with
-no gain a rule is left out, and a stratum with too few labels keeps all that the base rules keep.
+Every rule rejects a document whose ratio lies above its cutoff. Cutoffs are not chosen rule by rule: a fixed path of
+steps lowers those of all rules together (``GRID``, for each rule down to its floor), and a document's step is the first
+at which any rule rejects it. Labelled documents are the holdout, equal texts counting once: for each stratum (length
+band) and step the good ones and the good ones rejected are counted. A step is certified if, were the true rate of false
+rejections, of all rules jointly, ``alpha``, so few rejections would have a binomial probability of at most ``delta`` over
+the number of strata; that is the exact (Clopper-Pearson) upper bound, with Bonferroni's correction over strata. Steps are tested
+from the most lenient on and the first failure ends the sequence (fixed-sequence testing), so all certified steps hold
+together with confidence 1 - delta, and a stratum's false rejections stay below ``alpha``. The certified step with
+the best balance of bad and good rejections is used; a stratum without gain, or with too few labels, keeps all that
+the base rules keep.
 
 Contract. Words are runs without white space; a null text has none and fails the base rules. Labels of one
-document that differ count as good if any does. Repeated rows each get their verdict. An empty table gives an empty
+document or of equal texts that differ count as good if any does. Repeated rows each get their verdict. An empty table gives an empty
 table; without labels only the base rules act. Only the named columns are read, so others cannot clash.
 """
 
@@ -28,6 +30,8 @@ MAX_REPEAT_PERCENT = 30
 
 RULES = ("symbol_ratio", "exclamation_ratio", "dup_line_ratio", "repeat_ratio")
 GRID = (0.8, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05, 0.03, 0.02)
+# How far the path lowers each rule's cutoff: lists and refrains repeat lines and phrases in good texts, too.
+FLOORS = {"symbol_ratio": 0.02, "exclamation_ratio": 0.02, "dup_line_ratio": 0.5, "repeat_ratio": 0.3}
 BANDS = (50, 200, 1000)
 ALPHA = 0.01
 DELTA = 0.05
@@ -76,15 +80,24 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *c
     of_lines = let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")))
     counted = docs.select(
-        F.col(id_col), *carried, of_words.alias("w"), of_lines.alias("l"), removed(text, SYMBOLS).cast("long").alias("n_symbols"),
+        F.col(id_col), *carried, F.xxhash64(text).alias("text_key"), of_words.alias("w"), of_lines.alias("l"), removed(text, SYMBOLS).cast("long").alias("n_symbols"),
         removed(text, "!").cast("long").alias("n_exclamations"))
-    return counted.select(id_col, *carried, "w.*", "l.*", "n_symbols", "n_exclamations")
+    return counted.select(id_col, *carried, "text_key", "w.*", "l.*", "n_symbols", "n_exclamations")
 
 
 def ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
+def first_step() -> Column:
+    """The step of the path at which the first rule rejects a document; the number of steps if none does."""
+    def of(rule: str) -> Column:
+        cutoffs = F.array(*[F.lit(max(c, FLOORS[rule])) for c in GRID])
+        return F.size(F.filter(cutoffs, lambda c: F.col(rule) <= c))
+
+    return F.least(*[of(r) for r in RULES])
+
+
 def with_ratios(counted: DataFrame) -> DataFrame:
     band = sum(((F.col("n_words") >= b).cast("int") for b in BANDS), F.lit(0))
     return (counted.withColumn("symbol_ratio", ratio("n_symbols", "word_chars"))
@@ -93,7 +106,7 @@ def with_ratios(counted: DataFrame) -> DataFrame:
             .withColumn("repeat_ratio", ratio("n_repeat_words", "n_words"))
             .withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
                         | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-            .withColumn("stratum", band))
+            .withColumn("stratum", band).withColumn("rejected_at", first_step()))
 
 
 def log_gamma(x: Column) -> Column:
@@ -114,32 +127,37 @@ def binomial_at_most(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(F.exp(log_top) * total)
 
 
-def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
-    """One row per stratum: the chosen cutoff of every rule, null where none is certified or useful."""
+def certified_steps(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
+    """(stratum, step, n_good, good_hit, bad_hit, certified) of every stratum with labels and every step of the path."""
     good = labels.groupBy(F.col("doc_id").alias(id_col)).agg(F.max("quality").alias("good")).where("good is not null")
-    tests = rated.where(~F.col("base_failed")).join(good, id_col).select(
-        "stratum", F.col("good").cast("long").alias("good"),
-        F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("value")) for r in RULES))).alias("v"))
-    grid = [F.struct(F.lit(i).alias("step"), F.lit(c).alias("cutoff")) for i, c in enumerate(GRID)]
-    hits = [F.sum(F.when((F.col("good") == g) & (F.col("v.value") > c), 1).otherwise(0)).alias(f"h{g}_{i}")
-            for g in (0, 1) for i, c in enumerate(GRID)]
-    counted = tests.groupBy("stratum", F.col("v.rule").alias("rule")).agg(F.sum("good").alias("n"), *hits)
-    steps = counted.select("stratum", "rule", F.col("n").cast("double").alias("n"), F.posexplode(F.array(*(
-        F.struct(g["step"].alias("step"), g["cutoff"].alias("cutoff"), F.col(f"h1_{i}").cast("double").alias("good_hit"),
-                 F.col(f"h0_{i}").alias("bad_hit")) for i, g in enumerate(grid)))).alias("i", "s")).select("stratum", "rule", "n", "s.*")
-    level = delta / ((len(BANDS) + 1) * len(RULES))
-    passed = steps.withColumn("passed", (binomial_at_most(F.col("good_hit"), F.col("n"), alpha / len(RULES)) <= level).cast("int"))
-    so_far = Window.partitionBy("stratum", "rule").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
-    certified = passed.withColumn("gain", F.col("bad_hit") - GOOD_WEIGHT * F.col("good_hit")).withColumn("certified", F.min("passed").over(so_far))
-    best = certified.where("certified = 1 and gain > 0").groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct("gain", "cutoff")).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cutoff_{r}") for r in RULES))
+    texts = rated.where(~F.col("base_failed")).join(good, id_col).groupBy("stratum", "text_key", "rejected_at").agg(F.max("good").cast("long").alias("good"))
+    # strata x steps x 2 rows at most
+    counted = texts.groupBy("stratum", "rejected_at", "good").agg(F.count(F.lit(1)).alias("n"))
+    steps = counted.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(GRID) - 1))).alias("step"))
+    hit = F.col("rejected_at") <= F.col("step")
+
+    def number(what: Column) -> Column:
+        return F.sum(F.when(what, F.col("n")).otherwise(0))
+
+    sums = steps.groupBy("stratum", "step").agg(number(F.col("good") == 1).alias("n_good"), number((F.col("good") == 1) & hit).alias("good_hit"),
+                                                number((F.col("good") == 0) & hit).alias("bad_hit"))
+    level = delta / (len(BANDS) + 1)
+    passed = (binomial_at_most(F.col("good_hit").cast("double"), F.col("n_good").cast("double"), alpha) <= level) & (F.col("n_good") > 0)
+    so_far = Window.partitionBy("stratum").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return sums.withColumn("passed", passed).withColumn("certified", F.min("passed").over(so_far)).drop("passed")
+
+
+def cutoffs(rated: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, id_col: str = "doc_id") -> DataFrame:
+    """(stratum, step): the certified step with the greatest gain, the most lenient among equals; strata without gain are absent."""
+    gain = F.col("bad_hit") - GOOD_WEIGHT * F.col("good_hit")
+    useful = certified_steps(rated, labels, alpha, delta, id_col).withColumn("gain", gain).where("certified and gain > 0")
+    return useful.groupBy("stratum").agg(F.max_by("step", F.struct(F.col("gain"), -F.col("step"))).alias("step"))
 
 
 def judged(rated: DataFrame, labels: DataFrame, alpha: float, delta: float, id_col: str) -> DataFrame:
     # one row per length band at most, so it may be broadcast
     chosen = F.broadcast(cutoffs(rated, labels, alpha, delta, id_col))
-    broken = [F.coalesce(F.col(r) > F.col(f"cutoff_{r}"), F.lit(False)) for r in RULES]
-    rejected = broken[0] | broken[1] | broken[2] | broken[3]
+    rejected = F.coalesce(F.col("rejected_at") <= F.col("step"), F.lit(False))
     return rated.join(chosen, "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
