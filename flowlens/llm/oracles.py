@@ -6,6 +6,8 @@ a text's UTF-8 bytes over it. It is applied to distinct words and ids only.
 
 from __future__ import annotations
 
+from flowlens.llm.quality_rules import ALPHA, BANDS, DELTA, FLOORS, GOOD_WEIGHT, GRID, MAX_REPEAT_PERCENT, MIN_WORDS, RULES
+
 CRC_TABLE = """crc AS (SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
   lambda a, k: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS t)"""
 
@@ -65,4 +67,65 @@ drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank
           QUALIFY row_number() OVER (ORDER BY score DESC, doc_id) <= 10 * (SELECT count(*) FROM scored WHERE n_features >= 20) // 100)
 SELECT doc_id, n_features, weight, score, rank, n_features AS n_words FROM scored LEFT JOIN drawn USING (doc_id)"""
 
-ORACLES: dict[str, str] = {"op11_prefix_trie": PREFIX_TRIE, "op13_importance_resampling": IMPORTANCE_RESAMPLING}
+LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WORD = "'[^\\x20\\x09-\\x0D]+'"
+
+NGRAM_JOIN = f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWER}, {WORD}) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+s AS (SELECT DISTINCT doc_id, shingle FROM (SELECT doc_id, lead(word, 2) OVER o AS last, concat_ws(' ', word, lead(word, 1) OVER o, lead(word, 2) OVER o) AS shingle
+                                            FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)) x WHERE last IS NOT NULL
+      UNION SELECT doc_id, array_to_string(w, ' ') FROM w WHERE len(w) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+both_have AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b USING (shingle) GROUP BY 1, 2),
+link AS (SELECT a, b FROM both_have p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 90 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM link UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(c.component_id, d.doc_id) AS component_id
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a) c USING (doc_id)"""
+
+
+def _cuts(rule: str) -> str:
+    return "[" + ", ".join(repr(max(c, FLOORS[rule])) for c in GRID) + "]"
+
+
+_FIRST = "least(" + ", ".join(f"len(list_filter({_cuts(r)}, lambda c: {r} <= c))" for r in RULES) + ")"
+
+QUALITY_RULES = f"""WITH t AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS text FROM (SELECT doc_id, text FROM documents) d),
+w AS (SELECT id, doc_id, text, regexp_extract_all(text, {WORD}) AS w, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {WORD})) AS lines FROM t),
+words AS (SELECT id, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM w),
+windows AS (SELECT id, i, win FROM (SELECT id, i, lead(word, 7) OVER o AS last, concat_ws(' ', word, {", ".join(f"lead(word, {k}) OVER o" for k in range(1, 8))}) AS win
+                                    FROM words WINDOW o AS (PARTITION BY id ORDER BY i)) x WHERE last IS NOT NULL),
+covered AS (SELECT id, count(DISTINCT place) AS n FROM (
+  SELECT id, unnest(range(i, i + 8)) AS place FROM windows JOIN (SELECT id, win FROM windows GROUP BY id, win HAVING count(*) > 1) r USING (id, win)) c GROUP BY id),
+f AS (SELECT id, doc_id, text, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: len(x))), 0)::BIGINT AS word_chars,
+             len(text) - len(translate(text, '#*$%&|<>', '')) AS n_symbols, len(text) - len(translate(text, '!', '')) AS n_exclamations,
+             len(lines) - len(list_distinct(lines)) AS n_dup_lines, len(lines) AS n_lines, coalesce(c.n, 0) AS n_repeat_words
+      FROM w LEFT JOIN covered c USING (id)),
+r AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words AS base_failed,
+             {" + ".join(f"(n_words >= {b})::INTEGER" for b in BANDS)} AS stratum, n_symbols / greatest(word_chars, 1) AS symbol_ratio,
+             n_exclamations / greatest(n_words, 1) AS exclamation_ratio, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio,
+             n_repeat_words / greatest(n_words, 1) AS repeat_ratio FROM f),
+v AS (SELECT *, {_FIRST} AS rejected_at FROM r),
+texts AS (SELECT stratum, text, rejected_at, max(good) AS good
+          FROM v JOIN (SELECT doc_id, max(quality) AS good FROM labels GROUP BY doc_id HAVING max(quality) IS NOT NULL) l USING (doc_id)
+          WHERE NOT base_failed GROUP BY ALL),
+steps AS (SELECT stratum, step, sum((good = 1)::INTEGER) AS n, sum((good = 1 AND rejected_at <= step)::INTEGER) AS k,
+                 sum((good = 0 AND rejected_at <= step)::INTEGER) AS bad FROM texts, (SELECT range AS step FROM range({len(GRID)})) g GROUP BY stratum, step),
+passed AS (SELECT *, n > 0 AND k < n * {ALPHA} AND list_sum(list_transform(range(0, least(k, 100000)::BIGINT + 1), lambda j:
+                  exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(greatest(n - j, 0) + 1) + j * ln({ALPHA}) + (n - j) * ln(1 - {ALPHA})))) <= {DELTA / (len(BANDS) + 1)} AS ok FROM steps),
+certified AS (SELECT *, bool_and(ok) OVER (PARTITION BY stratum ORDER BY step) AS certified, bad - {GOOD_WEIGHT} * k AS gain FROM passed),
+chosen AS (SELECT stratum, step FROM certified WHERE certified AND gain > 0 QUALIFY row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, step) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND NOT coalesce(rejected_at <= step, false) AS kept, v.stratum AS stratum FROM v LEFT JOIN chosen USING (stratum)"""
+
+CHAT_FORMATTING = r"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+-- a turn's marks have 15 characters; escaping adds one for every backslash, < and >
+e AS (SELECT *, 15 + len(regexp_replace(role, '([\\<>])', '\\\1', 'g')) + len(regexp_replace(text, '([\\<>])', '\\\1', 'g')) AS size,
+             role = 'assistant' AS learnt FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(len(text)) FILTER (WHERE learnt), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (WHERE learnt), '')) AS loss_sha256,
+       sum(size)::BIGINT AS formatted_chars FROM e GROUP BY conv_id"""
+
+ORACLES: dict[str, str] = {"op2_ngram_join": NGRAM_JOIN, "op4_quality_rules": QUALITY_RULES, "op7_chat_formatting": CHAT_FORMATTING,
+                           "op11_prefix_trie": PREFIX_TRIE, "op13_importance_resampling": IMPORTANCE_RESAMPLING}

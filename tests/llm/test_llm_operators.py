@@ -157,6 +157,26 @@ def test_certified_cutoffs_bound_false_rejections(spark):
     assert quality_rules.passing(docs, labels.limit(0)).count() == 3101
 
 
+def test_steps_are_certified_jointly_and_copies_count_once(spark):
+    # 700 good texts, one of them with symbols and repeated 500 times; 60 bad ones full of symbols; 100 texts in a short band
+    good = [(i, prose(i, 60)) for i in range(699)] + [(10_000 + k, prose(5, 60) + " ### ###") for k in range(500)]
+    bad = [(2000 + i, " ".join(w + "##" for w in prose(3000 + i, 60).split())) for i in range(60)]
+    short = [(4000 + i, prose(4000 + i, 30)) for i in range(100)] + [(4500, " ".join(w + "##" for w in prose(9, 30).split()))]
+    docs = frame(spark, good + bad + short)
+    labels = docs.select("doc_id", (~F.col("doc_id").between(2000, 2059) & (F.col("doc_id") != 4500)).cast("int").alias("quality"))
+    rated = quality_rules.with_ratios(quality_rules.features(docs))
+    steps = {(r["stratum"], r["step"]): r for r in quality_rules.certified_steps(rated, labels).collect()}
+    level = quality_rules.DELTA / 4
+    for (stratum, step), r in steps.items():
+        tail = sum(math.comb(r["n_good"], j) * 0.01 ** j * 0.99 ** (r["n_good"] - j) for j in range(r["good_hit"] + 1))
+        before = step == 0 or steps[stratum, step - 1]["certified"]
+        assert r["certified"] == (before and tail <= level)
+        assert r["n_good"] == {0: 100, 1: 700}[stratum]          # the repeated text is one trial
+    assert not steps[0, 0]["certified"] and steps[1, 0]["certified"]
+    kept = {r["doc_id"] for r in quality_rules.passing(docs, labels).collect()}
+    assert not kept & {i for i, _ in bad} and {i for i, _ in good} <= kept and {i for i, _ in short} <= kept
+
+
 def test_binomial_tail(spark):
     rows = [(0, 100, 0.05), (3, 100, 0.05), (2, 3000, 0.0025), (0, 1, 0.5)]
     for k, n, p in rows:
