@@ -30,49 +30,42 @@ from pyspark.sql import functions as F
 from flowlens.llm.examples import LETTERS, Calibration, sample, without_copies
 from flowlens.llm.tables import written
 
-EXAMPLES = 6000
+EXAMPLES = 2000
 STEM = 5
 LEAST = 0.1
-BLOCK = 64
+BLOCK = 256
 NEIGHBOURS = 15
 SOFT = 0.05
-FIRST_BLOCKS = 4
+FIRST_BLOCKS = 1
 EVIDENCE = 3
-# A term that one example in so many holds is a dense row; documents that are multiplied at once; word forms kept at hand.
-DENSE_SHARE = 8
+# A term that one example in so many holds is a dense row; documents that are multiplied at once.
+DENSE_SHARE = 16
 TOGETHER = 128
-FORMS = 200_000
 # Tasks that the votes of the examples are taken in.
 CALIBRATION_TASKS = 16
 
 
-def word_terms(word: str) -> list[str]:
-    """A word and, where it is longer, its first ``STEM`` letters; the mark keeps stems apart from words."""
-    return [word, "#" + word[:STEM]] if len(word) > STEM else [word]
-
+MARK = "#"
 
-NO_TERMS = np.zeros(0, np.int32)
 
+def word_terms(word: str) -> list[str]:
+    """A word and, where it is longer, its first ``STEM`` letters; the mark keeps stems apart from words."""
+    return [word, MARK + word[:STEM]] if len(word) > STEM else [word]
 
-class Cutter(dict):
-    """Word forms -> the numbers of their known terms; each form is cut once."""
 
-    def __init__(self, vocabulary: dict[str, int]):
-        super().__init__()
-        self.vocabulary = vocabulary
+class Cutter:
+    """Counts of a text's known terms."""
 
-    def __missing__(self, word: str) -> np.ndarray:
-        if len(self) >= FORMS:
-            self.clear()
-        known = self.vocabulary
-        found = [known[t] for t in word_terms(word) if t in known]
-        self[word] = numbers = np.array(found, np.int32) if found else NO_TERMS
-        return numbers
+    def __init__(self, names: list[str]):
+        self.words = {t: i for i, t in enumerate(names) if t[0] != MARK}
+        self.stems = {t[1:]: i for i, t in enumerate(names) if t[0] == MARK}
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, how often) of a text."""
-        parts = list(map(self.__getitem__, LETTERS.findall((text or "").lower())))
-        return np.unique(np.concatenate(parts), return_counts=True) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        words = LETTERS.findall((text or "").lower())
+        found = [i for i in map(self.words.get, words) if i is not None]
+        found += [i for i in map(self.stems.get, [w[:STEM] for w in words if len(w) > STEM]) if i is not None]
+        return np.unique(np.array(found, np.int32), return_counts=True)
 
 
 class TermWeights:
@@ -91,7 +84,7 @@ class TermWeights:
     def vector(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, weights), ascending; empty where no term is known."""
         if self.cutter is None:
-            self.cutter = Cutter({t: i for i, t in enumerate(self.names)})
+            self.cutter = Cutter(self.names)
         at, tf = self.cutter.counts(text)
         value = damped(tf) * self.weights[at]
         return at, value / np.sqrt((value * value).sum()) if len(at) else value
@@ -258,7 +251,7 @@ def document_frequencies(docs: DataFrame, names: list[str], text_col: str) -> tu
     size = len(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cutter = Cutter({t: i for i, t in enumerate(sent.value.split("\n"))})
+        cutter = Cutter(sent.value.split("\n"))
         total = np.zeros(size + 1, np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
