@@ -129,7 +129,7 @@ class BlockMaxIndex:
         self.matrix = np.zeros((int(dense.sum()), self.size))
         self.matrix[self.row[term[common]], self.place[common]] = self.weight[common]
         self.thin_place, self.thin_weight = self.place[~common], self.weight[~common]
-        cell = term[~common] * self.blocks + self.thin_place // BLOCK
+        cell = term[~common] * self.blocks + self.thin_place.astype(np.int64) // BLOCK
         first = np.flatnonzero(np.diff(cell, prepend=-1))
         self.start = np.append(first, len(cell)).astype(np.int32)
         self.block = (cell[first] % self.blocks).astype(np.int32)
