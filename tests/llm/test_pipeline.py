@@ -73,7 +73,7 @@ def test_run_equals_brute_force(spark, tmp):
     spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp}/labels.parquet")
     spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp}/benchmark.parquet")
     kept = [(i, t) for i, t in first_of_each_class([(i, t) for i, t, *_ in rows if good(t)]) if not leaks(t)]
-    assert {i for i, _ in kept} == {0, 5, 6, 11, 13, 15}
+    assert {i for i, _ in kept} == {0, 5, 6, 11, 13}
     # the one kind of secret that is planted
     texts = {i: re.sub(r"AKIA[A-Z0-9]{16,}", "[secret]", t) for i, t in kept}
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))

@@ -245,8 +245,9 @@ def test_oracles_agree_with_the_queries(spark, tmp, name):
     table(spark, tmp, "conversations", conversations(9), SCHEMA)
     table(spark, tmp, "documents", documents(9), DOCS)
     table(spark, tmp, "benchmark", [(1, "alpha beta gamma"), (2, None)], "item_id long, text string")
+    table(spark, tmp, "labels", [(i * 3, i % 2, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     con = duckdb.connect()
-    for t in ("conversations", "documents", "benchmark"):
+    for t in ("conversations", "documents", "benchmark", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{tmp}/{t}.parquet/*.parquet')")
     rel = con.sql(oracles.ORACLES[name])
     spark_rows = catalog.QUERIES[name](spark, tmp)
