@@ -11,8 +11,8 @@ shingles, d following from their sizes. Their shingles are hashed into more than
 is equal in both, whatever the texts share besides: all sets with an equal block meet in one tree. The emptiest
 blocks say little and are left out where enough others remain to keep the promise. Trees give spanning edges of the pairs
 within the bound; their components are the clusters, and each cluster gets one tree of points with
-sets, where pairs not yet connected are verified. A bucket or cluster over ``NODE`` points is cut into nodes, and every
-pair of nodes is a tree of its own, so no task holds more than two nodes.
+sets, where pairs not yet connected are verified. A bucket over ``NODE`` points and a cluster over ``CLUSTER_SETS``
+sets or ``CLUSTER_SHINGLES`` shingles is cut into nodes, and every pair of nodes is a tree of its own, so no task holds more than two nodes.
 
 Contract. A text with fewer words than a shingle is one shingle; a text without words (or null) has an empty set, links
 with nothing and is its own component. Repeated rows and equal texts share a component. A component's id is its smallest
@@ -40,6 +40,10 @@ CLASS_RATIO = 1.5
 SLICE = 1 << 20
 # Texts whose block keys are handed on together.
 KEYED_TOGETHER = 256
+# A node of a cluster holds about so many sets and so many shingles at most; a cluster of several nodes sends each set to
+# every pair of nodes it takes part in, so nodes are as large as two of them fit a task.
+CLUSTER_SETS = 16_384
+CLUSTER_SHINGLES = 4_000_000
 
 WORD = r"[^\x20\x09-\x0D]"
 
@@ -431,10 +435,12 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     """(id, n_shingles, component_id) of every row of ``docs``."""
     prints = written(fingerprints(docs, size, id_col, text_col), "ngram-prints")
     keyed = keyed_sets(docs, size, percent, text_col)
-    first = written(prints.where("n > 0").groupBy("set_a").agg(F.min("id").alias("id")), "ngram-first")
-    clusters = written(components(bounded_edges(prints, keyed, percent)), "ngram-clusters")
-    nodes = clusters.groupBy("component").agg(F.ceil(F.count("*") / NODE).alias("nodes"))
-    members = written(clusters.withColumnRenamed("node", "set_a").join(merged(nodes), "component").join(merged(first), "set_a").select(
+    first = written(prints.where("n > 0").groupBy("set_a").agg(F.min("id").alias("id"), F.max("n").alias("n")), "ngram-first")
+    clusters = components(bounded_edges(prints, keyed, percent)).withColumnRenamed("node", "set_a")
+    sized = written(clusters.join(merged(first), "set_a"), "ngram-clusters")
+    load = F.greatest(F.sum("n") / CLUSTER_SHINGLES, F.count("*") / CLUSTER_SETS)
+    nodes = sized.groupBy("component").agg(F.ceil(load).alias("nodes"))
+    members = written(sized.join(merged(nodes), "component").select(
         F.col("component").alias("tree"), F.pmod(F.xxhash64("set_a"), F.col("nodes")).alias("node"), "set_a", "id"), "ngram-members")
     verified = in_trees(node_pairs(written(with_sets(docs, members, size, id_col, text_col), "ngram-sets")), percent, with_sets=True)
     linked = components(verified).select(F.col("node").alias("set_a"), "component")

@@ -101,6 +101,8 @@ def test_ngram_components_over_several_nodes(spark, monkeypatch):
     """A block that many sets share is cut into nodes; every pair of nodes is compared."""
     monkeypatch.setattr(ngram_join, "NODE", 4)
     monkeypatch.setattr(ngram_join, "SMALL", 3)
+    monkeypatch.setattr(ngram_join, "CLUSTER_SETS", 9)
+    monkeypatch.setattr(ngram_join, "CLUSTER_SHINGLES", 600)
     rng = np.random.default_rng(8)
     base = prose(7, 90, 3000).split()
     rows = []
