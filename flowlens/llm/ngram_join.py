@@ -1,8 +1,9 @@
 """N-gram Jaccard join over count vectors.
 
 A text's set is its distinct word shingles, as 64-bit hashes. Equal sets are one point from the start. Hashing the
-shingles into ``GROUPS`` groups gives each set a point of group counts; the summed coordinate minima of two
-points bound their overlap from above. Points lie in packed R-trees whose boxes hold the largest count of each
+shingles into groups gives each set a point of group counts; the summed coordinate minima of two
+points bound their overlap from above. The more shingles share a group, the weaker the bound, so larger sets have more groups, always
+a power of two: a finer point folds into a coarser one by adding up, and a tree takes all its points as fine as its coarsest. Points lie in packed R-trees whose boxes hold the largest count of each
 group, so a pair of boxes whose bound is below the least overlap that the similarity asks for is left
 out whole, then pairs of points, and what survives is verified on the sets.
 
@@ -32,7 +33,9 @@ from pyspark.sql import functions as F
 from flowlens.llm.components import components
 from flowlens.llm.tables import merged, written
 
+# Least and most groups of a point.
 GROUPS = 64
+FINEST = 4096
 NODE = 1024
 LEAF = 32
 SMALL = 12
@@ -136,6 +139,18 @@ class Similarity:
             top = max(top + 1, int(top * CLASS_RATIO))
         self.tops = np.array(bounds)
 
+    def groups(self, n: int) -> int:
+        """Groups of the point of a set of n shingles: as many as tell unrelated sets, and most that share half their shingles, from linked ones.
+
+        With c shingles a group, the minima of two unrelated points come to about 1 - 1 / sqrt(pi * c) of them; linked sets need
+        the share 1 - (100 - percent) / (100 + percent).
+        """
+        crowd = max(1, (100 + self.percent) ** 2 // (20 * max(1, 100 - self.percent) ** 2))
+        found = GROUPS
+        while found < FINEST and n > crowd * found:
+            found *= 2
+        return found
+
     def overlap(self, sizes):
         """Least intersection of two sets with these sizes in sum."""
         return -(-self.percent * sizes // (100 + self.percent))
@@ -178,22 +193,27 @@ def block_keys(shingles: np.ndarray, law: Similarity) -> np.ndarray:
     return np.concatenate(out)
 
 
-def point(shingles: np.ndarray) -> np.ndarray:
+def point(shingles: np.ndarray, groups: int) -> np.ndarray:
     """Counts of the shingles by hashed group."""
-    return np.bincount((mixed(shingles, 51) >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.bincount((mixed(shingles, 51) >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
 
 
 def packed(counts: np.ndarray) -> bytes:
-    """A point as bytes: one each where all counts are below 256, else four."""
-    return counts.astype("u1" if counts.max(initial=0) < 256 else "<i4").tobytes()
+    """A point as bytes: how many a count takes, one where all counts are below 256, else four; then the counts."""
+    width = 1 if counts.max(initial=0) < 256 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def unpacked(points: list[bytes]) -> np.ndarray:
-    return np.stack([np.frombuffer(p, "u1" if len(p) == GROUPS else "<i4").astype(np.int32) for p in points])
+    """Points as rows, all folded to the groups of the coarsest."""
+    rows = [np.frombuffer(p, f"<u{p[0]}", offset=1) for p in points]
+    groups = min(map(len, rows))
+    return np.stack([r.astype(np.int32) if len(r) == groups else r.reshape(-1, groups).sum(axis=0, dtype=np.int32) for r in rows])
 
 
-def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def fingerprints(docs: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """(id, n, set_a, point) of every row; a task gives the point of equal sets once."""
+    law = Similarity(percent)
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -205,7 +225,7 @@ def fingerprints(docs: DataFrame, size: int, id_col: str, text_col: str) -> Data
                 own = set_key(s)
                 n.append(len(s))
                 a.append(own)
-                points.append(None if own in seen else packed(point(s)))
+                points.append(None if own in seen else packed(point(s, law.groups(len(s)))))
                 seen.add(own)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("id"), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(points, pa.binary())], ["id", "n", "set_a", "point"])
@@ -409,8 +429,9 @@ def bounded_edges(prints: DataFrame, keyed: DataFrame, percent: int) -> DataFram
     return in_trees(rows.join(merged(sets), "set_a"), percent, with_sets=False)
 
 
-def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
+def with_sets(docs: DataFrame, members: DataFrame, size: int, percent: int, id_col: str, text_col: str) -> DataFrame:
     """``members`` (tree, node, set_a, id) with size, point and shingles, from the text of each set's first document."""
+    law = Similarity(percent)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = source.join(merged(members), source["id"].eqNullSafe(members["id"])).select("tree", "node", "set_a", "text")
 
@@ -420,7 +441,7 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_
             n, points, sets, same = [], [], [], []
             for wanted, s in zip(own, shingle_sets(batch.column("text").to_pylist(), size), strict=True):
                 n.append(len(s))
-                points.append(packed(point(s)))
+                points.append(packed(point(s, law.groups(len(s)))))
                 sets.append(s.astype("<u8").tobytes())
                 same.append(set_key(s) == wanted)  # another text under the same id is not this set
             out = pa.RecordBatch.from_arrays([batch.column("tree"), batch.column("node"), batch.column("set_a"), pa.array(n, pa.int64()),
@@ -433,7 +454,7 @@ def with_sets(docs: DataFrame, members: DataFrame, size: int, id_col: str, text_
 
 def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of every row of ``docs``."""
-    prints = written(fingerprints(docs, size, id_col, text_col), "ngram-prints")
+    prints = written(fingerprints(docs, size, percent, id_col, text_col), "ngram-prints")
     keyed = keyed_sets(docs, size, percent, text_col)
     first = written(prints.where("n > 0").groupBy("set_a").agg(F.min("id").alias("id"), F.max("n").alias("n")), "ngram-first")
     clusters = components(bounded_edges(prints, keyed, percent)).withColumnRenamed("node", "set_a")
@@ -442,7 +463,7 @@ def ngram_components(docs: DataFrame, size: int = 3, percent: int = 90, id_col:
     nodes = sized.groupBy("component").agg(F.ceil(load).alias("nodes"))
     members = written(sized.join(merged(nodes), "component").select(
         F.col("component").alias("tree"), F.pmod(F.xxhash64("set_a"), F.col("nodes")).alias("node"), "set_a", "id"), "ngram-members")
-    verified = in_trees(node_pairs(written(with_sets(docs, members, size, id_col, text_col), "ngram-sets")), percent, with_sets=True)
+    verified = in_trees(node_pairs(written(with_sets(docs, members, size, percent, id_col, text_col), "ngram-sets")), percent, with_sets=True)
     linked = components(verified).select(F.col("node").alias("set_a"), "component")
     smallest = first.join(merged(linked), "set_a").groupBy("component").agg(F.min("id").alias("least"))
     by_set = first.join(merged(linked), "set_a", "left").join(merged(smallest), "component", "left").select("set_a", F.coalesce("least", "id").alias("component_id"))

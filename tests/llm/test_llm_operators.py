@@ -117,6 +117,40 @@ def test_ngram_components_over_several_nodes(spark, monkeypatch):
         assert len({got[100 + i] for i in range(40)}) < 40
 
 
+def test_long_texts_that_share_half_are_told_apart_by_their_points(spark, monkeypatch):
+    """Only linked texts are gathered with their sets: 64 counts would not tell sets of 3000 shingles that share half."""
+    gathered = []
+
+    def counted(docs, members, *rest):
+        gathered.append(members.count())
+        return whole(docs, members, *rest)
+
+    whole = ngram_join.with_sets
+    monkeypatch.setattr(ngram_join, "with_sets", counted)
+    shared = prose(1, 1500, 10**6)
+    rows = [(i, f"{shared} {prose(50 + i, 1500, 10**6)}") for i in range(20)]
+    rows += [(100, rows[3][1] + " more words"), (101, "short " + prose(90, 1200, 10**6)), (102, prose(90, 1200, 10**6))]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.ngram_components(frame(spark, rows), 5, 80).collect()}
+    assert got == {i: {100: 3, 102: 101}.get(i, i) for i, _ in rows} == classes(rows, 5, 80)
+    assert gathered == [4]
+
+
+def test_points_fold_into_coarser_ones():
+    """Sets of unlike size are compared as fine as the coarser point, and the bound is never below their overlap."""
+    law = ngram_join.Similarity(80)
+    for seed, n in enumerate((200, 256, 257, 3000, 4100, 20_000)):
+        large = np.random.default_rng(seed).integers(0, 2**63, n).astype(np.uint64)
+        small = large[:-(-n * 4 // 5)]
+        points = [ngram_join.point(s, law.groups(len(s))) for s in (small, large)]
+        rows = ngram_join.unpacked([ngram_join.packed(p) for p in points])
+        assert rows.shape[1] == len(points[0]) and rows.sum(axis=1).tolist() == [len(small), n]
+        assert np.minimum(*rows).sum() == len(small)
+        assert ngram_join.tree_edges(np.array([len(small), n]), rows, law) == [(0, 1)]
+    wide = ngram_join.point(np.full(5000, 7, np.uint64), 64)     # counts above one byte
+    assert (ngram_join.unpacked([ngram_join.packed(wide)])[0] == wide).all()
+    assert ngram_join.Similarity(100).groups(10**6) == ngram_join.Similarity(99).groups(10) == ngram_join.GROUPS
+
+
 def test_linked_sets_two_size_classes_apart_share_a_block():
     law = ngram_join.Similarity(60)
     for seed in range(20):
