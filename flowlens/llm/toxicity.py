@@ -53,19 +53,34 @@ def word_terms(word: str) -> list[str]:
     return [word, MARK + word[:STEM]] if len(word) > STEM else [word]
 
 
+class Known(dict):
+    """Numbers of words; an unknown word has that of its stem, or -1."""
+
+    def __init__(self, words: dict[str, int], stems: dict[str, int]):
+        super().__init__(words)
+        self.stems = stems
+
+    def __missing__(self, word: str) -> int:
+        return self.stems.get(word[:STEM], -1) if len(word) > STEM else -1
+
+
 class Cutter:
-    """Counts of a text's known terms."""
+    """Counts of a text's known terms. A known word is looked up once: its number tells that of its stem."""
 
     def __init__(self, names: list[str]):
-        self.words = {t: i for i, t in enumerate(names) if t[0] != MARK}
-        self.stems = {t[1:]: i for i, t in enumerate(names) if t[0] == MARK}
+        stems = {t[1:]: i for i, t in enumerate(names) if t[0] == MARK}
+        self.known = Known({t: i for i, t in enumerate(names) if t[0] != MARK}, stems)
+        # by term number, the stem of a longer word, -1 for every other term and, at the end, for no term
+        self.stem = np.array([stems.get(t[:STEM], -1) if t[0] != MARK and len(t) > STEM else -1 for t in names] + [-1], np.int32)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """(term numbers, how often) of a text."""
         words = LETTERS.findall((text or "").lower())
-        found = [i for i in map(self.words.get, words) if i is not None]
-        found += [i for i in map(self.stems.get, [w[:STEM] for w in words if len(w) > STEM]) if i is not None]
-        return np.unique(np.array(found, np.int32), return_counts=True)
+        found = np.fromiter(map(self.known.__getitem__, words), np.int32, len(words))
+        found = np.concatenate((found, self.stem[found]))
+        found = np.sort(found[found >= 0])
+        first = np.flatnonzero(np.diff(found, prepend=-1))
+        return found[first], np.diff(first, append=len(found))
 
 
 class TermWeights:

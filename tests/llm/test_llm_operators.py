@@ -412,6 +412,17 @@ def test_toxicity_spread_over_rare_word_forms(spark):
     assert {r["doc_id"] for r in got if r["score"] >= 0.7} == {i for i, _ in rows if i % 4 == 0}
 
 
+def test_known_words_are_looked_up_once():
+    cutter = toxicity.Cutter(["#bombe", "#casit", "ab", "bombed", "casitas", "one"])
+    text = "Bombed bombers, bombed; casitas one AB ab abc bombe unknownword 12 casitos"
+    got = cutter.counts(text)
+    assert dict(zip(*(x.tolist() for x in got), strict=True)) == {0: 3, 1: 2, 2: 2, 3: 2, 4: 1, 5: 1}
+    assert got[0].dtype == np.int32 and (np.diff(got[0]) > 0).all()
+    assert [len(x) for x in cutter.counts(None)] == [len(x) for x in cutter.counts("12 zzz")] == [0, 0]
+    cutter.known.stems = {}
+    assert dict(zip(*(x.tolist() for x in cutter.counts("bombed casitas")), strict=True)) == {0: 1, 1: 1, 3: 1, 4: 1}
+
+
 def test_block_max_neighbours_are_exact():
     rng = np.random.default_rng(11)
     vectors = []
