@@ -148,7 +148,8 @@ def test_points_fold_into_coarser_ones():
         assert ngram_join.tree_edges(np.array([len(small), n]), rows, law) == [(0, 1)]
     wide = ngram_join.point(np.full(5000, 7, np.uint64), 64)     # counts above one byte
     assert (ngram_join.unpacked([ngram_join.packed(wide)])[0] == wide).all()
-    assert ngram_join.Similarity(100).groups(10**6) == ngram_join.Similarity(99).groups(10) == ngram_join.GROUPS
+    assert ngram_join.Similarity(100).groups(1000) == ngram_join.Similarity(99).groups(10) == ngram_join.GROUPS
+    assert law.groups(10**9) == ngram_join.FINEST
 
 
 def test_linked_sets_two_size_classes_apart_share_a_block():
